@@ -1,0 +1,6 @@
+"""Registered queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
