@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, simhash, substring_dedup, warc
+from . import ann, bpe, chat_format, language_id, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.train_and_predict(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (language_id.fold() == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
@@ -64,6 +69,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op2_chat_format": op2_chat_format,
     "op3_warc": op3_warc,
