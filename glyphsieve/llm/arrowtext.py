@@ -14,8 +14,7 @@ PIECE_BYTES = 2 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -85,9 +84,8 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 1 << 12)
             for name, x in (("up", self.base), ("down", self.inverse)):
-                p = np.full(n, x, np.uint64)
+                p = np.full(max(n, 1 << 12), x, np.uint64)
                 p[0] = 1
                 setattr(self, name, np.multiply.accumulate(p))
         return self.up[:n], self.down[:n]
