@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, decontam, language_id, simhash, substring_dedup, warc
+from . import ann, bpe, chat_format, decontam, language_id, quality, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.co_train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select(F.col("id").alias("doc_id"), "p_text", "p_meta", "score", (F.col("score") >= 0.5).alias("keep"))
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +79,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_quality": op5_quality,
     "op9_decontamination": op9_decontamination,
     "op1_language_id": op1_language_id,
     "op6_nearest_neighbours": op6_nearest_neighbours,
