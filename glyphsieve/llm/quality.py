@@ -151,19 +151,19 @@ class View:
 def isotonic(score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: scores and non-decreasing probabilities to interpolate between."""
     order = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # rate, weight, last score
+    blocks: list[list[float]] = []  # rate, weight, first and last score
     for s, y in zip(score[order].tolist(), label[order].tolist()):
-        if blocks and blocks[-1][2] == s:
-            r, w, _ = blocks.pop()
-            blocks.append([(r * w + y) / (w + 1), w + 1, s])
+        if blocks and blocks[-1][3] == s:
+            r, w, s1, _ = blocks.pop()
+            blocks.append([(r * w + y) / (w + 1), w + 1, s1, s])
         else:
-            blocks.append([float(y), 1, s])
+            blocks.append([float(y), 1, s, s])
         while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            r, w, s2 = blocks.pop()
-            r1, w1, _ = blocks.pop()
-            blocks.append([(r * w + r1 * w1) / (w + w1), w + w1, s2])
-    rate = np.array([(b[0] * b[1] + 0.5) / (b[1] + 1) for b in blocks])
-    return np.array([b[2] for b in blocks]), np.maximum.accumulate(rate) if len(rate) else rate
+            r, w, _, s2 = blocks.pop()
+            r1, w1, s1, _ = blocks.pop()
+            blocks.append([(r * w + r1 * w1) / (w + w1), w + w1, s1, s2])
+    rate = np.maximum.accumulate([(b[0] * b[1] + 0.5) / (b[1] + 1) for b in blocks]) if blocks else np.zeros(0)
+    return np.array([x for b in blocks for x in b[2:]]), np.repeat(rate, 2)
 
 
 def _apply(curve: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> np.ndarray:
