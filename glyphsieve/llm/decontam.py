@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .arrowtext import Powers, mix, pieces, prefix, ranged, word_hashes, words
+from .rowfilter import keep_rows
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 #: Benchmark text sent to the executors at once; a larger benchmark is worked through in slices of this size.
@@ -132,6 +134,19 @@ class Items:
             yield doc, item, value, s, n, bits
 
 
+def _slices(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, threshold: float, radius: int) -> Iterator:
+    """The benchmark as broadcast slices of bounded size, one at a time."""
+    if not 0 < threshold <= 1 or not 0 <= radius < 64:
+        raise ValueError("threshold must be in (0, 1] and radius in 0..63")
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("t"))
+    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    slices = max(1, -(-total // SLICE_BYTES))
+    for i in range(slices):
+        part = items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == i).collect()
+        if part:
+            yield docs.sparkSession.sparkContext.broadcast(Items([r.item for r in part], [r.t for r in part], threshold, radius))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """(id, item_id, similarity, first_word, n_words, bits): the best window of each document for each item it holds.
 
@@ -141,24 +156,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     their rows again, repeated items too; null ids are kept as they are; empty tables give no rows.
     No shuffle: the benchmark goes to the documents, in slices of bounded size.
     """
-    if not 0 < threshold <= 1 or not 0 <= radius < 64:
-        raise ValueError("threshold must be in (0, 1] and radius in 0..63")
-    spark = docs.sparkSession
-    kind, item_kind = docs.select(id_col).dtypes[0][1], benchmark.select(item_id).dtypes[0][1]
-    schema = f"id {kind}, item_id {item_kind}, similarity double, first_word bigint, n_words bigint, bits int"
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    slices, out = max(1, -(-total // SLICE_BYTES)), None
+    kind, item_type = docs.select(id_col).dtypes[0][1], benchmark.schema[item_id].dataType
+    schema = f"id {kind}, item_id {item_type.simpleString()}, similarity double, first_word bigint, n_words bigint, bits int"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
-    item_type = items.schema["item"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    arrow_item = to_arrow_type(item_type)
-    for i in range(slices):
-        part = items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == i).collect()
-        if not part:
-            continue
-        sent = spark.sparkContext.broadcast(Items([r.item for r in part], [r.t for r in part], threshold, radius))
+    arrow_item, out = to_arrow_type(item_type), None
+    for sent in _slices(docs, benchmark, item_id, item_text, threshold, radius):
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for piece, data, off in pieces(batches, "t"):
@@ -171,4 +173,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs that hold no benchmark item, all columns as they are.  Null texts hold none."""
+    for sent in _slices(docs, benchmark, item_id, item_text, threshold, radius):
+
+        def mask(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, sent=sent) -> np.ndarray:
+            keep = np.ones(len(off) - 1, bool)
+            keep[[x[0] for x in sent.value.matches(data, off)]] = False
+            return keep
+
+        docs = keep_rows(docs, text_col, mask)
+    return docs

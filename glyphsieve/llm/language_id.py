@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import PIECE_BYTES, pieces
+from .rowfilter import keep_rows
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -27,6 +28,7 @@ _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
+_ASCII_LETTER = (_FOLD >= 0x61) & (_FOLD < 0x7B)
 
 
 def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +126,28 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
+def shares_of(data: np.ndarray, off: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """(texts, languages) shares of each text's words; all 0 for texts without a letter."""
+    n = len(off) - 1
+    shares = np.zeros((n, len(logs)))
+    bucket, word, words = trigrams(data, off)
+    some = np.flatnonzero(np.diff(words)) if len(logs) else np.zeros(0, np.int64)
+    if len(some):
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        likely = np.stack([np.add.reduceat(t[bucket], starts) for t in logs], 1)
+        shares[some] = mixture(likely, np.append(words[some], words[-1]))
+        plain = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[off]
+        for i in some[np.diff(plain)[some] == 0]:
+            if not any(c.isalpha() for c in data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")):
+                shares[i] = 0
+    return shares
+
+
+def _limit(langs: int) -> int:
+    """Bytes of text at once, fewer for more languages."""
+    return PIECE_BYTES * 4 // max(4, langs)
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, lang_pred, score, languages, shares (heaviest first).
 
@@ -131,28 +155,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     that are null or have no letter get `und`, score 0 and empty lists, as does every text when nothing was
     learned.  Ids may be null or repeated; other columns are not read.
     """
-    langs, table = model
-    sent = docs.sparkSession.sparkContext.broadcast((langs, table))  # languages x 65,536 floats
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 65,536 floats
     kind = docs.select(id_col).dtypes[0][1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = sent.value
-        for part, data, off in pieces(batches, "t", PIECE_BYTES * 4 // max(4, len(names))):
-            n = part.num_rows
-            bucket, word, words = trigrams(data, off)
-            some = np.flatnonzero(np.diff(words)) if names else np.zeros(0, np.int64)
-            shares = np.zeros((n, len(names)))
-            if len(some):
-                starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-                likely = np.stack([np.add.reduceat(t[bucket], starts) for t in logs], 1)
-                shares[some] = mixture(likely, np.append(words[some], words[-1]))
-            ascii_letter = np.isin(_FOLD, np.arange(0x61, 0x7B))[data]
-            plain = np.diff(np.concatenate([[0], np.cumsum(ascii_letter)])[off]) > 0
-            for i in np.flatnonzero(~plain & (shares.sum(1) > 0)):
-                if not _has_letter(data[off[i] : off[i + 1]].tobytes()):
-                    shares[i] = 0
-            top = shares.argmax(1) if names else np.zeros(n, np.int64)
-            score = np.clip(shares.max(1), 0, 1) if names else np.zeros(n)
+        for part, data, off in pieces(batches, "t", _limit(len(names))):
+            shares = shares_of(data, off, logs)
+            top = shares.argmax(1) if names else np.zeros(len(shares), np.int64)
+            score = np.clip(shares.max(1), 0, 1) if names else np.zeros(len(shares))
             order = np.argsort(-shares, axis=1, kind="stable")
             kept = [[j for j in o if s[j] > 1e-3] for o, s in zip(order.tolist(), shares)]
             yield pa.RecordBatch.from_arrays(
@@ -170,6 +181,16 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
+def keep_recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows whose text has letters and one language with at least that share of its words."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def mask(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        return shares_of(data, off, sent.value[1]).max(1, initial=0) >= least
+
+    return keep_rows(docs, text_col, mask, _limit(len(model[0])))
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3

@@ -179,10 +179,11 @@ def _window_rows(window: int) -> Callable:
     return run
 
 
-def _removal(window: int) -> Callable:
+def _removal(window: int, carry: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches, "t"):
             raw, names = data.tobytes(), part.schema.names
+            text = part.column(names.index("t"))
             alone, sure = part.column(names.index("ats")).to_pylist(), _binary_lists(part.column(names.index("sures")))
             n, gone, kept, spans = [], [], [], []
             for i, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
@@ -190,7 +191,7 @@ def _removal(window: int) -> Callable:
                 n.append(len(w))
                 if not alone[i] and not sure[i]:
                     gone.append(0)
-                    kept.append(b" ".join(w))
+                    kept.append((raw[a:b] if text[i].is_valid else None) if carry else b" ".join(w))
                     spans.append([])
                     continue
                 at = np.concatenate([np.array(alone[i] or [], np.int64), *[np.frombuffer(x, np.int32) for x in sure[i]]]).astype(np.int64)
@@ -200,39 +201,55 @@ def _removal(window: int) -> Callable:
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], cover.view(np.int8), [0]])))
                 spans.append([{"first": x, "last": y} for x, y in zip(edge[::2].tolist(), (edge[1::2] - 1).tolist())])
             span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+            own = [names.index(x) for x in ("id", "k", *carry)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)],
-                names=["id", "k", "n_words", "n_removed", "kept", "spans"],
+                [*map(part.column, own), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(spans, span)],
+                names=["id", "k", *carry, "n_words", "n_removed", "kept", "spans"],
             )
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per input row: id, k, n_words, n_removed, kept, spans.
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, row: bool = False) -> DataFrame:
+    """One row per input row: id, k, n_words, n_removed, kept, spans, and with row=True the input row without its text as `row`.
 
     Removes each word covered by a window of that many consecutive words whose word sequence also starts
     anywhere else in the corpus, the same document included; windows are judged on the input.  kept joins the
     other words by one space; spans lists the removed word ranges; k is a hash of id and text.
     Defined cases: a null text has no words (kept is empty), texts shorter than the window lose nothing,
     overlapping repeats of one stretch count as repeats, rows equal in id and text repeat each other and each
-    get a row, null ids are ordinary values, an empty table gives no rows.  Other columns are not read.
+    get a row, null ids are ordinary values, an empty table gives no rows.  Other columns are only carried.
+    With row=True a text that loses nothing is kept as it is, spacing and null included.
     """
     if window < 2:
         raise ValueError("window must be 2 words at least")
     scratch = Scratch(docs.sparkSession, "substrings")
     kind = docs.select(id_col).dtypes[0][1]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    base = base.select("id", F.xxhash64("id", "t").alias("k"), "t")
-    symbols = base.mapInArrow(_symbol_rows(window), f"key bigint, id {kind}, k bigint, at int, sure binary")
+    # the text travels as t; of the row only the rest is carried
+    carry = (F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),) if row else ()
+    names = ("row",) if row else ()
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("k"), F.col(text_col).cast("string").alias("t"), *carry)
+    symbols = base.select("id", "k", "t").mapInArrow(_symbol_rows(window), f"key bigint, id {kind}, k bigint, at int, sure binary")
     symbols = symbols.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("sure is not null or (n > 1 and at >= 0)")
     found = symbols.groupBy("id", "k").agg(F.collect_list(F.expr("if(at >= 0, at, null)")).alias("ats"), F.collect_list("sure").alias("sures"))
     found = scratch.write(found.select(F.monotonically_increasing_id().alias("rid"), "id", "k", "ats", "sures"), "found")
     two = found.withColumnsRenamed({"id": "id2", "k": "k2"})
     joined = base.join(two, (base["k"] == two["k2"]) & base["id"].eqNullSafe(two["id2"]))
-    windows = joined.select("rid", "t", "ats", "sures").mapInArrow(_window_rows(window), "one bigint, two int, rid bigint, at int, sure binary")
+    # the carried row goes along here too, so that both joins read one exchange of the texts
+    windows = joined.select("rid", "t", "ats", "sures", *names).mapInArrow(_window_rows(window), "one bigint, two int, rid bigint, at int, sure binary")
     windows = windows.withColumn("n", F.count("*").over(Window.partitionBy("one", "two"))).filter("sure is not null or (n > 1 and at >= 0)")
     cuts = windows.groupBy("rid").agg(F.collect_list(F.expr("if(at >= 0, at, null)")).alias("ats"), F.collect_list("sure").alias("sures"))
     cuts = found.select("rid", F.col("id").alias("id2"), F.col("k").alias("k2")).join(cuts, "rid")
-    whole = base.join(cuts, (base["k"] == cuts["k2"]) & base["id"].eqNullSafe(cuts["id2"]), "left").select("id", "k", "t", "ats", "sures")
-    return whole.mapInArrow(_removal(window), f"id {kind}, k bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>")
+    whole = base.join(cuts, (base["k"] == cuts["k2"]) & base["id"].eqNullSafe(cuts["id2"]), "left").select("id", "k", "t", "ats", "sures", *names)
+    carried = f"row {base.schema['row'].dataType.simpleString()}, " if row else ""
+    return whole.mapInArrow(_removal(window, names), f"id {kind}, k bigint, {carried}n_words bigint, n_removed bigint, kept string, spans array<struct<first:bigint,last:bigint>>")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
+    """docs without their repeated windows: texts that lose words become the others joined by one space, texts
+    that lose none stay as they are, and a text that loses every word goes with its row."""
+    out = dedup_substrings(docs, id_col, text_col, window, row=True)
+    out = out.filter("n_removed < n_words or n_words = 0")
+    column = lambda c: F.col("row").getField(c)
+    text = F.col("kept")
+    return out.select(*[(text if c == text_col else F.length(text).cast(docs.schema[c].dataType) if c == chars_col else column(c)).alias(c) for c in docs.columns])
