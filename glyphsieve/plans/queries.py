@@ -1,6 +1,342 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.  Hidden characters are put into the texts by samples.inject()."""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codepoints as cp
+from ..functions.numbers import round3_sql
+from ..operators import purify, scan, stylometry, validate
+from ..settings import Settings
+from ..sources import files
+from ..streaming import rows as streaming
+from . import analyze, samples
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: table: (key columns, text column)
+TEXTS = {"documents": (["doc_id"], "text"), "pages": (["page_id"], "html"), "benchmark": (["item_id"], "text"), "conversations": (["conv_id", "turn"], "text")}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _injected(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    keys, text = TEXTS[table]
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, samples.inject(F.col(text), F.col(keys[0])).alias("text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def _injected_sql(table: str = "documents") -> str:
+    keys, text = TEXTS[table]
+    return f"t AS (SELECT {', '.join(keys)}, {samples.inject_sql(text, keys[0])} AS text FROM {table})"
+
+
+def _class(*categories: str) -> str:
+    return cp.char_class(cp.ranges(*categories))
+
+
+# DuckDB's regular expressions take no NUL; no query puts one in
+_FLAGGED_SQL = cp.FLAGGED.replace("\\x{0}-", "\\x{1}-")
+_CATEGORY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(c, '{_class(c)}') THEN '{c}'" for c in cp.CATEGORIES).replace("\\x{0}-", "\\x{1}-") + " END"
+
+
+def _count_sql(category: str, text: str = "text") -> str:
+    return f"len(regexp_extract_all({text}, '{_class(category)}'))".replace("\\x{0}-", "\\x{1}-")
+
+
+_CHARS_SQL = "k AS (SELECT *, string_split(text, '') AS cs FROM t), h AS (SELECT * EXCLUDE (cs), unnest(cs) AS c, generate_subscripts(cs, 1) - 1 AS position FROM k)"
+
+
+# -- scan -----------------------------------------------------------------------------------------------------
+
+_FOUND_SQL = f"WITH {_injected_sql()}, {_CHARS_SQL} SELECT doc_id, position, printf('U+%04X', unicode(c)) AS codepoint, {_CATEGORY_SQL} AS category FROM h WHERE regexp_matches(c, '{_FLAGGED_SQL}')"
+
+
+@query("scan_findings", _FOUND_SQL)
+def scan_findings(spark, sf_dir):
+    return scan.ledger(_injected(spark, sf_dir), ["doc_id"]).select("doc_id", "position", "codepoint", "category")
+
+
+@query(
+    "scan_context",
+    f"""WITH {_injected_sql()}, {_CHARS_SQL}
+    SELECT doc_id, position, substr(text, greatest(position - 12, 0) + 1, least(position, 12)) AS context_before, substr(text, position + 2, 12) AS context_after
+    FROM h WHERE regexp_matches(c, '{_FLAGGED_SQL}')""",
+)
+def scan_context(spark, sf_dir):
+    return scan.ledger(_injected(spark, sf_dir), ["doc_id"]).select("doc_id", "position", "context_before", "context_after")
+
+
+@query(
+    "scan_names",
+    f"""WITH {_injected_sql()}, {_CHARS_SQL}, n(code, name) AS (VALUES {", ".join(f"({c}, '{name}')" for c, _, name in cp.table())})
+    SELECT printf('U+%04X', code) AS codepoint, name, count(*) AS n FROM h JOIN n ON unicode(c) = code WHERE c <> '' GROUP BY ALL""",
+)
+def scan_names(spark, sf_dir):
+    return scan.ledger(_injected(spark, sf_dir), ["doc_id"]).groupBy("codepoint", "name").agg(F.count("*").alias("n"))
+
+
+for _table in TEXTS:
+    _keys = TEXTS[_table][0]
+
+    @query(f"scan_flag_{_table}", f"WITH {_injected_sql(_table)} SELECT {', '.join(_keys)}, regexp_matches(text, '{_FLAGGED_SQL}') AS has_hidden, len(regexp_extract_all(text, '{_FLAGGED_SQL}')) AS hidden FROM t")
+    def _flag(spark, sf_dir, table=_table):
+        return _injected(spark, sf_dir, table).select(*TEXTS[table][0], scan.has_hidden(F.col("text")).alias("has_hidden"), scan.hidden_count(F.col("text")).alias("hidden"))
+
+    @query(
+        f"scan_by_category_{_table}",
+        f"WITH {_injected_sql(_table)}, s AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, sum({_count_sql(c)})::BIGINT AS n FROM t" for c in cp.CATEGORIES) + ") SELECT * FROM s WHERE n > 0",
+    )
+    def _totals(spark, sf_dir, table=_table):
+        return scan.category_totals(_injected(spark, sf_dir, table), [])
+
+
+@query("scan_counts_wide", f"WITH {_injected_sql()} SELECT doc_id, {', '.join(f'{_count_sql(c)} AS {c}' for c in cp.CATEGORIES)} FROM t")
+def scan_counts_wide(spark, sf_dir):
+    rows = _injected(spark, sf_dir).withColumn("m", scan.count_by_category(F.col("text")))
+    return rows.select("doc_id", *[F.coalesce(F.element_at("m", F.lit(c)), F.lit(0).cast("long")).alias(c) for c in cp.CATEGORIES])
+
+
+@query(
+    "scan_inspection",
+    f"""WITH {_injected_sql()}, {_CHARS_SQL}
+    SELECT doc_id, md5(string_agg(CASE WHEN regexp_matches(c, '{_FLAGGED_SQL}') THEN '⟦' || printf('U+%04X', unicode(c)) || '⟧' ELSE c END, '' ORDER BY position)) AS shown
+    FROM h GROUP BY doc_id""",
+)
+def scan_inspection(spark, sf_dir):
+    return _injected(spark, sf_dir).select("doc_id", F.md5(scan.inspection(F.col("text")).cast("binary")).alias("shown"))
+
+
+# -- purify ---------------------------------------------------------------------------------------------------
+
+_OPTIONS = {
+    "default": purify.PurifyOptions(form="none"),
+    "keep_bidi": purify.PurifyOptions(strip_bidi=False, form="none"),
+    "keep_spaces": purify.PurifyOptions(strip_spaces=False, form="none"),
+    "keep_hidden": purify.PurifyOptions(strip_hidden=False, form="none"),
+    "keep_all": purify.PurifyOptions(False, False, False, "none"),
+    "nfc": purify.PurifyOptions(),
+    "nfkc": purify.PurifyOptions(form="NFKC"),
+    "nfc_keep_spaces": purify.PurifyOptions(strip_spaces=False),
+}
+
+
+def _purify_sql(o: purify.PurifyOptions) -> str | None:
+    if o.form == "NFKC":
+        return None  # DuckDB has no NFKC
+    out = f"regexp_replace(text, '{_class(*o.categories)}', '', 'g')".replace("\\x{0}-", "\\x{1}-") if o.categories else "text"
+    pure = f"nfc_normalize({out})" if o.form == "NFC" else out
+    removed = {c: _count_sql(c) if c in o.categories else "0::BIGINT" for c in cp.CATEGORIES}
+    return f"""WITH {_injected_sql()}, p AS (SELECT *, {pure} AS pure FROM t)
+    SELECT doc_id, length(text) AS original_length, length(pure) AS purified_length, length(text) - length({out}) AS removed_count, md5(pure) AS purified,
+    '{o.form}' AS normalization_applied, {", ".join(f"{x} AS removed_{c}" for c, x in removed.items())} FROM p"""
+
+
+for _name, _o in _OPTIONS.items():
+
+    @query(f"purify_{_name}", _purify_sql(_o))
+    def _purified(spark, sf_dir, options=_o):
+        out = purify.purify(_injected(spark, sf_dir), options=options)
+        counts = [F.coalesce(F.element_at("removed_by_category", F.lit(c)), F.lit(0).cast("long")).alias(f"removed_{c}") for c in cp.CATEGORIES]
+        return out.select("doc_id", "original_length", "purified_length", "removed_count", F.md5(F.col("purified_text").cast("binary")).alias("purified"), "normalization_applied", *counts)
+
+
+# -- stylometry -----------------------------------------------------------------------------------------------
+
+_WORD_SQL = stylometry.WORD.replace("'", "''")
+_WS = cp.WS
+
+
+def _band_sql(value: str, bands, last: str) -> str:
+    return "CASE " + " ".join(f"WHEN {value} < {edge} THEN '{name}'" for edge, name in bands) + f" ELSE '{last}' END"
+
+
+def _style_sql(source: str, key: str) -> str:
+    """CTEs from source (a query of key and text) up to v: the four values, weights and bands."""
+    s = stylometry
+    ratio = {"bits": f"least(bits / {s.BIGRAM_BITS}::DOUBLE, 1) * 10"}
+    return f"""
+    src AS ({source}),
+    a AS (SELECT {key}, text, regexp_extract_all(lower(text), '{_WORD_SQL}') AS w, string_split(regexp_replace(lower(text), '{_WS}+', ' ', 'g'), '') AS cs,
+        list_transform(list_filter(string_split(regexp_replace(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '([.!?]){_WS}+', '\\1' || chr(57344), 'g'), chr(57344)), lambda x: regexp_matches(x, '{cp.NOT_WS}')),
+            lambda x: len(regexp_extract_all(x, '{_WORD_SQL}'))::DOUBLE) AS l FROM src),
+    b AS (SELECT *, len(w) AS n, len(l) AS s, list_sum(l) / len(l) AS mean FROM a),
+    wc AS (SELECT {key}, sum(c * log2(c)) AS repeats FROM (SELECT {key}, x, count(*) AS c FROM (SELECT {key}, unnest(w) AS x FROM a) GROUP BY ALL) GROUP BY ALL),
+    bc AS (SELECT {key}, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS bits FROM (SELECT {key}, x, count(*) AS c FROM (SELECT {key}, unnest(list_zip(cs[1:len(cs) - 1], cs[2:len(cs)])) AS x FROM a WHERE len(cs) > 1) GROUP BY ALL) GROUP BY ALL),
+    m AS (SELECT b.*, wc.repeats, bc.bits, CASE WHEN s >= 3 AND mean > 0 THEN sqrt(list_sum(list_transform(l, lambda x: (x - mean) * (x - mean))) / s) / mean / {s.VARIATION_SCALE}::DOUBLE END AS spread,
+        CASE WHEN n >= 10 THEN len(list_distinct(list_zip(w[1:n - 2], w[2:n - 1], w[3:n])))::DOUBLE / (n - 2) * 10 END AS triples,
+        CASE WHEN n > 1 THEN greatest(least((log2(n::DOUBLE) - repeats / n) / log2(n::DOUBLE), 1), 0) * 10 END AS lex,
+        {ratio["bits"]} AS big FROM b LEFT JOIN wc USING ({key}) LEFT JOIN bc USING ({key})),
+    r AS (SELECT *, least(spread, 1) * 10 AS spread10 FROM m),
+    v0 AS (SELECT *, CASE WHEN n > 1 THEN {round3_sql("lex")} ELSE 0.0::DOUBLE END AS lexical, CASE WHEN n > 0 THEN {s.LEXICAL_WEIGHT}::DOUBLE ELSE 1.0::DOUBLE END AS lexical_weight,
+        CASE WHEN bits IS NOT NULL THEN {round3_sql("big")} ELSE 0.0::DOUBLE END AS bigram, CASE WHEN bits IS NOT NULL THEN 1.0::DOUBLE ELSE {s.BIGRAM_SHORT_WEIGHT}::DOUBLE END AS bigram_weight,
+        CASE WHEN spread IS NOT NULL THEN {round3_sql("spread10")} ELSE {s.NEUTRAL}::DOUBLE END AS variance, CASE WHEN spread IS NOT NULL THEN 1.0::DOUBLE ELSE {s.NEUTRAL_WEIGHT}::DOUBLE END AS variance_weight,
+        CASE WHEN triples IS NOT NULL THEN {round3_sql("triples")} ELSE {s.NEUTRAL}::DOUBLE END AS repetition, CASE WHEN triples IS NOT NULL THEN 1.0::DOUBLE ELSE {s.NEUTRAL_WEIGHT}::DOUBLE END AS repetition_weight FROM r),
+    v1 AS (SELECT *, greatest(least((lexical * lexical_weight + bigram * bigram_weight + variance * variance_weight + repetition * repetition_weight)
+        / (lexical_weight + bigram_weight + variance_weight + repetition_weight), 10), 0) AS raw FROM v0),
+    v AS (SELECT *, {round3_sql("raw")} AS composite_score,
+        CASE WHEN n > 0 THEN {_band_sql("lexical", s.LEXICAL_BANDS, "varied")} ELSE 'no_words' END AS lexical_band,
+        CASE WHEN bits IS NOT NULL THEN {_band_sql("bigram", s.BIGRAM_BANDS, "typical")} ELSE 'too_short' END AS bigram_band,
+        CASE WHEN spread IS NOT NULL THEN {_band_sql("variance", s.VARIANCE_BANDS, "varied")} ELSE 'too_few_sentences' END AS variance_band,
+        CASE WHEN triples IS NOT NULL THEN {_band_sql("repetition", s.REPETITION_BANDS, "typical")} ELSE 'too_few_words' END AS repetition_band,
+        CASE WHEN n < 60 OR s < 3 THEN 'low' WHEN n < 200 THEN 'moderate' WHEN n < 600 THEN 'elevated' ELSE 'high' END AS confidence FROM v1)"""
+
+
+_SUMMARY_SQL = "CASE WHEN confidence = 'low' THEN 'short_sample' WHEN composite_score >= 7 THEN 'varied' WHEN composite_score >= 4.5 THEN 'moderately_uniform' ELSE 'notably_uniform' END AS summary"
+_DOCUMENTS_SQL = "SELECT doc_id, text FROM documents"
+_SHORT = {"lexical": 0, "bigram": 1, "variance": 2, "repetition": 3}
+
+
+@query("word_count", f"SELECT doc_id, length(text) AS character_count, len(regexp_extract_all(text, '{_WORD_SQL}')) AS word_count, len(regexp_extract_all(lower(text), '{_WORD_SQL}')) AS signal_words FROM documents")
+def word_count(spark, sf_dir):
+    t = F.col("text")
+    return _documents(spark, sf_dir).select("doc_id", F.length(t).cast("long").alias("character_count"), stylometry.word_count(t).alias("word_count"), F.size(stylometry.words(t)).cast("long").alias("signal_words"))
+
+
+@query("sentence_stats", f"WITH {_style_sql('SELECT row_number() OVER () AS id, conv_id, turn, text FROM conversations', 'id, conv_id, turn')} SELECT conv_id, turn, s AS sentences, coalesce(list_sum(l), 0)::BIGINT AS words FROM b")
+def sentence_stats(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("l", F.transform(stylometry.sentences(F.col("text")), lambda s: F.regexp_count(s, F.lit(stylometry.WORD))))
+    return rows.select("conv_id", "turn", F.size("l").cast("long").alias("sentences"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"))
+
+
+@query("stylometry_signals", f"WITH {_style_sql(_DOCUMENTS_SQL, 'doc_id')} SELECT doc_id, {', '.join(f'{k}, {k}_weight, {k}_band' for k in _SHORT)} FROM v")
+def stylometry_signals(spark, sf_dir):
+    out = stylometry.stylometry(_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", *[c for k, i in _SHORT.items() for c in (F.col("signals")[i]["value"].alias(k), F.col("signals")[i]["weight"].alias(f"{k}_weight"), F.col("signals")[i]["band"].alias(f"{k}_band"))])
+
+
+@query("stylometry_composite", f"WITH {_style_sql(_DOCUMENTS_SQL, 'doc_id')} SELECT doc_id, composite_score, confidence, {_SUMMARY_SQL} FROM v")
+def stylometry_composite(spark, sf_dir):
+    return stylometry.stylometry(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "composite_score", "confidence", "summary")
+
+
+@query("bigram_bits", f"WITH {_style_sql(_DOCUMENTS_SQL, 'doc_id')} SELECT doc_id, round(bits, 6) AS bits FROM m")
+def bigram_bits(spark, sf_dir):
+    return _documents(spark, sf_dir).select("doc_id", F.round(stylometry.bigram_bits(F.col("text")), 6).alias("bits"))
+
+
+_INJECTED_ONLY = f"SELECT doc_id, {samples.inject_sql('text', 'doc_id')} AS text FROM documents"
+_ANALYZED_SQL = f"WITH {_style_sql(_INJECTED_ONLY, 'doc_id')}, z AS (SELECT *, len(regexp_extract_all(text, '{_FLAGGED_SQL}')) AS hidden FROM v)"
+
+
+@query("analyze_flat", f"{_ANALYZED_SQL} SELECT doc_id, hidden > 0 AS has_hidden_unicode, hidden AS hidden_character_count, composite_score, confidence, length(text) AS character_count, len(regexp_extract_all(text, '{_WORD_SQL}')) AS word_count FROM z")
+def analyze_flat(spark, sf_dir):
+    out = analyze.analyze(_injected(spark, sf_dir))
+    return out.select("doc_id", "has_hidden_unicode", "hidden_character_count", "composite_score", "confidence", "character_count", "word_count")
+
+
+@query(
+    "corpus_profile",
+    f"""{_ANALYZED_SQL} SELECT d.lang, d.source, count(*) AS texts, count(*) FILTER (hidden > 0) AS texts_with_hidden, sum(hidden)::BIGINT AS hidden_characters, round(avg(composite_score), 6) AS mean_composite
+    FROM z JOIN documents d USING (doc_id) GROUP BY ALL""",
+)
+def corpus_profile(spark, sf_dir):
+    rows = _documents(spark, sf_dir).select("lang", "source", samples.inject(F.col("text"), F.col("doc_id")).alias("text"))
+    return analyze.corpus_profile(rows, ["lang", "source"]).withColumn("mean_composite", F.round("mean_composite", 6))
+
+
+# -- files ----------------------------------------------------------------------------------------------------
+
+
+def _extracted(found: DataFrame, key: str) -> DataFrame:
+    number = F.regexp_extract("path", r"in/(-?\d+)\.", 1).cast("long").alias(key)
+    return found.select(number, "source_type", F.md5(F.col("text").cast("binary")).alias("text_md5"), "character_count", F.size("warnings").cast("long").alias("warnings"), "error_code")
+
+
+def _identity_sql(table: str, key: str, text: str, kind: str, warnings: str) -> str:
+    return f"SELECT {key}, '{kind}' AS source_type, md5({text}) AS text_md5, length({text}) AS character_count, ({warnings})::BIGINT AS warnings, NULL::VARCHAR AS error_code FROM {table}"
+
+
+@query("extract_txt", _identity_sql("documents", "doc_id", "text", "txt", "CASE WHEN doc_id % 7 = 0 AND regexp_matches(text, '[\\x{80}-\\x{FF}]') AND NOT regexp_matches(text, '[^\\x{1}-\\x{FF}]') THEN 1 ELSE 0 END"))
+def extract_txt(spark, sf_dir):
+    return _extracted(files.extract(samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt", 7)), "doc_id")
+
+
+@query("extract_html", _identity_sql("pages", "page_id", "html", "html", "0"))
+def extract_html(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return _extracted(files.extract(samples.as_files(pages, "page_id", "html", "HTM")), "page_id")
+
+
+@query("extract_docx", _identity_sql("documents", "doc_id", "text", "docx", "0"))
+def extract_docx(spark, sf_dir):
+    return _extracted(files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "docx")), "doc_id")
+
+
+@query("extract_pdf", _identity_sql("documents", "doc_id", "text", "pdf", "1"))
+def extract_pdf(spark, sf_dir):
+    return _extracted(files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "pdf")), "doc_id")
+
+
+@query(
+    "extract_refused",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'UNSUPPORTED' WHEN 1 THEN 'UNSUPPORTED' WHEN 2 THEN 'CORRUPT' WHEN 3 THEN 'CORRUPT' WHEN 4 THEN 'UNSUPPORTED' END AS error_code FROM documents""",
+)
+def extract_refused(spark, sf_dir):
+    """Documents' bytes under names that promise something else."""
+    ext = F.element_at(F.array(*map(F.lit, [".doc", ".zip", ".docx", ".pdf", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = _documents(spark, sf_dir).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ext).alias("path"), F.encode("text", "UTF-8").alias("content"))
+    found = files.extract(rows.withColumn("length", F.octet_length("content").cast("long")))
+    return found.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("doc_id"), "error_code")
+
+
+# -- validation, streams --------------------------------------------------------------------------------------
+
+_LIMIT = 2000
+
+
+@query(
+    "validate_texts",
+    f"""WITH x AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN chr(160) || chr(9) || chr(28) WHEN 2 THEN chr(8203) ELSE text END AS text FROM documents)
+    SELECT doc_id, CASE WHEN length(text) < 1 THEN 'EMPTY' WHEN NOT regexp_matches(text, '{cp.NOT_WS}') THEN 'BLANK' WHEN length(text) > {_LIMIT} THEN 'TOO_LONG' END AS error_code FROM x""",
+)
+def validate_texts(spark, sf_dir):
+    r = F.col("doc_id") % 5
+    text = F.when(r == 0, "").when(r == 1, "\xa0\t\x1c").when(r == 2, "​").otherwise(F.col("text"))
+    return validate.validate(_documents(spark, sf_dir).select("doc_id", text.alias("text")), settings=Settings(max_text_length=_LIMIT)).select("doc_id", "error_code")
+
+
+@query("validate_file_size", f"SELECT doc_id, octet_length(encode(text)) <= {_LIMIT} AS small_enough FROM documents")
+def validate_file_size(spark, sf_dir):
+    rows = samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt")
+    return rows.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("doc_id"), (F.col("length") <= _LIMIT).alias("small_enough"))
+
+
+@query("health", "SELECT 'ok' AS status, true AS ready")
+def health(spark, sf_dir):
+    return analyze.health(spark).select("status", "ready")
+
+
+def _shared(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{found.rstrip('/') if found else '/tmp'}/glyphsieve-stream-{uuid.uuid4().hex}"
+
+
+@query("stream_scan", f"WITH {_injected_sql()} SELECT doc_id, len(regexp_extract_all(text, '{_FLAGGED_SQL}')) AS hidden, md5(regexp_replace(text, '{_FLAGGED_SQL}', '', 'g')) AS purified FROM t")
+def stream_scan(spark, sf_dir):
+    """The scan and the strip over a stream of the documents files, worked off and read back."""
+    path, at = f"{sf_dir}/documents.parquet", _shared(spark)
+    schema = spark.read.parquet(path).schema
+
+    def plan(rows: DataFrame) -> DataFrame:
+        t = samples.inject(F.col("text"), F.col("doc_id"))
+        rows = rows.select("doc_id", t.alias("text"))
+        return rows.select("doc_id", scan.hidden_count(F.col("text")).alias("hidden"), F.md5(purify.strip(F.col("text")).cast("binary")).alias("purified"))
+
+    streaming.run(streaming.read_texts(spark, path, schema), plan, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out")
