@@ -138,10 +138,13 @@ class View:
             last = sign * score[order]
             whole = np.append(last[1:] != last[:-1], True) if len(order) else np.zeros(0, bool)
             good = np.flatnonzero((right >= PRECISION) & whole & (np.arange(len(order)) >= 19))
-            # a tail must do better than calling everything c
+            # where all rows are c, a tail tells nothing
             if len(good) and (label == c).mean() < PRECISION:
                 edges[c] = sign * last[good[-1]]
-        self.sure = tuple(edges) if edges[0] < edges[1] else (-np.inf, np.inf)
+        if edges[0] >= edges[1]:  # both tails would do beyond where they meet
+            middle = (edges[0] + edges[1]) / 2
+            edges = [np.nextafter(middle, -np.inf), middle]
+        self.sure = tuple(edges)
 
     def calls(self, score: np.ndarray) -> np.ndarray:
         """0 or 1 where sure, else -1."""

@@ -1,0 +1,83 @@
+import zlib
+
+import numpy as np
+import pytest
+
+from glyphsieve.llm import language_id
+from glyphsieve.llm.queries import op1_language_id
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return language_id.train(docs.filter(language_id.fold() != 1))
+
+
+def test_held_out_accuracy(spark, docs):
+    got = {r.doc_id: r for r in op1_language_id(spark, SF).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    held = [r for r in rows if got[r.doc_id].held_out]
+    assert sum(got[r.doc_id].lang_pred == r.lang for r in held) >= 0.98 * len(held)
+    assert all(0 <= g.score <= 1 for g in got.values())
+
+
+def test_mixtures(spark, docs, model):
+    text = {r.lang: r.text for r in docs.filter("n_chars between 1500 and 4000").collect()}
+    mixed = text["de"][:1200] + "\n" + text["fr"][:600]
+    df = spark.createDataFrame([(1, mixed), (2, text["es"])], "doc_id long, text string")
+    a, b = language_id.predict(df, model).orderBy("id").collect()
+    assert a.languages[:2] == ["de", "fr"] and 0.5 < a.score < 0.85 and abs(sum(a.shares) - 1) < 0.01
+    assert b.languages == ["es"] and b.score == 1
+
+
+def test_em_finds_planted_shares():
+    rng = np.random.default_rng(0)
+    likely = np.full((1000, 3), -20.0, np.float32)
+    likely[np.arange(1000), rng.choice(3, 1000, p=[0.7, 0.3, 0])] = -5
+    w = language_id.mixture(likely, np.array([0, 1000]))[0]
+    assert abs(w[0] - 0.7) < 0.05 and abs(w[1] - 0.3) < 0.05 and w[2] < 1e-6
+
+
+def test_one_language_is_kept_alone():
+    """A second language must pay for itself."""
+    likely = np.full((200, 2), -6.0, np.float32)
+    likely[:, 0] = -5.0
+    assert (language_id.mixture(likely, np.array([0, 200]))[0] == [1, 0]).all()
+
+
+def test_texts_without_letters(spark, model):
+    rows = [(1, None), (2, ""), (3, "12 34 !?"), (4, "— € 5"), (None, "漢"), (6, "the")]
+    got = {r.id: r for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["und"] * 4 and got[1].score == 0 and got[1].languages == []
+    assert got[None].lang_pred in model[0] and got[6].lang_pred == "en"
+
+
+def test_nothing_learned(spark):
+    df = spark.createDataFrame([(1, "some text", None), (2, None, "en")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in language_id.train_and_predict(df).collect()] == ["und", "und"]
+    assert language_id.train_and_predict(df.limit(0)).count() == 0
+
+
+def test_keep_recognised_carries_all_columns(spark, docs, model):
+    kept = language_id.keep_recognised(docs, model)
+    assert kept.dtypes == docs.dtypes and kept.count() >= 0.99 * docs.count()
+    odd = spark.createDataFrame([(1, "the house of that", "x", [1]), (2, "123", "y", None), (3, None, "z", None)], "c1 long, text string, c0 string, many array<int>")
+    assert [tuple(r) for r in language_id.keep_recognised(odd, model).collect()] == [(1, "the house of that", "x", [1])]
+
+
+def test_words_and_pieces_do_not_matter(model):
+    """Batches of any size give the same shares."""
+    texts = ["the and of", "", "der die das und", "123", "x"]
+    data = [t.encode() for t in texts]
+    off = np.cumsum([0] + [len(d) for d in data])
+    whole = language_id.shares_of(np.frombuffer(b"".join(data), np.uint8), off, model[1])
+    for d, w in zip(data, whole):
+        assert np.allclose(language_id.shares_of(np.frombuffer(d, np.uint8), np.array([0, len(d)]), model[1])[0], w, atol=1e-6)
