@@ -307,7 +307,7 @@ _LIMIT = 2000
 )
 def validate_texts(spark, sf_dir):
     r = F.col("doc_id") % 5
-    text = F.when(r == 0, "").when(r == 1, "\xa0\t\x1c").when(r == 2, "​").otherwise(F.col("text"))
+    text = F.when(r == 0, "").when(r == 1, "\xa0\t\x1c").when(r == 2, "\u200b").otherwise(F.col("text"))
     return validate.validate(_documents(spark, sf_dir).select("doc_id", text.alias("text")), settings=Settings(max_text_length=_LIMIT)).select("doc_id", "error_code")
 
 

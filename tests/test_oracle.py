@@ -1,0 +1,56 @@
+"""Every registered query with SQL is held against DuckDB on the smallest tables."""
+
+import datetime
+import glob
+import math
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+
+
+def _core():
+    from glyphsieve.plans.queries import ORACLE_SQL, QUERIES
+
+    return sorted(QUERIES), ORACLE_SQL
+
+
+NAMES, SQL = _core()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for f in glob.glob(f"{SF}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    return con
+
+
+def plain(v):
+    if isinstance(v, float):
+        return "nan" if math.isnan(v) else round(v, 9) + 0.0
+    return v.isoformat() if isinstance(v, datetime.datetime) else v
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_query(spark, duck, name):
+    df = entry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    mine = sorted(repr([plain(r[c]) for c in columns]) for r in df.collect())
+    if name not in SQL:
+        assert mine
+        return
+    result = duck.execute(SQL[name])
+    names = [d[0] for d in result.description]
+    assert sorted(names) == columns
+    assert mine == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in result.fetchall())
+
+
+def test_entry(spark):
+    df = entry.entry(spark)
+    assert df.columns == ["category", "n"] and df.count() == 8

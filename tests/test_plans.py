@@ -1,0 +1,81 @@
+import pytest
+from pyspark.sql import functions as F
+
+from glyphsieve.operators import purify, scan, validate
+from glyphsieve.plans import analyze
+from glyphsieve.settings import Settings
+from glyphsieve.sources import sinks
+from glyphsieve.streaming import rows
+
+
+@pytest.mark.parametrize(
+    "text, code",
+    [(None, "EMPTY"), ("", "EMPTY"), (" \n", "BLANK"), ("\xa0", "BLANK"), ("\x1c\u2028", "BLANK"), ("\u200b", None), ("\ufeff", None), ("x" * 10, None), ("\U0001f600" * 10, None), ("x" * 11, "TOO_LONG")],
+)
+def test_validation(spark, text, code):
+    df = spark.createDataFrame([(text,)], "text string")
+    limits = Settings(max_text_length=10)
+    assert validate.validate(df, settings=limits).first().error_code == code
+    assert validate.valid(df, settings=limits).count() == (code is None)
+
+
+def test_analysis(spark):
+    df = spark.createDataFrame([(1, "Hello\u200bWorld. It is."), (2, " "), (3, None)], "id long, text string")
+    a, b, c = analyze.analyze(df).orderBy("id").collect()
+    assert a.has_hidden_unicode and a.hidden_character_count == 1 and a.anomalies[0].codepoint == "U+200B" and a.word_count == 4 and a.character_count == 19 and len(a.signals) == 4 and a.error_code is None
+    assert (b.error_code, c.error_code) == ("BLANK", "EMPTY") and b.anomalies is None and b.composite_score is None and c.confidence is None
+    p = analyze.purify(df).orderBy("id").collect()
+    assert p[0].purified_text == "HelloWorld. It is." and p[1].purified_text is None and p[1].error_code == "BLANK"
+
+
+def test_analysis_has_no_shuffle(spark):
+    plan = analyze.analyze(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang = 'fr'")
+    plan = scan.ledger(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,fr)" in plan and "n_chars" not in plan and "source" not in plan
+
+
+def test_profile_and_health(spark):
+    df = spark.createDataFrame([("en", "a\u200bb"), ("en", "c"), ("fr", "\xa0x\xa0"), ("fr", "")], "lang string, body string")
+    got = {r.lang: (r.texts, r.texts_with_hidden, r.hidden_characters) for r in analyze.corpus_profile(df, ["lang"], "body").collect()}
+    assert got == {"en": (2, 1, 1), "fr": (1, 1, 2)}
+    assert analyze.health(spark).first().status == "ok"
+
+
+def test_sinks_and_counters(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\u200bb")], "id long, text string")
+    seen, watch = sinks.counted(df)
+    sinks.write_results(analyze.analyze(seen), str(tmp_path / "j"), "json")
+    assert watch.get == {"rows": 1, "characters": 3}
+    assert spark.read.json(str(tmp_path / "j")).first().hidden_character_count == 1
+    sinks.write_results(analyze.analyze(df), str(tmp_path / "p"))
+    sinks.write_texts(purify.purify(df), str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).first().value == "ab"
+    with pytest.raises(ValueError):
+        sinks.write_results(df, str(tmp_path / "x"), "csv")
+
+
+def test_stream_has_no_state(spark, tmp_path):
+    spark.createDataFrame([(i, "x\u200b" * i) for i in range(5)], "id long, text string").write.parquet(str(tmp_path / "in"))
+    stream = rows.read_texts(spark, str(tmp_path / "in"), "id long, text string", files_per_trigger=1)
+    query = rows.run(stream, analyze.analyze, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"] == []
+    assert {r.id: r.hidden_character_count for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {0: None, 1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_settings(spark, monkeypatch):
+    monkeypatch.setenv("GLYPHSIEVE_MAX_TEXT_LENGTH", "7")
+    assert Settings.load().max_text_length == 7 and Settings.load(spark).max_text_length == 7
+    spark.conf.set("spark.glyphsieve.max_text_length", "9")
+    assert Settings.load(spark).max_text_length == 9 and Settings().max_upload_bytes == 15728640
+    spark.conf.unset("spark.glyphsieve.max_text_length")
+
+
+def test_switches(spark):
+    df = spark.createDataFrame([("a\u200b\xa0\u202e",)], "t string")
+    assert df.select(purify.strip(F.col("t"), purify.PurifyOptions(False, True, False, "none"))).first()[0] == "a\u200b\xa0"

@@ -1,0 +1,79 @@
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from glyphsieve.functions import codepoints as cp
+from glyphsieve.operators import scan
+
+from . import model
+
+ODD = "\u200b\u200c\u2060\u2064\ufeff\u180e\u200e\u202e\u2066\u2069\xa0\u2003\u2009\u3000\u2800\u3164\uffa0\ufe0f\U000e0100\U000e0041\U000e0002\x07\x7f\x85\xad\u061c\u202a\U0001d173"
+PLAIN = "aZ 9.\n\r\té漢\U0001f600\u2028\u034f\u115f\u1160\u180b"
+
+
+def run(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = scan.scan(df).orderBy("id").collect()
+    return [None if r.findings is None else [tuple(f) for f in r.findings] for r in rows]
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("Hello\u200bWorld", ["zero_width"]),
+        ("Visible\U000e0041\U000e0042Text", ["tag_character"] * 2),
+        ("abc\u202edef", ["bidi_control"]),
+        ("line\nnext\tcolumn\r", []),
+        ("A plain sentence.", []),
+        ("a\xa0b\u2009c\u3000d", ["unicode_space"] * 3),
+        ("a\u3164b\u2800c", ["blank_glyph"] * 2),
+        ("ordinary spaces only", []),
+    ],
+)
+def test_kinds(spark, text, kinds):
+    assert [f[3] for f in run(spark, [text])[0]] == kinds
+
+
+def test_every_code_point_is_sorted_into_its_category(spark):
+    texts = [chr(c) for c, _, _ in cp.table()]
+    assert len(texts) == 538
+    assert run(spark, texts) == [model.findings(t) for t in texts]
+
+
+def test_nothing_else_is_flagged(spark):
+    rest = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) not in model.KIND]
+    chunks = ["".join(rest[i : i + 4096]) for i in range(0, len(rest), 4096)]
+    assert spark.createDataFrame([(c,) for c in chunks], "text string").filter(scan.has_hidden(F.col("text"))).count() == 0
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet=ODD + PLAIN, max_size=60), min_size=1, max_size=30))
+def test_against_the_model(spark, texts):
+    assert run(spark, texts) == [model.findings(t) for t in texts]
+
+
+def test_dense_and_long(spark):
+    rng = random.Random(3)
+    texts = ["\u200b" * 3000, "".join(rng.choice(ODD + PLAIN) for _ in range(20_000)), "", None, "é" * 5000 + "\u00ad"]
+    assert run(spark, texts) == [None if t is None else model.findings(t) for t in texts]
+
+
+def test_fifty_thousand_findings(spark):
+    text = ("x\u200b" * 50_000)
+    got = run(spark, [text])[0]
+    assert len(got) == 50_000 and got[-1][0] == 99_999
+
+
+def test_counts_ledger_and_inspection(spark):
+    texts = ["a\u200bb\u200b\xa0", "none", None, "\U0001f600\u200b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    counts = df.select("id", scan.count_by_category(F.col("text")).alias("m"), scan.hidden_count(F.col("text")).alias("n")).orderBy("id").collect()
+    assert [r.m for r in counts] == [{"zero_width": 2, "unicode_space": 1}, {}, None, {"zero_width": 1}]
+    assert [r.n for r in counts] == [3, 0, None, 1]
+    assert [(r.id, r.position) for r in scan.ledger(df, ["id"]).orderBy("id", "position").collect()] == [(0, 1), (0, 3), (0, 4), (3, 1)]
+    assert {r.category: r.n for r in scan.category_totals(df, []).collect()} == {"zero_width": 3, "unicode_space": 1}
+    shown = [r[0] for r in df.select("id", scan.inspection(F.col("text")).alias("s")).orderBy("id").select("s").collect()]
+    assert shown == ["a⟦U+200B⟧b⟦U+200B⟧⟦U+00A0⟧", "none", None, "\U0001f600⟦U+200B⟧"]
