@@ -20,7 +20,8 @@ def analyze(df: DataFrame, text: str = "text", settings: Settings = Settings())
     t = F.col("__sound")
     out = out.withColumns({"anomalies": scan.findings(t), "hidden_character_count": scan.hidden_count(t), "character_count": F.length(t).cast("long"), "word_count": stylometry.word_count(t)})
     out = out.withColumn("has_hidden_unicode", F.col("hidden_character_count") > 0)
-    return stylometry.stylometry(out, "__sound").drop("__sound")
+    out = stylometry.stylometry(out, "__sound").drop("__sound")
+    return out.withMetadata("composite_score", {"comment": stylometry.DISCLAIMER})
 
 
 def purify(df: DataFrame, text: str = "text", options: purify_ops.PurifyOptions = purify_ops.PurifyOptions(), settings: Settings = Settings()) -> DataFrame:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.validate import TOO_LARGE, TOO_LONG
 from ..settings import Settings
@@ -53,34 +52,46 @@ def _read(kind: str, content: bytes) -> tuple[str | None, list[str], str | None,
         return None, [], INTERNAL, type(why).__name__
 
 
+_PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("error_code", T.StringType()), T.StructField("error_detail", T.StringType())])
+
+
+def _parser():
+    @F.pandas_udf(_PARSED)
+    def parse(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        found = [(None, [], None, None) if c is None else _read(k, bytes(c)) for k, c in zip(kinds, contents)]
+        return pd.DataFrame(found, columns=["text", "warnings", "error_code", "error_detail"])
+
+    return parse
+
+
 def extract(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """path, length, content -> path, source_type, text, character_count, warnings, error_code, error_detail.
 
-    Checks come before reading: UNSUPPORTED by name, TOO_LARGE by length.  Only docx and pdf rows go to Python.
+    Files are refused before their content is read: TOO_LARGE by length, a filter that the source takes over, and
+    UNSUPPORTED by name.  The others are read once; only the content of docx and pdf files goes to Python.
     """
     kinds = F.create_map(*[F.lit(x) for pair in SUPPORTED.items() for x in pair])
     ext = extension(F.col("path"))
-    rows = files.select("path", "length", "content", ext.alias("ext"), F.element_at(kinds, ext).alias("source_type"))
-    hint = F.when(F.col("ext") == "doc", "old binary format; save as docx or txt").otherwise(F.concat(F.lit("not one of docx, htm, html, pdf, txt: "), F.when(F.col("ext") == "", "unknown").otherwise(F.col("ext"))))
-    error = F.when(F.col("source_type").isNull(), UNSUPPORTED).when(F.col("length") > settings.max_upload_bytes, TOO_LARGE)
-    rows = rows.withColumns({"error_code": error, "error_detail": F.when(F.col("source_type").isNull(), hint)})
-
-    fields = ["path", "source_type", "text", "warnings", "error_code", "error_detail"]
-    refused = rows.filter("error_code is not null").select("path", "source_type", F.lit(None).cast("string").alias("text"), F.array().cast("array<string>").alias("warnings"), "error_code", "error_detail")
-    good = rows.filter("error_code is null")
+    hint = F.when(ext == "doc", "old binary format; save as docx or txt").otherwise(F.concat(F.lit("not one of docx, htm, html, pdf, txt: "), F.when(ext == "", "unknown").otherwise(ext)))
+    empty, large = F.array().cast("array<string>"), F.col("length") > settings.max_upload_bytes
+    kind = F.element_at(kinds, ext)
+    none = F.lit(None).cast("string")
+
+    refused = files.filter(large).select("path", kind.alias("source_type"), none.alias("text"), empty.alias("warnings"), F.when(kind.isNull(), UNSUPPORTED).otherwise(TOO_LARGE).alias("error_code"), F.when(kind.isNull(), hint).alias("error_detail"))
+    rows = files.filter(F.col("length") <= settings.max_upload_bytes).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), "content")
+    packed = F.col("source_type").isin("docx", "pdf")
+    rows = rows.withColumn("p", _parser()(F.col("source_type"), F.when(packed, F.col("content"))))
+    plain = F.col("source_type").isin("txt", "html")
     strict = decode_utf8(F.col("content"))
-    warned = F.when(strict.isNull(), F.array(F.lit(LATIN))).otherwise(F.array().cast("array<string>"))
-    plain = good.filter(F.col("source_type").isin("txt", "html")).select("path", "source_type", decode(F.col("content")).alias("text"), warned.alias("warnings"), "error_code", "error_detail")
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [_read(k, bytes(c)) for k, c in zip(b["source_type"], b["content"])]
-            out = pd.DataFrame(found, columns=["text", "warnings", "error_code", "error_detail"])
-            yield pd.concat([b[["path", "source_type"]].reset_index(drop=True), out], axis=1)
-
-    packed = good.filter(F.col("source_type").isin("docx", "pdf")).select("path", "source_type", "content")
-    packed = packed.mapInPandas(parse, "path string, source_type string, text string, warnings array<string>, error_code string, error_detail string")
-    out = plain.select(*fields).unionByName(packed).unionByName(refused.select(*fields))
+    read = rows.select(
+        "path",
+        "source_type",
+        F.when(plain, decode(F.col("content"))).otherwise(F.col("p.text")).alias("text"),
+        F.when(plain & strict.isNull(), F.array(F.lit(LATIN))).otherwise(F.coalesce("p.warnings", empty)).alias("warnings"),
+        F.when(F.col("source_type").isNull(), UNSUPPORTED).otherwise(F.col("p.error_code")).alias("error_code"),
+        F.coalesce("hint", "p.error_detail").alias("error_detail"),
+    )
+    out = read.unionByName(refused)
     long_ = F.length("text") > settings.max_text_length
     return out.select(
         "path",

@@ -21,6 +21,7 @@ def test_validation(spark, text, code):
 
 def test_analysis(spark):
     df = spark.createDataFrame([(1, "Hello\u200bWorld. It is."), (2, " "), (3, None)], "id long, text string")
+    assert "heuristic" in analyze.analyze(df).schema["composite_score"].metadata["comment"]
     a, b, c = analyze.analyze(df).orderBy("id").collect()
     assert a.has_hidden_unicode and a.hidden_character_count == 1 and a.anomalies[0].codepoint == "U+200B" and a.word_count == 4 and a.character_count == 19 and len(a.signals) == 4 and a.error_code is None
     assert (b.error_code, c.error_code) == ("BLANK", "EMPTY") and b.anomalies is None and b.composite_score is None and c.confidence is None
