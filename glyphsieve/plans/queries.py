@@ -12,6 +12,7 @@ from ..functions.numbers import round3_sql
 from ..operators import purify, scan, stylometry, validate
 from ..settings import Settings
 from ..sources import files
+from ..sources.shared import shared_dir
 from ..streaming import rows as streaming
 from . import analyze, samples
 
@@ -322,15 +323,10 @@ def health(spark, sf_dir):
     return analyze.health(spark).select("status", "ready")
 
 
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{found.rstrip('/') if found else '/tmp'}/glyphsieve-stream-{uuid.uuid4().hex}"
-
-
 @query("stream_scan", f"WITH {_injected_sql()} SELECT doc_id, len(regexp_extract_all(text, '{_FLAGGED_SQL}')) AS hidden, md5(regexp_replace(text, '{_FLAGGED_SQL}', '', 'g')) AS purified FROM t")
 def stream_scan(spark, sf_dir):
     """The scan and the strip over a stream of the documents files, worked off and read back."""
-    path, at = f"{sf_dir}/documents.parquet", _shared(spark)
+    path, at = f"{sf_dir}/documents.parquet", f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
 
     def plan(rows: DataFrame) -> DataFrame:
