@@ -181,12 +181,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
-def keep_recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose text has letters and one language with at least that share of its words."""
+def keep_recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows whose text is not `und` and has one language with at least that share of its words; by default
+    a mixture of any shares is a recognised text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def mask(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        return shares_of(data, off, sent.value[1]).max(1, initial=0) >= least
+        top = shares_of(data, off, sent.value[1]).max(1, initial=0)
+        return (top > 0) & (top >= least)
 
     return keep_rows(docs, text_col, mask, _limit(len(model[0])))
 
