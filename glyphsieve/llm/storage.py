@@ -3,25 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one is set only where the session names none (local tests)."""
-    found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="glyphsieve-")
-        atexit.register(shutil.rmtree, found, True)
-        spark.conf.set(_KEY, found)
-    return found.rstrip("/")
+from ..sources.shared import shared_dir
 
 
 def _fs(spark: SparkSession, path: str):
@@ -30,13 +16,29 @@ def _fs(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+def _clear() -> None:
+    """What results still needed goes when the application ends."""
+    for spark, root in _ROOTS:
+        try:
+            at, fs = _fs(spark, root)
+            fs.delete(at, True)
+        except Exception:  # the JVM is gone already, or the folder is
+            return
+
+
 class Scratch:
     """A folder of tables for one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+        self.paths: dict[int, tuple[DataFrame, str]] = {}  # the table is held, so its id stays its own
+        if not _ROOTS:
+            atexit.register(_clear)
+        _ROOTS.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -46,18 +48,12 @@ class Scratch:
         path = f"{self.path(name)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
+        self.paths[id(out)] = out, path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later step reads."""
         for df in tables:
-            if path := self.paths.pop(id(df), None):
-                at, fs = _fs(self.spark, path)
+            if found := self.paths.pop(id(df), None):
+                at, fs = _fs(self.spark, found[1])
                 fs.delete(at, True)
-
-
-def ls(spark: SparkSession, path: str) -> list[str]:
-    """Names under path, by the path's own file system."""
-    at, fs = _fs(spark, path)
-    return [x.getPath().toString() for x in fs.listStatus(at)] if fs.exists(at) else []
