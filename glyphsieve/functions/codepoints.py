@@ -50,7 +50,14 @@ def char_class(pairs, negated: bool = False) -> str:
     return f"[{'^' * negated}{body}]"
 
 
+def quick_class(*categories: str) -> str:
+    """The class of some categories (all by default) for Java, which tries the ranges of a class one by one: the
+    printable ASCII characters, of which none is flagged, are turned away by the first test."""
+    return f"[[^\\x{{20}}-\\x{{7E}}]&&{char_class(ranges(*categories))}]"
+
+
 FLAGGED = char_class(ranges())
+QUICK_FLAGGED = quick_class()
 WS = char_class(WHITE_SPACE)
 NOT_WS = char_class(WHITE_SPACE, negated=True)
 

@@ -35,7 +35,7 @@ class PurifyOptions:
 def strip(text: Column, options: PurifyOptions = PurifyOptions()) -> Column:
     if not options.categories:
         return text
-    return F.regexp_replace(text, cp.char_class(cp.ranges(*options.categories)), "")
+    return F.regexp_replace(text, cp.quick_class(*options.categories), "")
 
 
 def _normaliser(form: str):

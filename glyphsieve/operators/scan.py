@@ -27,20 +27,20 @@ FINDING = T.StructType(
 
 
 def has_hidden(text: Column) -> Column:
-    return text.rlike(cp.FLAGGED)
+    return text.rlike(cp.QUICK_FLAGGED)
 
 
 def hidden_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(cp.FLAGGED)).cast("long")
+    return F.regexp_count(text, F.lit(cp.QUICK_FLAGGED)).cast("long")
 
 
 def category_count(text: Column, category: str) -> Column:
-    return F.regexp_count(text, F.lit(cp.char_class(cp.ranges(category)))).cast("long")
+    return F.regexp_count(text, F.lit(cp.quick_class(category))).cast("long")
 
 
 def hidden_characters(text: Column) -> Column:
     """The flagged characters in order."""
-    return F.regexp_extract_all(text, F.lit(f"({cp.FLAGGED})"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(f"({cp.QUICK_FLAGGED})"), F.lit(0))
 
 
 def _finding(position: Column, char: Column, before: Column, after: Column) -> Column:
@@ -69,7 +69,7 @@ def _sparse(text: Column) -> Column:
 
         return F.transform(hidden_characters(text), at)
 
-    return _let(F.transform(F.split(text, cp.FLAGGED, -1), F.length), placed)
+    return _let(F.transform(F.split(text, cp.QUICK_FLAGGED, -1), F.length), placed)
 
 
 def _dense(text: Column) -> Column:
@@ -79,7 +79,7 @@ def _dense(text: Column) -> Column:
             after = F.array_join(F.slice(chars, i + 2, F.lit(CONTEXT)), "")
             return _finding(i, F.get(chars, i), before, after)
 
-        places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(cp.FLAGGED), i)), lambda i: i.isNotNull())
+        places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(cp.QUICK_FLAGGED), i)), lambda i: i.isNotNull())
         return F.transform(places, at)
 
     return _let(F.split(text, ""), walked)
@@ -88,7 +88,7 @@ def _dense(text: Column) -> Column:
 def findings(text: Column) -> Column:
     """All findings in order of position; an empty array without any, null for a null text."""
     none = F.array().cast(T.ArrayType(FINDING))
-    count = F.regexp_count(text, F.lit(cp.FLAGGED))
+    count = F.regexp_count(text, F.lit(cp.QUICK_FLAGGED))
     return F.when(text.isNull(), F.lit(None)).when(count == 0, none).when(count <= DENSE, _sparse(text)).otherwise(_dense(text))
 
 
@@ -114,7 +114,7 @@ def counts_map(text: Column, categories: tuple[str, ...]) -> Column:
         return F.when(text.isNotNull(), empty)
     keys = F.array(*map(F.lit, categories))
     full = F.map_from_arrays(keys, F.array(*[category_count(text, c) for c in categories]))
-    found = text.rlike(cp.char_class(cp.ranges(*categories)))
+    found = text.rlike(cp.quick_class(*categories))
     return F.when(found, F.map_filter(full, lambda _, n: n > 0)).when(text.isNotNull(), empty)
 
 
@@ -130,6 +130,6 @@ def category_totals(df: DataFrame, by: list[str], text: str = "text") -> DataFra
 def inspection(text: Column) -> Column:
     """The text with every flagged character replaced by its code point in white brackets."""
     chars = F.transform(hidden_characters(text), lambda c: F.concat(F.lit("⟦"), cp.codepoint_of(c), F.lit("⟧")))
-    parts = F.split(text, cp.FLAGGED, -1)
+    parts = F.split(text, cp.QUICK_FLAGGED, -1)
     shown = F.array_join(F.flatten(F.zip_with(parts, chars, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
     return F.when(has_hidden(text), shown).otherwise(text)

@@ -33,13 +33,21 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table, dealt out over the cores where it has fewer files than cores: a small file is one row group, which
+    Spark does not split.  Tables of many files are read as they lie, without a shuffle."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{table}.parquet"), spark.sparkContext.defaultParallelism
+    few = df.rdd.getNumPartitions() <= 4 * cores and len(df.inputFiles()) < cores
+    return df.repartition(cores) if few else df
+
+
 def _injected(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     keys, text = TEXTS[table]
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*keys, samples.inject(F.col(text), F.col(keys[0])).alias("text"))
+    return _load(spark, sf_dir, table).select(*keys, samples.inject(F.col(text), F.col(keys[0])).alias("text"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return _load(spark, sf_dir, "documents")
 
 
 def _injected_sql(table: str = "documents") -> str:
@@ -211,7 +219,7 @@ def word_count(spark, sf_dir):
 
 @query("sentence_stats", f"WITH {_style_sql('SELECT row_number() OVER () AS id, conv_id, turn, text FROM conversations', 'id, conv_id, turn')} SELECT conv_id, turn, s AS sentences, coalesce(list_sum(l), 0)::BIGINT AS words FROM b")
 def sentence_stats(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("l", F.transform(stylometry.sentences(F.col("text")), lambda s: F.regexp_count(s, F.lit(stylometry.WORD))))
+    rows = _load(spark, sf_dir, "conversations").withColumn("l", F.transform(stylometry.sentences(F.col("text")), lambda s: F.regexp_count(s, F.lit(stylometry.WORD))))
     return rows.select("conv_id", "turn", F.size("l").cast("long").alias("sentences"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("words"))
 
 
@@ -270,7 +278,7 @@ def extract_txt(spark, sf_dir):
 
 @query("extract_html", _identity_sql("pages", "page_id", "html", "html", "0"))
 def extract_html(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = _load(spark, sf_dir, "pages")
     return _extracted(files.extract(samples.as_files(pages, "page_id", "html", "HTM")), "page_id")
 
 
