@@ -35,7 +35,7 @@ def test_repeated_phrase_is_not_diverse(spark):
 def test_edges(spark):
     sentence = "One two three four five six seven eight nine ten. "
     check(spark, ["", " ", "a", "ab", "word", "same same same", "漢字だけ", "一。 A! B? C.", "a. b. c.", "!. ?. ..", "one two three four five six seven eight nine", "one two three four five six seven eight nine ten"])
-    check(spark, [sentence * 5 + "a " * 9, sentence * 6, sentence * 19 + "a " * 9, sentence * 20, sentence * 60, "İstanbul K ΑΣ. " * 20, "x\x85y z\x1cw. v"])
+    check(spark, [sentence * 5 + "a " * 9, sentence * 6, sentence * 19 + "a " * 9, sentence * 20, sentence * 60, "\u0130stanbul \u212a ΑΣ. " * 20, "x\x85y z\x1cw. v"])
 
 
 def test_prose(spark):
@@ -65,5 +65,5 @@ def test_rounding_is_pythons(spark, many):
 
 
 def test_words_differ_from_counted_words(spark):
-    r = spark.createDataFrame([("K İx",)], "t string").select(F.size(stylometry.words(F.col("t"))), stylometry.word_count(F.col("t"))).first()
-    assert r[0] > r[1] == 1
+    r = spark.createDataFrame([("\u212a \u0130x",)], "t string").select(F.size(stylometry.words(F.col("t"))), stylometry.word_count(F.col("t"))).first()
+    assert tuple(r) == (3, 1)
