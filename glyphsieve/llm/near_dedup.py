@@ -7,8 +7,9 @@ two documents share its fingerprint with probability similarity^ROWS.  Sharing a
 are verified on their whole shingle sets.
 
 Documents with equal shingle sets are one node.  Buckets of up to FEW nodes are verified pair by pair.  In larger
-ones each node is held against the bucket's hub, the node that meets most others over all its buckets, which for
-a family of edited copies is the text that they were made from.
+ones each node is first held against the bucket's hub, the node that meets most others over all its buckets, which
+for a family of edited copies is the text that they were made from.  Where that leaves a bucket in several groups,
+all its pairs across groups are compared, in pairs of blocks of bounded size, so every candidate is decided.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .storage import Scratch
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, FEW = 16, 3, 8
+#: A crowded bucket is compared in pairs of blocks of about so many nodes and bytes of shingles; shingles at once.
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 4 << 20, 2048
 _POWERS = Powers(np.uint64(0xA0761D6478BD642F))
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,6 +107,55 @@ def _verified(similarity: float):
     return run
 
 
+def _across(similarity: float):
+    """Links between the groups of a pair of blocks, as few as join all that similar pairs join.
+
+    A pair is compared in the first bucket that both share, so once over all bands.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        node, label, own, i, j = (t[c].to_numpy() for c in ("node", "label", "own", "i", "j"))
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        keys = pa.concat_arrays(t["keys"].chunks).flatten().to_numpy().reshape(len(node), -1)
+        open_ = label[left][:, None] != label[right][None, :]
+        if i[0] == j[0]:
+            open_ &= np.tri(len(left), k=-1, dtype=bool)
+        for band in range(t["band"][0].as_py()):
+            open_ &= keys[left, band][:, None] != keys[right, band][None, :]
+        a, b = [], []
+        if open_.any():
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["grams"]]
+            size = np.array([len(x) for x in sets])
+            row = np.repeat(np.arange(len(sets)), size)
+            _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            row, column = row[times[column] > 1], (np.cumsum(times > 1) - 1)[column[times[column] > 1]]
+            order = np.argsort(column, kind="stable")
+            row, column = row[order], column[order]
+            both = np.zeros(open_.shape, np.float32)
+            for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+                lo, hi = np.searchsorted(column, (c, c + COLUMNS))
+                held = np.zeros((len(sets), COLUMNS), np.float32)
+                held[row[lo:hi], column[lo:hi] - c] = 1
+                both += held[left] @ held[right].T
+            both = both.astype(np.int64)
+            x, y = np.nonzero(open_ & (both >= similarity * (size[left][:, None] + size[right][None, :] - both)))
+            group = {g: g for g in np.unique(label).tolist()}
+            for p, q in zip(left[x].tolist(), right[y].tolist()):
+                g, h = int(label[p]), int(label[q])
+                while group[g] != g:
+                    group[g] = g = group[group[g]]
+                while group[h] != h:
+                    group[h] = h = group[group[h]]
+                if g != h:
+                    group[g] = h
+                    a.append(int(node[p]))
+                    b.append(int(node[q]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, k, root, keeper.
 
@@ -139,12 +191,26 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # verification on whole sets
     wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("id").alias("wid"), F.col("k").alias("wk")), "node")
     found = base.join(wanted, (base["k"] == F.col("wk")) & base["id"].eqNullSafe(F.col("wid"))).select("node", "t")
-    sets = scratch.write(found.mapInArrow(_sets, "node bigint, grams binary").dropDuplicates(["node"]), "sets")
+    sets = scratch.write(found.mapInArrow(_sets, "node bigint, grams binary").dropDuplicates(["node"]).withColumn("size", F.octet_length("grams")), "sets")
     both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     true = scratch.write(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a bigint, b bigint"), "true")
-    scratch.drop(shared, members, crowd, hubs, prints, links, sets)
+    roots = scratch.write(connected_components(true, scratch), "roots")
+
+    # what the hubs left open in crowded buckets
+    label = F.coalesce("root", "node").alias("label")
+    labelled = crowd.join(roots, "node", "left").join(sets.select("node", "size"), "node").select("band", "value", "node", label, "size")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
+    parted = labelled.groupBy("band", "value").agg(blocks.alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    parted = scratch.write(parted.select("band", "value", "blocks"), "parted")
+    if parted.head(1):
+        rest = labelled.select("band", "value", "node", "label").join(parted, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rest = rest.join(nodes.select("node", F.concat("bands", F.array("fp")).alias("keys")), "node").join(sets.select("node", "grams"), "node")
+        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        more = rest.groupBy("band", "value", "i", "j").applyInArrow(_across(similarity), "a bigint, b bigint")
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+        roots = scratch.write(connected_components(joined, scratch), "roots")
+    scratch.drop(shared, members, crowd, hubs, prints, links, sets, parted)
 
-    roots = connected_components(true, scratch).select("node", "root")
     rooted = scratch.write(nodes.join(roots, "node", "left").select("node", "id", "k", F.coalesce("root", "node").alias("root")), "rooted")
     best = scratch.write(rooted.groupBy("root").agg(F.min(who).alias("w")).select(F.col("root").alias("broot"), F.col("w.id").alias("bid"), F.col("w.k").alias("bk")), "best")
     named = scratch.write(rooted.join(best, F.col("root") == F.col("broot")).select(F.col("node").alias("n2"), "root", "bid", "bk"), "named")

@@ -60,6 +60,25 @@ def test_against_brute_force(spark, seed):
     assert len(keepers) == len(set(seen)) and (split or keepers == sorted(set(want)))
 
 
+def test_many_edited_copies_without_their_original(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)  # so that several blocks meet
+    rng = random.Random(11)
+    first, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(240):
+        v = list(first)
+        for at in rng.sample(range(300), rng.randint(3, 5)):
+            v[at] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(v))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = near_dedup.near_duplicate_groups(df).collect()
+    got, want = {}, {}
+    for r in rows:
+        got.setdefault(r.root, set()).add(r.id)
+    for i, g in enumerate(brute(texts)):
+        want.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and max(map(len, want.values())) > 100
+
+
 def test_one_row_stays(spark):
     rows = [(3, "same text here now ok", "a"), (1, "same text here now ok", "b"), (1, "same text here now ok", "b"), (None, "SAME text here now ok", "c"), (9, "another thing", None), (None, None, "d")]
     df = spark.createDataFrame(rows, "doc_id long, text string, k string")
