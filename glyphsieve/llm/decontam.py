@@ -6,7 +6,8 @@ by all block values that near finds every item within the radius.  Candidates ar
 (multiset) similarity of their word shingles.
 
 A window at the threshold shares that share of its shingles with the item, so only windows with as many shingles
-known from the benchmark are fingerprinted at all; this leaves nothing out.
+known from the benchmark are fingerprinted at all; this leaves nothing out.  A document shorter than an item is
+its own window, held to the share that both lengths ask for.
 """
 
 from __future__ import annotations
@@ -99,6 +100,17 @@ class Items:
         h = word_hashes(data, starts, ends)
         pre = prefix(h, _POWERS)
         best: dict[tuple[int, int], tuple] = {}
+        count = np.diff(first)
+
+        def keep(doc: int, n: int, s: int, size: int, window: np.ndarray) -> None:
+            """Hold the window of size words from s against the items of n words."""
+            fingerprint = int(_simhash(window))
+            for item in self.candidates(n, fingerprint):
+                value = self.similarity(item, window)
+                key = (doc, item)
+                if value >= self.threshold - 1e-12 and (key not in best or value > best[key][0]):
+                    best[key] = (value, s - int(first[doc]), size, (int(self.prints[item]) ^ fingerprint).bit_count())
+
         for k, known in self.known.items():
             grams = _grams(h, pre, k)
             hit = np.flatnonzero(self.filters[k][(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -107,10 +119,14 @@ class Items:
             text = np.searchsorted(first, hit, "right") - 1
             inside = hit + k <= first[text + 1]
             hit, text = hit[inside], text[inside]
+            held = np.bincount(text, minlength=len(count))
             for n, members in self.by_size.items():
                 if min(SHINGLE, n) != k:
                     continue
                 m = n - k + 1
+                for i in np.flatnonzero((held > 0) & (count >= k) & (count < n) & (held >= self.threshold * (m + count - k + 1) / 2 - 1e-9)).tolist():
+                    a0, size = int(first[i]), int(count[i])
+                    keep(i, n, a0, size, grams[a0 : a0 + size - k + 1])
                 need = max(1, int(np.ceil(self.threshold * m - 1e-9)))
                 if len(hit) < need:
                     continue
@@ -123,13 +139,7 @@ class Items:
                     if i and t[i] == t[i - 1]:
                         a0 = max(a0, int(high[i - 1]) + 1)
                     for s in range(a0, int(high[i]) + 1):
-                        window = grams[s : s + m]
-                        fingerprint = int(_simhash(window))
-                        for item in self.candidates(n, fingerprint):
-                            value = self.similarity(item, window)
-                            key = (int(t[i]), item)
-                            if value >= self.threshold - 1e-12 and (key not in best or value > best[key][0]):
-                                best[key] = (value, s - int(first[t[i]]), n, (int(self.prints[item]) ^ fingerprint).bit_count())
+                        keep(int(t[i]), n, s, n, grams[s : s + m])
         for (doc, item), (value, s, n, bits) in sorted(best.items()):
             yield doc, item, value, s, n, bits
 
@@ -152,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     Words are runs of letters and digits, ASCII letters in lower case.  Similarity is that of five-word shingles;
     an item of fewer words is one shingle, and one without words matches nothing.  A document shorter than the
-    item has no window of its size.  Defined cases: null texts have no words; repeated rows of documents give
+    item is one window as a whole.  Defined cases: null texts have no words; repeated rows of documents give
     their rows again, repeated items too; null ids are kept as they are; empty tables give no rows.
     No shuffle: the benchmark goes to the documents, in slices of bounded size.
     """

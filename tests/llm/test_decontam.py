@@ -65,6 +65,36 @@ def test_against_brute_force(spark, seed):
     assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in want)
 
 
+def brute_short(docs, items, threshold=0.8):
+    """The documents shorter than an item, each held against it as a whole."""
+    out = {}
+    for d, text in docs:
+        for i, item in items:
+            w, v = words_of(text), words_of(item)
+            if 5 <= len(w) < len(v):
+                value = 2 * (shingles(w) & shingles(v)).total() / (shingles(w).total() + shingles(v).total())
+                if value >= threshold - 1e-12:
+                    out[d, i] = (value, 0)
+    return out
+
+
+def test_documents_shorter_than_the_item(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"v{rng.randrange(200)}" for _ in range(n))) for i, n in enumerate([5, 6, 12, 30, 40, 40, 60])]
+    docs = []
+    for _, item in items:
+        for cut in (1, 1, 2, 4, 12):
+            v = item.split()
+            for _ in range(min(cut, len(v) - 1)):
+                del v[rng.choice([0, len(v) - 1, rng.randrange(len(v))])]
+            docs.append((len(docs), " ".join(v)))
+    got, want = run(spark, docs, items), brute(docs, items) | brute_short(docs, items)
+    assert got.keys() == want.keys() and len(want) > 10
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in decontam.drop_leaks(d, b).collect()} == {x for x, _ in docs} - {x for x, _ in want}
+
+
 def test_slices_find_the_same(spark, monkeypatch):
     docs, items = corpus(7)
     whole = run(spark, docs, items)
