@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text handled at once; one longer text is a piece of its own.
 PIECE_BYTES = 1 << 20
@@ -15,7 +16,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+#: Words of more bytes are hashed one by one, by XXH3.
+LONG_WORD = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def flat(col) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +94,6 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_POWERS = Powers()
-
-
 def prefix(values: np.ndarray, powers: Powers) -> np.ndarray:
     """Prefix sums of values[i] * base^i, with a leading 0."""
     up, _ = powers.to(len(values) + 1)
@@ -108,9 +108,25 @@ def ranged(pre: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers
     return (pre[ends] - pre[starts]) * down[starts]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A keyed 64-bit hash of the bytes of each word; hashes under different keys are independent.
+
+    Eight bytes at a time go through the finaliser, so no pattern of repeated letters cancels out, and words of up
+    to eight bytes of one size never collide.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    h = ranged(prefix(_BYTE[data], _POWERS), starts, ends, _POWERS)
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    size = ends - starts
+    h = mix((size.astype(np.uint64) + np.uint64(1)) * _BASE + np.uint64(key * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    long = np.flatnonzero(size > LONG_WORD)
+    some = np.flatnonzero((size > 0) & (size <= LONG_WORD)) if len(long) or not size.all() else np.arange(len(size))
+    at = 0
+    while len(some):
+        h[some] = mix(h[some] ^ (eight[starts[some] + at] & _LOW[np.minimum(size[some] - at, 8)]))
+        at += 8
+        some = some[size[some] > at]
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b], key + 1) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+    return h

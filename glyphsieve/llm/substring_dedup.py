@@ -3,8 +3,9 @@
 1. Every text is parsed by `recompression`.  A symbol whose dependency range lies within a window must recur
    with every other occurrence of that window.  The symbols of all documents meet in one exchange.
 2. A window is left as a candidate only if each such symbol inside it occurs more than once (windows that hold
-   no such symbol always stay candidates, so long repetitive stretches lose nothing).  The 96-bit hashes of the
-   candidates meet in a second exchange, which verifies the repeats word by word sequence.
+   no such symbol always stay candidates, so long repetitive stretches lose nothing).  The candidates' hashes meet
+   in a second exchange, which verifies the repeats: 64 bits from one hash of each word and 32 from another under
+   its own key, so that neither a colliding word nor a pattern of words makes different windows equal.
 3. The words of the repeated windows go.
 
 Before each exchange a task settles what it can see itself: material that repeats within the task is known to
@@ -166,7 +167,8 @@ def _window_rows(window: int) -> Callable:
             out = useful & ~shared
             at = np.flatnonzero(_window_places(first, len(starts), window) & ~_covered(len(starts), low[out], high[out]))
             one = ranged(prefix(h, _ONE), at, at + window, _ONE)
-            two = (ranged(prefix(h, _TWO), at, at + window, _TWO) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            other = word_hashes(data, starts, ends, 1)
+            two = (ranged(prefix(other, _TWO), at, at + window, _TWO) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             doc = np.searchsorted(first, at, "right") - 1
             held.append((one, two, part.column(0).to_numpy()[doc], at - first[doc]))
             n += len(at)

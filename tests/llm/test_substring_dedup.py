@@ -70,6 +70,25 @@ def test_many_small_flushes(spark, monkeypatch):
     assert run(spark, texts, parts=5) == brute(texts, 35)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Words of a pattern on which polynomial hashes modulo a power of two collide, and windows of such words."""
+    same = " ".join(f"s{i}" for i in range(34))
+    texts = [f"{same} {x}" for n in (64, 1024, 2048, 4096) for x in (thue_morse(n), thue_morse(n, "b", "a"))]
+    pattern = [thue_morse(64, "x ", "y ") + "z", thue_morse(64, "y ", "x ") + "z", "u " * 2000 + "v " * 2000]
+    assert run(spark, texts + pattern) == brute(texts + pattern, 35)
+
+
+def test_one_very_long_text_and_word(spark):
+    rng = random.Random(3)
+    long = " ".join(f"q{rng.randrange(10**6)}" for _ in range(700_000))  # 5 MB
+    texts = [long, "start " + long[:300] + " end", "x" * 2_000_000 + " " + "y " * 40, None]
+    assert run(spark, texts) == brute(texts, 35)
+
+
 def test_single_word_runs(spark):
     texts = ["a " * 34, "a " * 35, "a " * 36, "b " * 500, "c d " * 18 + "c", "e " * 35 + "f", "g " + "h " * 34]
     assert run(spark, texts) == brute(texts, 35)
