@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat_format, decontam, language_id, licenses, quality, simhash, substring_dedup, warc
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +82,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "item_id", "similarity", "first_word", "n_words")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,28 +102,3 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op2_chat_format": r"""
-        WITH c AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-        t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c),
-        p AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM before THEN length('<|im_sep|>')
-                             ELSE length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length('<|im_end|>') + 1 END
-                        + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM t)
-        SELECT conv_id, count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-               length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-               sum(chars)::BIGINT AS formatted_chars
-        FROM p GROUP BY conv_id""",
-    "op3_warc": """
-        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-        q AS (SELECT page_id, html, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS top FROM p)
-        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
-               CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
-        FROM q""",
-}
