@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from .license_texts import TEMPLATES
+
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), {_LOWER}), '[^a-z0-9]+'), lambda w: w <> '')"
+_QUOTED = ", ".join("({}, '{}', '{}', '{}')".format(i, name, kind, text.replace("'", "''")) for i, (name, kind, text) in enumerate(TEMPLATES))
+
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
         WITH c AS (
@@ -58,4 +64,34 @@ ORACLE_SQL: dict[str, str] = {
         v AS (SELECT r, b, s, size, 2 * sum(shared)::DOUBLE / weight AS similarity FROM g GROUP BY r, b, s, size, weight),
         best AS (SELECT *, row_number() OVER (PARTITION BY r, b ORDER BY similarity DESC, s) AS o FROM v WHERE similarity >= 0.8 - 1e-12)
         SELECT doc_id, item_id, similarity, s::BIGINT AS first_word, size::BIGINT AS n_words FROM best JOIN d USING (r) JOIN b USING (b) WHERE o = 1""",
+    "op7_license_scan": rf"""
+        WITH tpl(number, license, kind, text) AS (VALUES {_QUOTED}),
+        t AS (SELECT number, license, kind, {_WORDS} AS ws FROM tpl),
+        d AS (SELECT row_number() OVER () AS rid, doc_id, concat_ws('/', source, lang, doc_id::VARCHAR) AS path, text IS NOT NULL AS present, {_WORDS} AS ws FROM documents),
+        total AS (SELECT count(*) AS docs FROM d WHERE present),
+        tw AS (SELECT number, word, count(*) AS c FROM (SELECT number, unnest(ws) AS word FROM t) GROUP BY ALL),
+        df AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT rid, unnest(ws) AS word FROM d) GROUP BY word),
+        idf AS (SELECT word, ln((1 + docs) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT word FROM tw) LEFT JOIN df USING (word), total),
+        raw AS (SELECT number, word, c, idf, c * idf AS x FROM tw JOIN idf USING (word)),
+        unit AS (SELECT *, x / sqrt(sum(x * x) OVER (PARTITION BY number)) AS weight FROM raw),
+        picked AS (SELECT *, sum(weight * weight) OVER (PARTITION BY number ORDER BY idf DESC, c, word ROWS UNBOUNDED PRECEDING) - weight * weight AS before FROM unit),
+        tp AS (SELECT number, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM t),
+        anchor AS (SELECT number, n, word, place FROM tp JOIN picked USING (number, word) WHERE 1 - before >= (0.7 - 1e-9) * (0.7 - 1e-9)),
+        dp AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+        cand AS (SELECT DISTINCT rid, number, n, pos - place AS start FROM dp JOIN anchor USING (word)),
+        win AS (SELECT rid, number, n, start, unnest(ws[greatest(0, start) + 1:least(len(ws), start + n)]) AS word FROM cand JOIN d USING (rid)),
+        tf AS (SELECT rid, number, n, start, word, count(*) AS c FROM win GROUP BY ALL),
+        x AS (SELECT rid, number, n, start, c * coalesce(idf, ln(1 + docs) + 1) AS x, coalesce(weight, 0) AS weight FROM tf LEFT JOIN idf USING (word) LEFT JOIN (SELECT number, word, weight FROM unit) USING (number, word), total),
+        scored AS (SELECT rid, number, n, start, least(round(sum(x * weight) / sqrt(sum(x * x)), 6), 1.0) AS score FROM x GROUP BY ALL),
+        matched AS (SELECT rid, license, kind, score, greatest(0, start) AS first_word, start + n AS stop FROM scored JOIN t USING (number) WHERE score >= 0.7),
+        own AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, license, first_word) AS o FROM matched) WHERE o = 1),
+        inside AS (SELECT DISTINCT rid, len(ws) AS size, unnest(range(first_word, least(stop, len(ws)))) AS p FROM matched JOIN d USING (rid) WHERE kind = 'text'),
+        mainly AS (SELECT rid FROM inside GROUP BY rid, size HAVING count(*) >= 0.5 * size),
+        grants AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license, score, path AS origin FROM own JOIN d USING (rid)
+                   WHERE rid IN (SELECT rid FROM mainly) OR regexp_matches(regexp_extract(path, '[^/]*$'), '(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$')),
+        best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, origin, license) AS o FROM grants) WHERE o = 1),
+        near AS (SELECT rid, arg_max(struct_pack(license, score, origin), length(dir)) AS g FROM d JOIN best ON dir = '' OR starts_with(path, dir || '/') GROUP BY rid)
+        SELECT d.doc_id, d.path, coalesce(own.license, g.license) AS license, coalesce(own.score, g.score) AS score, own.first_word::BIGINT AS first_word,
+               CASE WHEN own.rid IS NOT NULL THEN 'header' WHEN g IS NOT NULL THEN 'inherited' END AS via, CASE WHEN own.rid IS NULL THEN g.origin END AS origin
+        FROM d LEFT JOIN own USING (rid) LEFT JOIN near USING (rid)""",
 }
