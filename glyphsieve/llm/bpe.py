@@ -4,12 +4,17 @@ Each distinct word gets a segment tree whose leaves are the ranks of its adjacen
 least (rank, place) below.  The root is the leftmost pair of lowest rank; merging it changes three leaves, each
 brought up to the root in a logarithmic number of steps, until the root is empty.  The trees of many words are
 worked on together as rows of one array; a very long word has a tree of its own.
+
+Texts are cut into words by Python where all their characters are of long settled blocks, on whose classes, case and
+composition every Unicode version agrees; other texts are normalised and cut by the tokenizers library itself, whose
+tables are of another version.  The merges are those of the trees here in either case.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -21,13 +26,21 @@ from pyspark.sql import functions as F
 
 from .arrowtext import pieces
 
-#: Words kept encoded by a worker; when they are too many, it starts anew.
-KEPT_WORDS = 400_000
+#: Bytes of words, ids and their bookkeeping that a worker keeps; when they are too many, it starts anew.
+KEPT_BYTES = 96 << 20
+_ENTRY_BYTES = 200
 #: Bytes beyond which a word has a tree of its own.
 LONG_WORD = 256
 _EMPTY = np.int64(1 << 62)
 #: White space, as Unicode's property has it.
 _WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Anything but settled characters that neither combine nor change with what stands beside them: Latin, Greek, Cyrillic,
+#: Hebrew and Arabic letters, punctuation and symbols, kana, the first ideographs, Hangul syllables and full-width forms.
+_UNSETTLED = re.compile(
+    "[^\0-ʯΑ-ΡΣ-ώЀ-҂Ҋ-ӿא-תء-غف-ي٠-٩"
+    "Ḁ-ẛẠ-ỹ -‧‪-⁞₠-₵←-⇿∀-⋿─-◿"
+    "　-〩ぁ-ゖ゛-ゞァ-ヾ一-龥가-힣！-～]"
+)
 
 
 def byte_letters() -> list[str]:
@@ -68,7 +81,9 @@ class Vocabulary:
         self.at_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._table()
         self.ranks = {(a, b): r for r, (a, b) in reversed(list(enumerate(zip(self.left.tolist(), self.right.tolist()))))}
+        self.raw, self.library, self.byte_of = raw, None, {c: b for b, c in enumerate(letters)}
         self.kept: dict[str, bytes] = {}
+        self.kept_bytes = 0
 
     def _table(self) -> None:
         """An open-addressed table from pairs to ranks."""
@@ -111,17 +126,32 @@ class Vocabulary:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():  # lower case letter by letter: no final sigma
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.words.findall(text.lower())
+        if text.isascii():
+            return self.words.findall(text.lower())
+        if _UNSETTLED.search(text):
+            return self._by_library(text)
+        # lower case letter by letter: no final sigma
+        return self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _by_library(self, text: str) -> list[str]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_str(self.raw.decode())
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        byte = self.byte_of
+        return [bytes(byte[c] for c in w).decode() for w, _ in cut]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) for t in texts]
-        if len(self.kept) > KEPT_WORDS or not self.kept:
+        if self.kept_bytes > KEPT_BYTES or not self.kept:
             self.kept = {x: np.uint32(i).astype("<u4").tobytes() for x, i in self.special.items()}
+            self.kept_bytes = 0
         new = list(set().union(*split).difference(self.kept)) if split else []
-        self.kept.update(zip(new, self.encode_words(new)))
+        ids = self.encode_words(new)
+        self.kept.update(zip(new, ids))
+        self.kept_bytes += _ENTRY_BYTES * len(new) + 2 * sum(map(len, new)) + sum(map(len, ids))
         get = self.kept.__getitem__
         return [b"".join(map(get, w)) for w in split]
 

@@ -63,7 +63,7 @@ def test_nulls_repeats_and_clashing_columns(spark):
 
 
 def test_cache_starts_anew(vocabulary, library, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 3)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 300)
     for text in ("one two three four five", "six seven", "one two"):
         assert np.frombuffer(vocabulary.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
@@ -71,3 +71,26 @@ def test_cache_starts_anew(vocabulary, library, monkeypatch):
 def test_other_files_are_refused():
     with open(vocabulary_path("byte_bpe_50k.json"), "rb") as f, pytest.raises(ValueError):
         bpe.Vocabulary(f.read())
+
+
+def test_every_code_point_alone_and_with_marks(vocabulary, library):
+    """Frames around every code point that a text can hold, with and without combining marks."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    settled = [c for c in points if not bpe._UNSETTLED.search(c)]
+    assert len(settled) > 30_000
+    texts = [f.format(c) for f in ("a{0}b {0}1{0}A{0}Z {0}{0}", "a{0}b {0}1{0}\u0301A{0}Z", "\u0327{0}\u0301\u0323{0}") for c in settled]
+    texts += [" ".join(f"a{c}b {c}1{c}A{c}Z {c}\u0301" for c in points[at : at + 64]) for at in range(0, len(points), 64)]
+    for at in range(0, len(texts), 20_000):
+        want = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts[at : at + 20_000], add_special_tokens=False)]
+        assert vocabulary.encode(texts[at : at + 20_000]) == want
+
+
+def test_texts_of_some_megabytes(spark, library):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    long = [" ".join(rng.choice(words) for _ in range(500_000)), "ab" * 300_000, "漢字 é\u0301 " * 100_000]
+    df = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    for r in bpe.encode_and_decode(df, vocabulary_path()).collect():
+        want = library.encode(long[r.id], add_special_tokens=False).ids
+        assert bytes(r.ids) == np.array(want, "<u4").tobytes() and r.n_tokens == len(want)
+        assert r.decoded == library.decode(want, skip_special_tokens=False)
