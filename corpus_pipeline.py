@@ -15,7 +15,7 @@ from glyphsieve.llm.storage import Scratch
 
 
 def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language, or a mixture of some, is recognised; those that are `und` go."""
+    """Keeps documents of whose words half are recognised in the languages inferred for them, mixtures included."""
     return language_id.keep_recognised(docs, language_id.train(docs.filter(language_id.fold() != 1)))
 
 

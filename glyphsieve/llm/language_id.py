@@ -1,9 +1,14 @@
 """Language mixtures: EM over word likelihoods from byte trigrams, the language set chosen by penalised likelihood.
 
 Each language is a smoothed distribution over hashed trigrams of UTF-8 bytes, counted over all training texts.
-The words of a document are the units of the mixture: EM estimates the share of words that each language wrote.
-The sets {best single language} and {the k heaviest languages of the full mixture} compete by their likelihood
-less half the logarithm of the number of words for each language after the first.
+The words of a document are the units of the mixture: EM estimates the share of words that each language wrote, and
+goes on until the shares stand still.  The sets {best single language} and {the k heaviest languages of the full
+mixture}, for every k up to the number of languages, compete by their likelihood less 1 and half the logarithm of the
+number of words for each language after the first; sets that cannot win, as all languages together are likelier than
+any set, are passed over.
+
+A word is recognised if one of the document's languages gives it a higher likelihood than chance, chance being equal
+probabilities of all trigrams.
 """
 
 from __future__ import annotations
@@ -17,10 +22,14 @@ from pyspark.sql import functions as F
 
 from .arrowtext import PIECE_BYTES, pieces
 from .rowfilter import keep_rows
+from .storage import Scratch
 
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
-ROUNDS, LARGEST_SET = 8, 3
+#: EM ends once no share moves by more; the number of rounds is a safeguard that is not met in practice.
+STILL, MOST_ROUNDS = 1e-4, 2000
+#: A column with more languages than this is taken for a wrong one: models are sent to every task.
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
 #: Letters in lower case and all bytes of longer characters; every other ASCII byte is a border.
@@ -76,49 +85,88 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
         yield from flush()
 
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).filter("t is not null and lang is not null")
-    found = rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(found["lang"].unique())
-    table = np.full((len(langs), BUCKETS), SMOOTHING)
-    row = {x: i for i, x in enumerate(langs)}
-    table[found["lang"].map(row).to_numpy(np.int64), found["bucket"].to_numpy(np.int64)] += found["n"].to_numpy(np.float64)
-    return langs, np.log(table / table.sum(1, keepdims=True)).astype(np.float32) if langs else table.astype(np.float32)
-
-
-def mixture(likely: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    scratch = Scratch(docs.sparkSession, "languages")
+    found = scratch.write(rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
+    if (n := found.select("lang").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages in {lang_col}; the bound is {MOST_LANGUAGES}")
+
+    def dense(t: pa.Table) -> pa.Table:
+        row = np.full(BUCKETS, SMOOTHING)
+        row[t["bucket"].to_numpy()] += t["n"].to_numpy()
+        return pa.table({"lang": t["lang"].slice(0, 1), "logs": pa.array([np.log(row / row.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+    out = sorted((r["lang"], bytes(r["logs"])) for r in found.groupBy("lang").applyInArrow(dense, "lang string, logs binary").collect())
+    scratch.drop(found)
+    return [x[0] for x in out], np.frombuffer(b"".join(x[1] for x in out), np.float32).reshape(-1, BUCKETS)
+
+
+class _Words:
+    """The words of some documents, as likelihoods relative to each word's best language."""
+
+    def __init__(self, likely: np.ndarray, first: np.ndarray):
+        self.first, self.count = first, np.diff(first)
+        self.peak = likely.max(1)
+        self.p = np.exp(likely - self.peak[:, None])
+        self.peaks = np.add.reduceat(self.peak, first[:-1], dtype=np.float64)
+
+    def of(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(likelihoods, document of each word, first word of each document) of some of the documents."""
+        n = self.count[docs]
+        first = np.cumsum(n) - n
+        doc = np.repeat(np.arange(len(docs)), n)
+        return self.p[np.arange(n.sum()) - first[doc] + self.first[docs][doc]], doc, first
+
+    def em(self, docs: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shares, log likelihoods) that EM settles at from shares w; languages at 0 stay there."""
+        out, value = w.copy(), np.zeros(len(docs))
+        open_ = np.arange(len(docs))
+        p, doc, first = self.of(docs)
+        for turn in range(MOST_ROUNDS):
+            r = p * w.astype(np.float32)[doc]
+            inside = np.maximum(r.sum(1), np.float32(1e-30))
+            r /= inside[:, None]
+            new = np.add.reduceat(r, first, axis=0, dtype=np.float64) / self.count[docs[open_]][:, None]
+            done = np.abs(new - w).max(1) < STILL if turn + 1 < MOST_ROUNDS else np.ones(len(w), bool)
+            w = new
+            if done.sum() * 4 >= len(done):  # settled documents leave, now and then
+                x = np.add.reduceat(np.log(inside), first, dtype=np.float64)
+                out[open_[done]], value[open_[done]] = w[done], self.peaks[docs[open_[done]]] + x[done]
+                open_, w = open_[~done], w[~done]
+                if not len(open_):
+                    break
+                p, doc, first = self.of(docs[open_])
+        return out, value
+
+
+def mixture(likely: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Weights (document, language) of the chosen mixtures; likely: log likelihoods (word, language).
 
     Each document has a word at least.
     """
     docs, langs = len(first) - 1, likely.shape[1]
-    doc = np.repeat(np.arange(docs), np.diff(first))
     total = np.add.reduceat(likely, first[:-1], axis=0, dtype=np.float64)
-    best = total.argmax(1)
-    peak = likely.max(1)
-    p = np.exp(likely - peak[:, None])
-    peaks = np.add.reduceat(peak, first[:-1], dtype=np.float64)
-    count = np.diff(first).astype(np.float64)
-
-    def em(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        for _ in range(rounds):
-            r = p * w.astype(np.float32)[doc]
-            r /= np.maximum(r.sum(1, keepdims=True), 1e-30)
-            w = np.add.reduceat(r, first[:-1], axis=0, dtype=np.float64) / count[:, None]
-        inside = np.einsum("ij,ij->i", p, w.astype(np.float32)[doc])
-        return w, peaks + np.add.reduceat(np.log(np.maximum(inside, 1e-30)), first[:-1], dtype=np.float64)
-
     out = np.zeros((docs, langs))
-    out[np.arange(docs), best] = 1
-    value = total.max(1)
-    if langs > 1:
-        full, _ = em(np.full((docs, langs), 1 / langs))
-        order = np.argsort(-full, axis=1, kind="stable")
-        for k in range(2, min(langs, LARGEST_SET) + 1):
-            chosen = np.zeros((docs, langs))
-            np.put_along_axis(chosen, order[:, :k], np.take_along_axis(full, order[:, :k], 1) + 1e-6, 1)
-            w, now = em(chosen / chosen.sum(1, keepdims=True))
-            now -= 0.5 * (k - 1) * np.log(np.maximum(count, 2)) + (k - 1)
-            better = now > value
-            out[better], value[better] = w[better], now[better]
+    out[np.arange(docs), total.argmax(1)] = 1
+    if langs < 2:
+        return out
+    words, value = _Words(likely, first), total.max(1)
+    count = words.count.astype(np.float64)
+    hard = np.zeros((docs, langs))
+    np.add.at(hard, (np.repeat(np.arange(docs), words.count), likely.argmax(1)), 1)
+    full, most = words.em(np.arange(docs), (hard + 1) / (count + langs)[:, None])
+    penalty = 0.5 * np.log(np.maximum(count, 2)) + 1
+    order = np.argsort(-full, axis=1, kind="stable")
+    rising = np.flatnonzero(most - penalty > value)
+    for k in range(2, langs + 1):
+        if not len(rising):
+            break
+        chosen, some = np.zeros((len(rising), langs)), order[rising, :k]
+        np.put_along_axis(chosen, some, np.take_along_axis(full[rising], some, 1) + 1e-6, 1)
+        w, now = words.em(rising, chosen / chosen.sum(1, keepdims=True))
+        now -= penalty[rising] * (k - 1)
+        better = now > value[rising]
+        out[rising[better]], value[rising[better]] = w[better], now[better]
+        rising = rising[most[rising] - penalty[rising] * k > value[rising]]
     return out
 
 
@@ -126,21 +174,27 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def shares_of(data: np.ndarray, off: np.ndarray, logs: np.ndarray) -> np.ndarray:
-    """(texts, languages) shares of each text's words; all 0 for texts without a letter."""
+def shares_of(data: np.ndarray, off: np.ndarray, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, languages) shares of each text's words, all 0 for texts without a letter, and the share of its words
+    that are recognised."""
     n = len(off) - 1
-    shares = np.zeros((n, len(logs)))
+    shares, known = np.zeros((n, len(logs))), np.zeros(n)
     bucket, word, words = trigrams(data, off)
     some = np.flatnonzero(np.diff(words)) if len(logs) else np.zeros(0, np.int64)
     if len(some):
         starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         likely = np.stack([np.add.reduceat(t[bucket], starts) for t in logs], 1)
-        shares[some] = mixture(likely, np.append(words[some], words[-1]))
+        first = np.append(words[some], words[-1])
+        shares[some] = mixture(likely, first)
+        doc = np.repeat(some, np.diff(first))
+        chance = -np.log(BUCKETS) * np.diff(np.append(starts, len(word)))
+        fits = np.where(shares[doc] > 0, likely, -np.inf).max(1) > chance
+        known[some] = np.add.reduceat(fits, first[:-1], dtype=np.int64) / np.diff(first)
         plain = np.concatenate([[0], np.cumsum(_ASCII_LETTER[data])])[off]
         for i in some[np.diff(plain)[some] == 0]:
             if not any(c.isalpha() for c in data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")):
-                shares[i] = 0
-    return shares
+                shares[i] = known[i] = 0
+    return shares, known
 
 
 def _limit(langs: int) -> int:
@@ -153,7 +207,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
 
     lang_pred is the language with the largest share, ties to the first in order, and score its share.  Texts
     that are null or have no letter get `und`, score 0 and empty lists, as does every text when nothing was
-    learned.  Ids may be null or repeated; other columns are not read.
+    learned.  Ids may be null or repeated, and repeated rows get equal rows; other columns, of whatever names, are
+    not read; an empty table gives no rows.  A text is worked on whole, in about 100 bytes of memory for each of its
+    bytes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # languages x 65,536 floats
     kind = docs.select(id_col).dtypes[0][1]
@@ -161,7 +217,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, logs = sent.value
         for part, data, off in pieces(batches, "t", _limit(len(names))):
-            shares = shares_of(data, off, logs)
+            shares, _ = shares_of(data, off, logs)
             top = shares.argmax(1) if names else np.zeros(len(shares), np.int64)
             score = np.clip(shares.max(1), 0, 1) if names else np.zeros(len(shares))
             order = np.argsort(-shares, axis=1, kind="stable")
@@ -181,14 +237,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, languages array<string>, shares array<double>")
 
 
-def keep_recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows whose text is not `und` and has one language with at least that share of its words; by default
-    a mixture of any shares is a recognised text."""
+def keep_recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of whose words that share at least is recognised in the languages inferred for the text.
+
+    So texts that are `und` go, and texts in a language that was not learned or in none; mixtures stay.  All columns
+    are as they are.  Null and empty texts go; repeated rows fare alike; an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def mask(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        top = shares_of(data, off, sent.value[1]).max(1, initial=0)
-        return (top > 0) & (top >= least)
+        shares, known = shares_of(data, off, sent.value[1])
+        return (shares.max(1, initial=0) > 0) & (known >= least)
 
     return keep_rows(docs, text_col, mask, _limit(len(model[0])))
 

@@ -1,4 +1,7 @@
+import math
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -78,6 +81,110 @@ def test_words_and_pieces_do_not_matter(model):
     texts = ["the and of", "", "der die das und", "123", "x"]
     data = [t.encode() for t in texts]
     off = np.cumsum([0] + [len(d) for d in data])
-    whole = language_id.shares_of(np.frombuffer(b"".join(data), np.uint8), off, model[1])
-    for d, w in zip(data, whole):
-        assert np.allclose(language_id.shares_of(np.frombuffer(d, np.uint8), np.array([0, len(d)]), model[1])[0], w, atol=1e-6)
+    whole, known = language_id.shares_of(np.frombuffer(b"".join(data), np.uint8), off, model[1])
+    for d, w, k in zip(data, whole, known):
+        alone, own = language_id.shares_of(np.frombuffer(d, np.uint8), np.array([0, len(d)]), model[1])
+        assert np.allclose(alone[0], w, atol=1e-6) and abs(own[0] - k) < 1e-9
+
+
+# -- a plain version: trigrams by hand, EM word by word, every set in full ---------------------------------------------
+
+
+def plain_words(text):
+    data = text.encode()
+    fold = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in data]
+    out, word = [], []
+    for b in [*fold, 32]:
+        if b != 32:
+            word.append(b)
+        elif word:
+            w = [32, *word, 32]
+            out.append([((w[i] << 16 | w[i + 1] << 8 | w[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16 for i in range(len(w) - 2)])
+            word = []
+    return out
+
+
+def plain_train(rows):
+    counts = {}
+    for text, lang in rows:
+        c = counts.setdefault(lang, Counter())
+        for w in plain_words(text):
+            c.update(w)
+    return {x: (c, sum(c.values()) + 0.5 * 65536) for x, c in sorted(counts.items())}
+
+
+def plain_predict(model, text):
+    words, names = plain_words(text), list(model)
+    if not words:
+        return {}
+    likely = [[sum(math.log((model[x][0][b] + 0.5) / model[x][1]) for b in w) for x in names] for w in words]
+
+    def em(w):
+        for _ in range(3000):
+            new = [0.0] * len(names)
+            for row in likely:
+                top = max(row)
+                r = [x * math.exp(v - top) for x, v in zip(w, row)]
+                for j, x in enumerate(r):
+                    new[j] += x / sum(r) / len(likely)
+            moved, w = max(abs(a - b) for a, b in zip(w, new)), new
+            if moved < 1e-6:
+                break
+        return w, sum(max(row) + math.log(sum(x * math.exp(v - max(row)) for x, v in zip(w, row))) for row in likely)
+
+    full, _ = em([1 / len(names)] * len(names))
+    order = sorted(range(len(names)), key=lambda j: -full[j])
+    found = []
+    single = max(range(len(names)), key=lambda j: sum(row[j] for row in likely))
+    found.append((sum(row[single] for row in likely), [float(j == single) for j in range(len(names))]))
+    for k in range(2, len(names) + 1):
+        w, value = em([1 / k if j in order[:k] else 0.0 for j in range(len(names))])
+        found.append((value - (k - 1) * (0.5 * math.log(max(len(words), 2)) + 1), w))
+    return dict(zip(names, max(found, key=lambda x: x[0])[1]))
+
+
+def test_against_a_plain_version(spark, docs):
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.filter("n_chars < 700").orderBy("doc_id").limit(120).collect()]
+    parts = {x: [t.split()[:25] for _, t, y in rows if y == x] for x in {y for _, _, y in rows}}
+    rng = random.Random(3)
+    mixed = [(1000 + i, " ".join(sum((rng.choice(parts[x]) for x in rng.sample(sorted(parts), k)), [])), None) for i, k in enumerate([2, 2, 3, 3, 4, 4, 4])]
+    df = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    got = {r.id: dict(zip(r.languages, r.shares)) for r in language_id.train_and_predict(df).collect()}
+    model = plain_train([(t, x) for i, t, x in rows if x and zlib.crc32(str(i).encode()) % 3 != 1])
+    sizes = Counter()
+    for i, text, _ in rows + mixed:
+        want = plain_predict(model, text)
+        sizes[sum(x > 0.02 for x in want.values())] += 1
+        assert all(abs(got[i].get(x, 0) - s) < 0.02 for x, s in want.items()), (i, got[i], want)
+    assert sizes[1] > 20 and sizes[4] >= 2  # mixtures of all four languages too
+
+
+def test_four_languages_in_equal_parts(spark, docs, model):
+    text = {r.lang: r.text for r in docs.filter("n_chars between 2000 and 4000").collect()}
+    mixed = "\n".join(text[x][:1500] for x in sorted(text))
+    r = language_id.predict(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model).first()
+    assert sorted(r.languages) == sorted(text) and len(text) == 4 and max(r.shares) < 0.4
+
+
+def test_unlearned_languages_and_noise_are_rejected(spark, docs, model):
+    rng = random.Random(8)
+    noise = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(60))
+    known = docs.filter("n_chars > 500").first().text
+    rows = [(1, noise), (2, "漢字仮名交じり文 かなカナ " * 30), (3, "привет мир как дела " * 30), (4, known), (5, known + noise), (6, None), (7, "")]
+    kept = language_id.keep_recognised(spark.createDataFrame(rows, "doc_id long, text string"), model)
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 5]
+
+
+def test_repeats_clashing_columns_and_long_texts(spark, model):
+    long = "the house and the other " * 400_000  # 10 MB
+    rows = [(1, "the and", "x", 1.0), (1, "the and", "x", 1.0), (2, long, "x", 1.0), (3, "a" * 2_000_000, "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang_pred string, score double")
+    got = sorted((r.id, r.lang_pred) for r in language_id.predict(df, model).collect())
+    assert [x[0] for x in got] == [1, 1, 2, 3] and got[0] == got[1] and got[2][1] == "en"
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(i, "some text", f"x{i}") for i in range(5)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="5 languages"):
+        language_id.train(df)
