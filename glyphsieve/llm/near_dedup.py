@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Powers, mix, pieces, prefix, ranged, word_hashes, words
@@ -29,7 +29,7 @@ from .storage import Scratch
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, FEW = 16, 3, 8
 #: A crowded bucket is compared in pairs of blocks of about so many nodes and bytes of shingles; shingles at once.
-BLOCK, BLOCK_BYTES, COLUMNS = 256, 4 << 20, 2048
+BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 2048
 _POWERS = Powers(np.uint64(0xA0761D6478BD642F))
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,16 +76,16 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     votes += np.unpackbits(g[c : min(b, c + (1 << 15))].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
                 fp[some[i]] = int.from_bytes(np.packbits(votes * 2 > b - a).tobytes(), "big")
         yield pa.RecordBatch.from_arrays(
-            [part.column(0), part.column(1), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], names=["id", "k", "node", "fp", "bands"]
+            [*(part.column(c) for c in ("id", "k", "l")), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+            names=["id", "k", "l", "node", "fp", "bands"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle set of each text, as sorted 32-bit hashes."""
+    """The shingle set of each text, as sorted hashes."""
     for part, data, off in pieces(batches, "t"):
         g, first = shingles(data, off)
-        g = (g >> np.uint64(32)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(g[a:b]).tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["node", "grams"])
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())], names=["node", "grams"])
 
 
 def _verified(similarity: float):
@@ -94,12 +94,12 @@ def _verified(similarity: float):
             x, y = b.column(2), b.column(3)
             keep = []
             for i in range(b.num_rows):
-                p, q = np.frombuffer(x[i].as_buffer(), np.uint32), np.frombuffer(y[i].as_buffer(), np.uint32)
+                p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
                 small, large = min(len(p), len(q)), max(len(p), len(q))
                 if small < similarity * large:
                     keep.append(False)
                     continue
-                both = len(p) + len(q) - len(np.union1d(p, q))
+                both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(both >= similarity * (len(p) + len(q) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
@@ -125,7 +125,7 @@ def _across(similarity: float):
             open_ &= keys[left, band][:, None] != keys[right, band][None, :]
         a, b = [], []
         if open_.any():
-            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in t["grams"]]
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["grams"]]
             size = np.array([len(x) for x in sets])
             row = np.repeat(np.arange(len(sets)), size)
             _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -156,19 +156,25 @@ def _across(similarity: float):
     return run
 
 
+def _keys(id_: Column, t: Column) -> tuple[Column, Column]:
+    """128 bits of a row's id and text, which stand for both in joins."""
+    parts = (id_.isNull(), id_, t.isNull(), t)
+    return F.xxhash64(*parts).alias("k"), F.xxhash64(F.lit(1), *parts).alias("l")
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: id, k, root, keeper.
+    """One row per input row: id, k, l, root, keeper.
 
     root names the group; keeper is true for its document of least id (null ids last, then by k), one per group
-    unless rows are equal in id and text.  k is a hash of id and text.  Null and empty texts and those without
+    unless rows are equal in id and text.  k and l are hashes of id and text.  Null and empty texts and those without
     words form one group.  An empty table gives no rows.  Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "near")
     kind = docs.select(id_col).dtypes[0][1]
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).select("id", F.xxhash64("id", "t").alias("k"), "t")
-    sketch = scratch.write(base.mapInArrow(_sketches, f"id {kind}, k bigint, node bigint, fp bigint, bands array<bigint>"), "sketch")
-    who = F.struct(F.col("id").isNull().alias("none"), "id", "k")
-    nodes = scratch.write(sketch.groupBy("node").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "who.id", "who.k", "fp", "bands"), "nodes")
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).select("id", *_keys(F.col("id"), F.col("t")), "t")
+    sketch = scratch.write(base.mapInArrow(_sketches, f"id {kind}, k bigint, l bigint, node bigint, fp bigint, bands array<bigint>"), "sketch")
+    who = F.struct(F.col("id").isNull().alias("none"), "id", "k", "l")
+    nodes = scratch.write(sketch.groupBy("node").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "who.id", "who.k", "who.l", "fp", "bands"), "nodes")
 
     # candidates
     buckets = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
@@ -189,8 +195,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links = scratch.write(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
 
     # verification on whole sets
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("id").alias("wid"), F.col("k").alias("wk")), "node")
-    found = base.join(wanted, (base["k"] == F.col("wk")) & base["id"].eqNullSafe(F.col("wid"))).select("node", "t")
+    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k", "l"), "node")
+    found = base.select("k", "l", "t").join(wanted, ["k", "l"]).select("node", "t")
     sets = scratch.write(found.mapInArrow(_sets, "node bigint, grams binary").dropDuplicates(["node"]).withColumn("size", F.octet_length("grams")), "sets")
     both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     true = scratch.write(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a bigint, b bigint"), "true")
@@ -211,19 +217,27 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         roots = scratch.write(connected_components(joined, scratch), "roots")
     scratch.drop(shared, members, crowd, hubs, prints, links, sets, parted)
 
-    rooted = scratch.write(nodes.join(roots, "node", "left").select("node", "id", "k", F.coalesce("root", "node").alias("root")), "rooted")
-    best = scratch.write(rooted.groupBy("root").agg(F.min(who).alias("w")).select(F.col("root").alias("broot"), F.col("w.id").alias("bid"), F.col("w.k").alias("bk")), "best")
-    named = scratch.write(rooted.join(best, F.col("root") == F.col("broot")).select(F.col("node").alias("n2"), "root", "bid", "bk"), "named")
-    out = sketch.select("id", "k", "node").join(named, F.col("node") == F.col("n2"))
-    return out.select("id", "k", "root", ((F.col("k") == F.col("bk")) & F.col("id").eqNullSafe(F.col("bid"))).alias("keeper"))
+    rooted = scratch.write(nodes.join(roots, "node", "left").select("node", "id", "k", "l", F.coalesce("root", "node").alias("root")), "rooted")
+    best = scratch.write(rooted.groupBy("root").agg(F.min(who).alias("w")).select(F.col("root").alias("broot"), F.col("w.k").alias("bk"), F.col("w.l").alias("bl")), "best")
+    named = scratch.write(rooted.join(best, F.col("root") == F.col("broot")).select(F.col("node").alias("n2"), "root", "bk", "bl"), "named")
+    out = sketch.select("id", "k", "l", "node").join(named, F.col("node") == F.col("n2"))
+    out = out.select("id", "k", "l", "root", ((F.col("k") == F.col("bk")) & (F.col("l") == F.col("bl"))).alias("keeper"))
+    scratch.drop(nodes, roots, rooted, best)
+    return out
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, one for each group; of rows equal in id and text the first by all columns."""
+    """The rows of docs, one for each group; of rows equal in id and text the first by a hash of all columns.
+
+    The texts move once: each task first drops all but one of its rows that are equal in id and text, and the rows
+    then lie by the two hashes that the keepers are joined on.
+    """
     scratch = Scratch(docs.sparkSession, "keep")
-    keepers = near_duplicate_groups(docs, id_col, text_col, similarity).filter("keeper").select(F.col("id").alias("__kid"), F.col("k").alias("__kk")).distinct()
+    keepers = near_duplicate_groups(docs, id_col, text_col, similarity).filter("keeper").select(F.col("k").alias("__kk"), F.col("l").alias("__kl")).distinct()
     keepers = scratch.write(keepers, "keepers")
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col), F.col(text_col).cast("string")).alias("__k"))
-    kept = row.join(keepers, (F.col("__k") == F.col("__kk")) & F.col("__id").eqNullSafe(F.col("__kid")))
-    first = F.row_number().over(Window.partitionBy("__k", "__id").orderBy(F.xxhash64("__row")))
-    return kept.withColumn("__n", first).filter("__n = 1").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    k, l = _keys(F.col(id_col), F.col(text_col).cast("string"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), k.alias("__k"), l.alias("__l"))
+    first = F.row_number().over(Window.partitionBy("__k", "__l").orderBy(F.xxhash64("__row")))
+    one = row.withColumn("__n", first).filter("__n = 1")
+    kept = one.join(keepers, (F.col("__k") == F.col("__kk")) & (F.col("__l") == F.col("__kl")), "left_semi")
+    return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
