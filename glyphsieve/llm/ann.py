@@ -18,13 +18,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Scratch
 
-#: The trees are fitted on at most this many vectors, in the order of a hash; every vector is indexed.
-SAMPLE_VECTORS = 8192
+#: The trees are fitted on at most so many vectors and bytes, drawn by a hash; every vector is indexed.
+SAMPLE_VECTORS, SAMPLE_BYTES = 65_536, 64 << 20
 #: Queries that the search effort is set by.
 SAMPLE_QUERIES = 96
 TREES = 4
@@ -32,21 +32,24 @@ LEAF_ROWS = 256
 TARGET_RECALL = 0.97
 #: Queries that a cell holds at once; where more are expected, cells are split by query and their vectors repeated.
 CELL_QUERIES = 65_536
-#: Vectors ranked at once, and rows held before they are cut to the best of each query.
-BLOCK, HELD = 2048, 400_000
+#: Vectors and queries ranked at once, pairs multiplied at once, and rows held before they are cut to the best of each query.
+BLOCK, QUERIES, PAIRS, HELD = 2048, 512, 1 << 15, 400_000
+#: Queries whose floors a task remembers.
+FLOORS = 500_000
 
 
 def _matrix(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """(row numbers, vectors) of usable vectors: not null, finite throughout and not zero; -0 counts as 0."""
     col = batch.column(batch.schema.get_field_index(name))
-    rows, out = [], []
-    for i, x in enumerate(col):
-        if x.is_valid and len(x.values):
-            v = x.values.to_numpy(zero_copy_only=False)
-            if not x.values.null_count and np.isfinite(v).all() and v.any():
-                rows.append(i)
-                out.append(v + v.dtype.type(0))
-    return np.array(rows, np.int64), out
+    size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = col.flatten()  # without the values of null rows
+    v = flat.to_numpy(zero_copy_only=False)
+    off = np.concatenate([[0], np.cumsum(size)])
+    odd = np.concatenate([[0], np.cumsum(~np.isfinite(v))])  # a null reads as not a number
+    some = np.concatenate([[0], np.cumsum(v != 0)])
+    rows = np.flatnonzero((odd[off[1:]] == odd[off[:-1]]) & (some[off[1:]] > some[off[:-1]]))
+    v = v + v.dtype.type(0)
+    return rows, [v[a:b] for a, b in zip(off[rows].tolist(), off[rows + 1].tolist())]
 
 
 def _keys(v: np.ndarray) -> tuple[int, int]:
@@ -137,15 +140,30 @@ def _best(group: np.ndarray, score: np.ndarray, tie: np.ndarray, k: int) -> np.n
     return order[np.arange(len(g)) - np.repeat(head, size) < k]
 
 
-def _rank_block(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, vector, score) of the k + a few best vectors for each query in a block."""
-    s, k = q @ x.T, min(k, len(x))
-    if k < len(x):  # whatever ties with the k-th in rounding stays in
-        last = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
-        row, col = np.nonzero(s >= (last - 1e-9 * np.abs(last) - 1e-300)[:, None])
-    else:
-        row, col = np.divmod(np.arange(s.size), len(x))
-    return row, col, exact_products(q[row], x[col])
+def _rank_block(q: np.ndarray, x: np.ndarray, k: int, tie: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the k best vectors for each query in a block, ties to the smaller tie.
+
+    Pairs below a query's floor, a score that k vectors are known to reach, are left out.  Products of matrices find
+    the pairs worth an exact product, rounding allowed for; those are worked out a bounded number at a time.
+    """
+    row, col, score = [], [], []
+    width = np.sqrt((x**2).sum(1).max(initial=0)) * 1e-12
+    for a in range(0, len(q), QUERIES):
+        some = q[a : a + QUERIES]
+        s, low = some @ x.T, floor[a : a + QUERIES].copy()
+        slack = np.sqrt((some**2).sum(1)) * width
+        if k < len(x):
+            crowded = np.flatnonzero((s >= (low - slack)[:, None]).sum(1) > k)
+            low[crowded] = np.maximum(low[crowded], np.partition(s[crowded], len(x) - k, axis=1)[:, len(x) - k])
+        r, c = np.nonzero(s >= (low - slack)[:, None])
+        e = np.zeros(len(r))
+        for b in range(0, len(r), PAIRS):
+            e[b : b + PAIRS] = exact_products(some[r[b : b + PAIRS]], x[c[b : b + PAIRS]])
+        keep = _best(r, e, tie[c], k)
+        row.append(r[keep] + a)
+        col.append(c[keep])
+        score.append(e[keep])
+    return np.concatenate(row), np.concatenate(col), np.concatenate(score)
 
 
 def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, every: int = 20, target: float = TARGET_RECALL) -> DataFrame:
@@ -179,14 +197,23 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
         yield pa.RecordBatch.from_arrays([pa.array([top])], names=["top"])
 
     top = float(np.sqrt(unique.select("vec").mapInArrow(norms, "top double").agg(F.max("top")).first()[0]))
-    some = unique.select("vec", F.xxhash64("h1", "h2").alias("o")).orderBy("o").limit(SAMPLE_VECTORS).collect()
-    sample = np.frombuffer(b"".join(bytes(r.vec) for r in some), kind).reshape(-1, dim).astype(np.float64)
+
+    def drawn(rows: DataFrame, count: int, most: int) -> np.ndarray:
+        """About most of the rows, and no more, by a hash of the vector; nearly as many reach the driver."""
+        rows = rows.select("vec", F.xxhash64("h1", "h2").alias("o"))
+        if count > most:
+            rows = rows.filter(F.col("o") < int((2 * most / count - 1) * 2**63))
+        rows = sorted(((r.o, bytes(r.vec)) for r in rows.collect()), key=lambda r: r[0])[:most]
+        return np.frombuffer(b"".join(r[1] for r in rows), kind).reshape(-1, dim).astype(np.float64)
+
+    sample = drawn(unique, n, max(16, min(SAMPLE_VECTORS, SAMPLE_BYTES // (8 * dim))))
     depth = max(0, min(int(np.log2(max(1, n / LEAF_ROWS))), int(np.log2(max(1, len(sample) / 16)))))
     forest = spark.sparkContext.broadcast(Forest(sample, depth, top))  # at most TREES x SAMPLE_VECTORS / 16 nodes
-    tried = unique.filter("asks").select("vec", F.xxhash64("h1", "h2").alias("o")).orderBy("o").limit(SAMPLE_QUERIES).collect()
-    if not tried:
+    asking = unique.filter("asks").count()
+    tried = drawn(unique.filter("asks"), asking, SAMPLE_QUERIES)
+    if not len(tried):
         return spark.createDataFrame([], out_type)
-    asked = spark.sparkContext.broadcast(np.frombuffer(b"".join(bytes(r.vec) for r in tried), kind).reshape(-1, dim).astype(np.float64))
+    asked = spark.sparkContext.broadcast(tried)
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -207,7 +234,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 leaves = np.array(b.column(0).to_pylist(), np.int64)
                 for t in range(TREES):
                     sizes[t] += np.bincount(leaves[:, t], minlength=2 << depth)
-                row, col, score = _rank_block(q, vectors(b), k + 1)
+                row, col, score = _rank_block(q, vectors(b), k + 1, np.zeros(b.num_rows), np.full(len(q), -np.inf))
                 new = (row, score, leaves[col])
                 best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
                 keep = _best(best[0], best[1], np.zeros(len(best[0])), k + 1)
@@ -226,10 +253,8 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 total += np.frombuffer(x, np.int64).reshape(total.shape)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sizes"])
 
-    sums = told.filter("sizes is not null").select("sizes").mapInArrow(added, "sizes binary").collect()
+    sums = told.filter("sizes is not null").select("sizes").mapInArrow(added, "sizes binary").repartition(16).mapInArrow(added, "sizes binary").collect()
     sizes = sum(np.frombuffer(bytes(r.sizes), np.int64).reshape(TREES, -1) for r in sums)
-    from pyspark.sql import Window
-
     truth = told.filter("sizes is null").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("r") <= k + 1).collect()
     budget = _budget(forest.value, asked.value, truth, sizes, target)
     share = spark.sparkContext.broadcast((sizes, budget))
@@ -253,7 +278,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["cell", "h1", "h2", "vec"])
 
     asks = unique.filter("asks").select("h1", "h2", "vec").mapInArrow(probes, "cell bigint, h1 bigint, h2 bigint, vec binary")
-    slices = -(-unique.filter("asks").count() // CELL_QUERIES)
+    slices = -(-asking // CELL_QUERIES)
     asks = asks.withColumn("part", F.pmod("h2", F.lit(slices)))
     cells = index.select(F.posexplode("leaves").alias("t", "leaf"), "vec", "ids").select(F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("leaf")).alias("cell"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), "vec", "ids")
     cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
@@ -263,13 +288,20 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per cell the queries come first and stay; its vectors pass by in blocks."""
-        cell, q, keys, held, n_held = None, [], [], [], 0
+        cell, q, keys, at_floor, held, n_held = None, [], [], None, [], 0
+        floors: dict[tuple[int, int], float] = {}  # by query: a score that k + 1 of the vectors seen reach
 
         def cut() -> tuple:
             one = tuple(np.concatenate(x) for x in zip(*held))
             group = np.unique(np.stack([one[0], one[1]], 1), axis=0, return_inverse=True)[1].reshape(-1)
             _, first = np.unique(np.stack([group, one[2]], 1), axis=0, return_index=True)  # a vector met in two trees
             first = first[_best(group[first], one[3][first], one[2][first], k + 1)]
+            if len(floors) > FLOORS:
+                floors.clear()
+            ends = np.flatnonzero(np.append(group[first][1:] != group[first][:-1], True))
+            for e, size in zip(first[ends].tolist(), np.diff(np.append(-1, ends)).tolist()):
+                if size == k + 1:
+                    floors[int(one[0][e]), int(one[1][e])] = float(one[3][e])
             return tuple(x[first] for x in one)
 
         for whole in batches:
@@ -281,30 +313,36 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
             edges = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]).any(1) | (kinds[1:] != kinds[:-1]), [True]]))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 if tuple(at[a]) != cell:
-                    cell, q, keys = tuple(at[a]), [], []
+                    cell, q, keys, at_floor = tuple(at[a]), [], [], None
                 if kinds[a] == 0:
                     q.append(vectors(whole.slice(a, b - a)))
                     keys.append(h[a:b])
                 elif q:
                     if len(q) > 1:
                         q, keys = [np.concatenate(q)], [np.concatenate(keys)]
+                    if at_floor is None:
+                        at_floor = np.array([floors.get(x, -np.inf) for x in map(tuple, keys[0].tolist())])
                     for c in range(a, b, BLOCK):
                         some = whole.slice(c, min(BLOCK, b - c))
                         x, ids = vectors(some), some.column(names.index("ids"))
                         least = ids.flatten().take(pa.array(ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py())).to_numpy()
-                        lists = ids.to_pylist()
-                        for d in range(0, len(q[0]), 1024):
-                            row, col, score = _rank_block(q[0][d : d + 1024], x, k + 1)
-                            key = keys[0][d + row]
-                            held.append((key[:, 0], key[:, 1], least[col], score, np.array([lists[j] for j in col] + [None], object)[:-1]))
-                            n_held += len(row)
-                            if n_held > HELD:
-                                held[:] = [cut()]
-                                n_held = len(held[0][0])
+                        lists = np.array([*ids.to_pylist(), None], object)[:-1]
+                        row, col, score = _rank_block(q[0], x, k + 1, least, at_floor)
+                        held.append((keys[0][row, 0], keys[0][row, 1], least[col], score, lists[col]))
+                        n_held += len(row)
+                        if n_held > HELD:
+                            held[:] = [cut()]
+                            n_held = len(held[0][0])
+                            at_floor = np.array([floors.get(x, -np.inf) for x in map(tuple, keys[0].tolist())])
+                            if n_held > HELD // 2:  # so many queries: what is settled here goes out
+                                yield from sent_out(held.pop())
+                                n_held = 0
         if held:
-            one = cut()
-            for a in range(0, len(one[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 20_000].tolist(), t) for x, t in zip(one, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())))], names=["h1", "h2", "least", "score", "ids"])
+            yield from sent_out(cut())
+
+    def sent_out(one: tuple) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(one[0]), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 20_000].tolist(), t) for x, t in zip(one, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())))], names=["h1", "h2", "least", "score", "ids"])
 
     hits = both.mapInArrow(ranked, "h1 bigint, h2 bigint, least bigint, score double, ids array<bigint>")
     entry = F.struct(F.negative("score").alias("s"), "least", "ids")

@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -94,8 +95,34 @@ def test_forest_visits_every_leaf_once():
 
 
 @pytest.mark.parametrize("k", [1, 3, 10])
-def test_block_keeps_ties(k):
-    x = np.array([[1.0, 0], [1, 0], [1, 0], [0.5, 0], [2, 0]])
-    row, col, score = ann._rank_block(np.array([[1.0, 1.0]]), x, k)
-    want = sorted(x[:, 0], reverse=True)[: min(k, 5)]
-    assert sorted(score.tolist(), reverse=True)[: len(want)] == want and (k != 3 or set(col) >= {0, 1, 2, 4})
+def test_block_keeps_the_k_best_and_smallest(k):
+    rng = np.random.default_rng(k)
+    x, q = rng.integers(-2, 3, (300, 4)).astype(float), rng.integers(-2, 3, (40, 4)).astype(float)
+    tie = rng.permutation(300)
+    row, col, score = ann._rank_block(q, x, k, tie, np.full(40, -np.inf))
+    for i in range(40):
+        want = sorted((-(q[i] @ x[j]), tie[j]) for j in range(300))[:k]
+        assert sorted(zip(-score[row == i], tie[col[row == i]])) == want
+    floor = np.array([np.sort(x @ v)[-k] for v in q])
+    again = ann._rank_block(q, x, k, tie, floor)
+    assert all(sorted(zip(a.tolist(), b.tolist())) == sorted(zip(c.tolist(), d.tolist())) for a, b, c, d in [(row, tie[col], again[0], tie[again[1]])])
+
+
+def test_ties_take_bounded_memory():
+    """Queries that are orthogonal to a whole block tie with all of it."""
+    q, x = np.zeros((1024, 64)), np.zeros((2048, 64))
+    q[:, 0], x[:, 1] = 1, np.arange(2048) + 1
+    tracemalloc.start()
+    row, col, score = ann._rank_block(q, x, 21, np.arange(2048)[::-1], np.full(1024, -np.inf))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == 1024 * 21 and set(col) == set(range(2027, 2048)) and not score.any()
+    assert peak < 400e6
+
+
+def test_ties_between_queries_and_all_vectors(spark):
+    rows = [(i, [1.0, 0.0] if i % 20 == 0 else [0.0, 1.0 + i]) for i in range(600)]
+    got = run(spark, rows)
+    queries = [i for i in range(600) if i % 20 == 0]
+    for q in queries:
+        assert [v for _, v, _ in got[q]] == [i for i in queries if i != q][:20]
