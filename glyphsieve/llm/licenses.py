@@ -78,9 +78,10 @@ class Model:
             self.need.append(most)
 
 
-def _windows(t: Column, model: Model) -> Column:
-    """array<struct<code, at, words>>: the windows of a text that hold enough words of their template."""
-    held = F.filter(F.transform(words(t), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(sorted(model.anchors)))
+def _windows(ws: Column, model: Model) -> Column:
+    """The codes of all windows of these words in which an anchor is in its place."""
+    anchors = sorted(model.anchors)
+    held = F.filter(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(anchors))
     places = F.create_map(*[x for w, at in sorted(model.anchors.items()) for x in (F.lit(w), F.array(*[F.lit(number * _SHIFT + (1 << 31) - offset) for number, offset in at]))])
     return F.array_distinct(F.flatten(F.transform(held, lambda x: F.transform(F.element_at(places, x["w"]), lambda c: c + x["i"]))))
 
@@ -110,7 +111,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
     # the texts are split once more; what is written keeps the words of the windows only
     size = F.array(*[F.lit(len(w)) for w in model.words])
-    own = base.select("id", "path", words(F.col("t")).alias("ws"), _windows(F.col("t"), model).alias("codes"))
+    own = base.select("id", "path", words(F.col("t")).alias("ws")).withColumn("codes", _windows(F.col("ws"), model))
     low = lambda c: F.greatest(F.lit(0), (F.pmod(c, F.lit(_SHIFT)) - (1 << 31)).cast("int"))
     number = lambda c: F.shiftright(c, 32).cast("int")
     high = lambda c: F.least(F.size("ws"), ((F.pmod(c, F.lit(_SHIFT)) - (1 << 31)).cast("int") + F.get(size, number(c))))
