@@ -1,18 +1,20 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
-For each size of benchmark item the windows of that many words are fingerprinted and looked up in eight one-byte
-blocks: fingerprints within RADIUS bits agree up to RADIUS // 8 bits in one block at least, so listing the items
-by all block values that near finds every item within the radius.  Candidates are verified by the exact weighted
-(multiset) similarity of their word shingles.
-
-A window at the threshold shares that share of its shingles with the item, so only windows with as many shingles
-known from the benchmark are fingerprinted at all; this leaves nothing out.  A document shorter than an item is
-its own window, held to the share that both lengths ask for.
+For each size of benchmark item the windows of that many words are fingerprinted.  Fingerprints within RADIUS bits
+agree up to RADIUS // 8 bits in one of eight one-byte blocks at least, so the blocks pass every item within the
+radius.  Candidates are verified by the exact weighted (multiset) similarity of their word shingles, as 64-bit hashes.
+
+At the radius that a similarity of 0.8 asks for, blocks alone pass most unrelated items too.  So two exact bounds come
+before them: only windows with as many shingles known from the benchmark as the threshold asks for are fingerprinted,
+and of the items only those are looked at that hold one of the window's rarest shingles, as many of these as an item
+at the threshold cannot all lack.  Neither leaves anything out.  A document shorter than an item is its own window,
+held to the share that both lengths ask for.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ from .rowfilter import keep_rows
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 23
 #: Benchmark text sent to the executors at once; a larger benchmark is worked through in slices of this size.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 _POWERS = Powers(np.uint64(0xA0761D6478BD642F))
 _FILTER_BITS = 20
 
@@ -48,48 +50,67 @@ def _simhash(grams: np.ndarray) -> np.uint64:
     return np.packbits(votes * 2 > len(grams)).view(">u8")[0].astype(np.uint64)
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All numbers from each first up to its last, one range after the other."""
+    n = last - first
+    return np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
 class Items:
-    """A slice of the benchmark: items by size, with their shingles, fingerprints and block lists."""
+    """A slice of the benchmark: items by size, with their fingerprints, and their shingles in both directions."""
 
-    def __init__(self, ids: list, texts: list[str | None], threshold: float, radius: int):
-        self.ids, self.threshold, self.radius = ids, threshold, radius
+    def __init__(self, texts: list[str | None], threshold: float, radius: int):
+        self.threshold, self.radius = threshold, radius
         self.by_size: dict[int, list[int]] = defaultdict(list)
-        self.grams: list[Counter] = []
-        self.prints = np.zeros(len(ids), np.uint64)
-        known: dict[int, set] = defaultdict(set)
+        self.prints = np.zeros(len(texts), np.uint64)
+        held: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for i, text in enumerate(texts):
             data = FOLD[np.frombuffer((text or "").encode(), np.uint8)]
             starts, ends, _ = words(data, np.array([0, len(data)]))
             h, n = word_hashes(data, starts, ends), len(starts)
-            k = min(SHINGLE, n)
-            g = _grams(h, prefix(h, _POWERS), k) if n else np.zeros(0, np.uint64)
-            self.grams.append(Counter(g.tolist()))
             if n:
+                k = min(SHINGLE, n)
+                g = _grams(h, prefix(h, _POWERS), k)
                 self.by_size[n].append(i)
                 self.prints[i] = _simhash(g)
-                known[k].update(g.tolist())
-        self.known = {k: np.array(sorted(v), np.uint64) for k, v in known.items()}
-        self.filters = {}
-        for k, v in self.known.items():
-            self.filters[k] = np.zeros(1 << _FILTER_BITS, bool)
-            self.filters[k][(v >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        near = [[b for b in range(256) if (a ^ b).bit_count() <= radius // 8] for a in range(256)]
-        self.blocks: dict[tuple[int, int, int], list[int]] = defaultdict(list)  # (size, block, value)
-        for n, members in self.by_size.items():
-            for i in members:
-                for block in range(8):
-                    for value in near[int(self.prints[i]) >> 8 * block & 255]:
-                        self.blocks[n, block, value].append(i)
-
-    def candidates(self, size: int, fingerprint: int) -> set[int]:
-        """All items of that size within the radius of a fingerprint."""
-        found = {i for block in range(8) for i in self.blocks.get((size, block, fingerprint >> 8 * block & 255), ())}
-        return {i for i in found if (int(self.prints[i]) ^ fingerprint).bit_count() <= self.radius}
-
-    def similarity(self, item: int, grams: np.ndarray) -> float:
+                held[k].append((i, g))
+        #: by shingle size: known shingles in order; items by shingle (from, item); shingles by item (from, to, shingle, weight)
+        self.known, self.items, self.own, self.filters = {}, {}, {}, {}
+        for k, found in held.items():
+            item = np.repeat([i for i, _ in found], [len(g) for _, g in found])
+            known, gram = np.unique(np.concatenate([g for _, g in found]), return_inverse=True)
+            pair, weight = np.unique(np.stack([item, gram.reshape(-1)], 1), axis=0, return_counts=True)
+            ids = np.arange(len(texts))
+            self.own[k] = np.searchsorted(pair[:, 0], ids), np.searchsorted(pair[:, 0], ids, "right"), pair[:, 1].copy(), weight
+            order = np.argsort(pair[:, 1], kind="stable")
+            self.items[k] = np.searchsorted(pair[order, 1], np.arange(len(known) + 1)), pair[order, 0]
+            self.known[k], self.filters[k] = known, np.zeros(1 << _FILTER_BITS, bool)
+            self.filters[k][(known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+
+    def passed(self, items: np.ndarray, fingerprint: int) -> np.ndarray:
+        """Those of the items that agree with a fingerprint in a block up to RADIUS // 8 bits, and within the radius."""
+        apart = self.prints[items] ^ np.uint64(fingerprint)
+        blocks = np.bitwise_count(apart.view(np.uint8).reshape(-1, 8))
+        return items[(blocks.min(1, initial=64) <= self.radius // 8) & (blocks.sum(1, dtype=np.int64) <= self.radius)]
+
+    def sharing(self, k: int, size: int, gram: np.ndarray, weight: np.ndarray, total: int, need: int) -> np.ndarray:
+        """The items of that size that can share shingles of a weight of need with a window.
+
+        gram, weight: the window's known shingles; total: the weight of all its shingles.  An item that shares need
+        lacks total - need at most, so it holds one of any shingles that together weigh more.
+        """
+        first, item = self.items[k]
+        order = np.argsort(first[gram + 1] - first[gram], kind="stable")
+        spare = total - need - (total - int(weight.sum()))  # what of the known shingles may be missing
+        some = gram[order[: int(np.searchsorted(np.cumsum(weight[order]), spare, "right")) + 1]]
+        return np.intersect1d(item[_ranges(first[some], first[some + 1])], self.by_size[size])
+
+    def similarity(self, k: int, item: int, gram: np.ndarray, weight: np.ndarray, total: int) -> float:
         """Shared weight over mean weight, a shingle weighing as often as it occurs."""
-        mine, own = Counter(grams.tolist()), self.grams[item]
-        return 2 * (mine & own).total() / (mine.total() + own.total())
+        first, last, grams, weights = self.own[k]
+        a, b = int(first[item]), int(last[item])
+        _, x, y = np.intersect1d(gram, grams[a:b], assume_unique=True, return_indices=True)
+        return 2 * int(np.minimum(weight[x], weights[a:b][y]).sum()) / (total + int(weights[a:b].sum()))
 
     def matches(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
         """(text, item, similarity, first word, words, differing bits): the best window of each text and item."""
@@ -103,10 +124,17 @@ class Items:
         count = np.diff(first)
 
         def keep(doc: int, n: int, s: int, size: int, window: np.ndarray) -> None:
-            """Hold the window of size words from s against the items of n words."""
-            fingerprint = int(_simhash(window))
-            for item in self.candidates(n, fingerprint):
-                value = self.similarity(item, window)
+            """Hold the window of size words from s, given as shingles, against the items of n words."""
+            fingerprint, total = int(_simhash(window)), len(window)
+            gram, weight = np.unique(window, return_counts=True)
+            at = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+            there = known[at] == gram
+            gram, weight = at[there], weight[there]
+            need = int(np.ceil(self.threshold * (total + n - k + 1) / 2 - 1e-9))
+            if weight.sum() < max(need, 1):
+                return
+            for item in self.passed(self.sharing(k, n, gram, weight, total, need), fingerprint).tolist():
+                value = self.similarity(k, item, gram, weight, total)
                 key = (doc, item)
                 if value >= self.threshold - 1e-12 and (key not in best or value > best[key][0]):
                     best[key] = (value, s - int(first[doc]), size, (int(self.prints[item]) ^ fingerprint).bit_count())
@@ -144,7 +172,25 @@ class Items:
             yield doc, item, value, s, n, bits
 
 
-def _slices(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, threshold: float, radius: int) -> Iterator:
+class _Sent:
+    """A broadcast slice of the benchmark, as texts; each worker builds its index once and holds the last one."""
+
+    last: tuple[str, Items] | None = None
+
+    def __init__(self, context, rows: list, threshold: float, radius: int):
+        self.name, self.how = uuid.uuid4().hex, (threshold, radius)
+        self.rows = context.broadcast(([r.item for r in rows], [r.t for r in rows]))
+
+    def ids(self) -> list:
+        return self.rows.value[0]
+
+    def items(self) -> Items:
+        if _Sent.last is None or _Sent.last[0] != self.name:
+            _Sent.last = self.name, Items(self.rows.value[1], *self.how)
+        return _Sent.last[1]
+
+
+def _slices(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, threshold: float, radius: int) -> Iterator[_Sent]:
     """The benchmark as broadcast slices of bounded size, one at a time."""
     if not 0 < threshold <= 1 or not 0 <= radius < 64:
         raise ValueError("threshold must be in (0, 1] and radius in 0..63")
@@ -154,7 +200,7 @@ def _slices(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str,
     for i in range(slices):
         part = items.filter(F.pmod(F.xxhash64("item", "t"), F.lit(slices)) == i).collect()
         if part:
-            yield docs.sparkSession.sparkContext.broadcast(Items([r.item for r in part], [r.t for r in part], threshold, radius))
+            yield _Sent(docs.sparkSession.sparkContext, part, threshold, radius)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
@@ -174,10 +220,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for piece, data, off in pieces(batches, "t"):
-                found = list(sent.value.matches(data, off))
+                found = list(sent.items().matches(data, off))
                 if found:
                     doc, item, *rest = zip(*found)
-                    columns = [piece.column(0).take(pa.array(doc)), pa.array([sent.value.ids[x] for x in item], arrow_item)]
+                    columns = [piece.column(0).take(pa.array(doc)), pa.array([sent.ids()[x] for x in item], arrow_item)]
                     columns += [pa.array(c, t) for c, t in zip(rest, (pa.float64(), pa.int64(), pa.int64(), pa.int32()))]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "item_id", "similarity", "first_word", "n_words", "bits"])
 
@@ -192,7 +238,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         def mask(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray, sent=sent) -> np.ndarray:
             keep = np.ones(len(off) - 1, bool)
-            keep[[x[0] for x in sent.value.matches(data, off)]] = False
+            keep[[x[0] for x in sent.items().matches(data, off)]] = False
             return keep
 
         docs = keep_rows(docs, text_col, mask)

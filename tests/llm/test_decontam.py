@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from glyphsieve.llm import decontam
@@ -102,13 +103,32 @@ def test_slices_find_the_same(spark, monkeypatch):
     assert run(spark, docs, items) == whole
 
 
-def test_blocks_list_all_items_within_the_radius():
+def test_blocks_pass_all_items_within_the_radius():
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(60)]
-    items = decontam.Items(list(range(60)), texts, 0.8, 23)
+    items = decontam.Items(texts, 0.8, 23)
     for _ in range(300):
         f = rng.getrandbits(64) if rng.random() < 0.5 else int(items.prints[rng.randrange(60)]) ^ sum(1 << rng.randrange(64) for _ in range(20)) & (1 << 64) - 1
-        assert items.candidates(9, f) == {i for i in range(60) if (int(items.prints[i]) ^ f).bit_count() <= 23}
+        assert items.passed(np.arange(60), f).tolist() == [i for i in range(60) if (int(items.prints[i]) ^ f).bit_count() <= 23]
+
+
+def test_items_of_one_template(spark):
+    """Items that share most of their words, and windows that hold repeated shingles."""
+    rng = random.Random(9)
+    lead = [f"t{i}" for i in range(14)] * 3
+    items = [(i, " ".join(lead + [f"x{rng.randrange(40)}" for _ in range(8)])) for i in range(60)]
+    docs = [(d, " ".join(["before", *rng.choice(items)[1].split(), "after"] if d % 2 else lead * 2 + [f"x{rng.randrange(40)}" for _ in range(8)])) for d in range(40)]
+    got, want = run(spark, docs, items, radius=63), brute(docs, items)
+    assert got.keys() == want.keys() and len(want) > 200
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+
+
+def test_long_texts(spark):
+    rng = random.Random(1)
+    item = " ".join(f"q{i}" for i in range(40))
+    body = " ".join(f"w{rng.randrange(10**5)}" for _ in range(700_000))  # 5 MB
+    docs = [(1, body + " " + item + " " + body), (2, body), (3, "x" * 2_000_000), (4, "q1 " * 500_000)]
+    assert run(spark, docs, [(7, item)]) == {(1, 7): (1.0, 700_000)}
 
 
 def test_planted_passages(spark):
