@@ -1,10 +1,13 @@
 """Quality by co-training: a text-content and a page-metadata classifier that teach each other.
 
-Each view is a naive Bayes model over binned features, held as counts.  Labelled rows are dealt by a hash of the
-id to training and to checking.  In each round a view labels the documents it is sure of, sure meaning beyond the
-score at which it was right in PRECISION of the checking rows, and the other view counts them in.  At the end
-each view is calibrated by isotonic regression on the checking rows, and a logistic model of the two calibrated
-views, calibrated in turn, scores every document.  The texts are read once; the rounds read a narrow table of bins.
+Each view is a naive Bayes model held as counts: the text view over the words of a text (which of WORDS hashed words it
+holds) and over binned measures of its style, the metadata view over source, language and length.  Labelled rows are
+dealt by a hash of the id: half to training, others to tuning (the scores at which a view is sure, and its isotonic
+curve), to the combination of both views, to its calibration, and a tenth to nothing, so that accuracy can be measured
+on rows that no step has seen.  In each round a view labels the documents it is sure of, sure meaning beyond the score
+at which it was right in PRECISION of the tuning rows, and the other view counts them in.  At the end a logistic model
+of the two calibrated views, calibrated in turn, scores every document.  The texts are read once; the rounds read a
+narrow table of bins and word numbers.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import SPACE, pieces, word_hashes, words
@@ -22,9 +25,15 @@ from .storage import Scratch
 ROUNDS, PRECISION, SMOOTHING = 3, 0.97, 1.0
 #: What a pseudo-label counts against a true one.
 PSEUDO_WEIGHT = 0.25
-#: Labelled rows that thresholds and calibration are fitted on at most, in the order of a hash.
-CHECK_ROWS = 50_000
+#: Labelled rows that tuning, combination and calibration are each fitted on at most, drawn by a hash.
+FIT_ROWS = 50_000
+#: Tenths of the labelled rows: up to the first for training, then tuning, combination, calibration; the last is held out.
+TRAIN, TUNE, COMBINE, CALIBRATE, HELD_OUT = 5, 7, 8, 9, 10
 BINS = 32
+#: Hashed words; a text's words are sent about as their numbers, each once.
+WORDS = 1 << 16
+#: Sums travel in blocks of so many counts.
+BLOCK = 1024
 TEXT_FEATURES = ("length", "word_length", "symbols", "capitals", "digits", "distinct", "repeats", "lines", "same_lines", "long_words", "marked_words", "high_bytes")
 #: Bins of each metadata feature: source and language by hash, the logarithm of the length.
 META_BINS = (1024, 128, BINS)
@@ -52,6 +61,18 @@ def _distinct(value: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(d[np.append(True, (v[1:] != v[:-1]) | (d[1:] != d[:-1]))], minlength=n)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
+def word_numbers(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, first): text i holds the words numbers[first[i]:first[i + 1]], each once; ASCII letters in lower case."""
+    starts, ends, first = words(data, off)
+    number = (word_hashes(_LOWER[data], starts, ends) >> np.uint64(48)).astype(np.int64)
+    both = np.unique(np.repeat(np.arange(len(off) - 1), np.diff(first)) * WORDS + number)
+    return both % WORDS, np.searchsorted(both, np.arange(len(off)) * WORDS)
+
+
 def text_bins(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """(texts, features) bins of whole texts; an empty text has its own bins, all from zero counts."""
     n, size = len(off) - 1, np.maximum(np.diff(off), 1)
@@ -93,7 +114,7 @@ def text_bins(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> DataFrame:
-    """(id, text, meta): the bins of both views as 16-bit integers."""
+    """(id, text, words, meta): the bins of both views and the numbers of the words, as 16-bit integers."""
     kind = docs.select(id_col).dtypes[0][1]
     hashed = lambda c, n: F.when(F.col(c).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(n - 1))).cast("int")
     length = F.least(F.lit(BINS - 1), F.coalesce((F.log2(F.greatest(F.col(chars_col), F.lit(0)).cast("double") + 1) / 0.75).cast("int") + 1, F.lit(0)))
@@ -101,36 +122,51 @@ def features(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, off in pieces(batches, "t"):
-            text = text_bins(data, off)
+            text, (number, first) = text_bins(data, off), word_numbers(data, off)
             meta = np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)], 1).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], names=["id", "text", "meta"])
+            number = number.astype(np.uint16)
+            held = [number[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.binary()) for x in ([x.tobytes() for x in text], held, [x.tobytes() for x in meta]))], names=["id", "text", "words", "meta"])
 
-    return rows.mapInArrow(run, f"id {kind}, text binary, meta binary")
+    return rows.mapInArrow(run, f"id {kind}, text binary, words binary, meta binary")
 
 
 class View:
-    """Counts by class, feature and bin; the score of a row is its log odds."""
+    """Counts by class, feature and bin, and by class and word; the score of a row is its log odds."""
 
-    def __init__(self, bins: tuple[int, ...]):
+    def __init__(self, bins: tuple[int, ...], words: int = 0):
         self.at = np.concatenate([[0], np.cumsum(bins)])[:-1]
-        self.bins = bins
-        self.counts = np.zeros((2, sum(bins)))
+        self.bins, self.words = bins, words
+        self.counts = np.zeros((2, sum(bins) + words))
         self.sure = (-np.inf, np.inf)
 
-    def read(self, column: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(column), np.uint16).reshape(-1, len(self.bins)).astype(np.int64) + self.at
-
-    def add(self, places: np.ndarray, labels: np.ndarray) -> np.ndarray:
-        return np.stack([np.bincount(places[labels == c].ravel(), minlength=sum(self.bins)) for c in (0, 1)]).astype(float)
-
-    def score(self, places: np.ndarray) -> np.ndarray:
+    def read(self, column: list[bytes], words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bins by row and feature, words of all rows, first word of each row)."""
+        places = np.frombuffer(b"".join(column), np.uint16).reshape(-1, len(self.bins)).astype(np.int64) + self.at
+        if not self.words:
+            return places, np.zeros(0, np.int64), np.zeros(len(places) + 1, np.int64)
+        first = np.concatenate([[0], np.cumsum([len(x) // 2 for x in words])]).astype(np.int64)
+        return places, np.frombuffer(b"".join(words), np.uint16).astype(np.int64) + sum(self.bins), first
+
+    def add(self, rows: tuple, labels: np.ndarray) -> np.ndarray:
+        places, words, first = rows
+        of_word = np.repeat(labels, np.diff(first))
+        return np.stack([np.bincount(np.concatenate([places[labels == c].ravel(), words[of_word == c]]), minlength=self.counts.shape[1]) for c in (0, 1)]).astype(float)
+
+    def score(self, rows: tuple) -> np.ndarray:
+        """Bins count in full; a text's words, which are far from independent, as their sum over the root of their number."""
+        places, words, first = rows
         n = self.counts[:, : self.bins[0]].sum(1)  # rows of each class
-        share = np.concatenate([(self.counts[:, a : a + b] + SMOOTHING) / (n[:, None] + SMOOTHING * b) for a, b in zip(self.at, self.bins)], 1)
+        share = [(self.counts[:, a : a + b] + SMOOTHING) / (n[:, None] + SMOOTHING * b) for a, b in zip(self.at, self.bins)]
+        share.append((self.counts[:, sum(self.bins) :] + SMOOTHING) / (n[:, None] + 2 * SMOOTHING))
+        share = np.concatenate(share, 1)
         odds = np.log(share[1]) - np.log(share[0])
-        return odds[places].sum(1) + np.log((n[1] + 1) / (n[0] + 1))
+        sums = np.concatenate([[0], np.cumsum(odds[words])])
+        held = (sums[first[1:]] - sums[first[:-1]]) / np.sqrt(np.maximum(np.diff(first), 1))
+        return odds[places].sum(1) + held + np.log((n[1] + 1) / (n[0] + 1))
 
     def set_sure(self, score: np.ndarray, label: np.ndarray) -> None:
-        """The largest tails of the checking rows in which PRECISION of the labels agree; none if they are too few."""
+        """The largest tails of the tuning rows in which PRECISION of the labels agree; none if they are too few."""
         edges = [-np.inf, np.inf]
         for c, sign in ((0, 1), (1, -1)):
             order = np.argsort(sign * score, kind="stable")
@@ -189,55 +225,81 @@ def _combine(x: np.ndarray, label: np.ndarray) -> np.ndarray:
     return w
 
 
+def fold(id_: Column) -> Column:
+    """Tenths of the ids, by a hash."""
+    return F.pmod(F.xxhash64(id_), F.lit(10))
+
+
 def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", rounds: int = ROUNDS) -> DataFrame:
-    """One row per input row: id, p_text, p_meta, score (the probability of label 1).
+    """One row per input row: id, p_text, p_meta, score (the probability of label 1), held_out.
 
-    Defined cases: a document with several labels takes the more frequent one, 0 on a tie; null labels and null
-    ids count for nothing; a null text is an empty one, and null metadata are a value of their own; without
-    labels of both classes for checking every probability is 0.5.  Repeated rows each get a row, an empty table
-    gives none, and other columns are not read.
+    held_out marks the ids whose labels no step has seen.  Defined cases: a document with several labels takes the
+    more frequent one, 0 on a tie; null labels and null ids count for nothing; a null text is an empty one, and null
+    metadata are a value of their own; without labels of both classes for tuning every probability is 0.5, and
+    without them for combination or calibration that step is left out.  Repeated rows each get a row and count as
+    rows, an empty table gives none, and other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    table = features(docs, id_col, text_col, source_col, lang_col, chars_col)
+    own = (id_col, text_col, source_col, lang_col, chars_col)
     known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("double").alias("y")).filter("lid is not null and y is not null")
     known = known.groupBy("lid").agg((F.avg((F.col("y") > 0).cast("double")) > 0.5).cast("int").alias("label"))
-    table = scratch.write(table.join(known, F.col("id") == F.col("lid"), "left").select("id", "text", "meta", "label", (F.pmod(F.xxhash64("id"), F.lit(4)) == 0).alias("checks")), "bins")
-    check = table.filter("label is not null and checks").select("text", "meta", "label", F.xxhash64("id", F.lit(1)).alias("o")).orderBy("o").limit(CHECK_ROWS).toArrow()
-    views = View((BINS,) * len(TEXT_FEATURES)), View(META_BINS)
-    y = check["label"].to_numpy().astype(int) if len(check) else np.zeros(0, int)
-    places = [v.read([bytes(x) for x in check[c].to_pylist()]) for v, c in zip(views, ("text", "meta"))]
+    table = features(docs.filter(F.col(id_col).isNotNull()), *own).join(known, F.col("id") == F.col("lid"), "left").drop("lid")
+    table = table.unionByName(features(docs.filter(F.col(id_col).isNull()), *own).withColumn("label", F.lit(None).cast("int")))  # they join nothing
+    table = scratch.write(table.withColumn("fold", fold(F.col("id"))), "bins")
+    views = View((BINS,) * len(TEXT_FEATURES), WORDS), View(META_BINS)
+
+    def drawn(low: int, high: int) -> tuple[list[tuple], np.ndarray]:
+        """At most FIT_ROWS labelled rows of some folds, by a hash: their features in both views, and labels."""
+        rows = table.filter(F.col("label").isNotNull() & (F.col("fold") >= low) & (F.col("fold") < high)).select("text", "words", "meta", "label", F.xxhash64("id", F.lit(1)).alias("o"))
+        n = rows.count()
+        if n > FIT_ROWS:
+            rows = rows.filter(F.col("o") < int((2 * FIT_ROWS / n - 1) * 2**63))
+        t = rows.toArrow().sort_by("o").slice(0, FIT_ROWS)
+        y = t["label"].to_numpy().astype(int) if len(t) else np.zeros(0, int)
+        return [v.read([bytes(x) for x in t[c].to_pylist()], [bytes(x) for x in t["words"].to_pylist()]) for v, c in zip(views, ("text", "meta"))], y
 
     def gather(models, call: bool) -> list[np.ndarray]:
         """Summed counts of both views: of true labels, or of what the other view is sure of."""
         sent = spark.sparkContext.broadcast(models)
 
+        def blocks(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "sums"])
+
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             v = sent.value
             total = [np.zeros_like(x.counts) for x in v]
             for b in batches:
-                at = [x.read(b.column(i).to_pylist()) for i, x in enumerate(v)]
+                held = b.column(1).to_pylist()
+                at = [x.read(b.column(i).to_pylist(), held) for x, i in zip(v, (0, 2))]
                 if call:
                     told = [x.calls(x.score(p)) for x, p in zip(v, at)][::-1]
                 else:
-                    told = [b.column(2).to_numpy(zero_copy_only=False)] * 2
-                for i, x in enumerate(v):
-                    total[i] += x.add(at[i], told[i])
-            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([t.ravel() for t in total]).tobytes()], pa.binary())], names=["sums"])
+                    told = [b.column(3).to_numpy(zero_copy_only=False)] * 2
+                for t, x, p, y in zip(total, v, at, told):
+                    t += x.add(p, y)
+            flat = np.concatenate([t.ravel() for t in total])
+            yield blocks({i: x for i, a in enumerate(range(0, len(flat), BLOCK)) if (x := flat[a : a + BLOCK]).any()})
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found = [np.frombuffer(x, float) for b in batches for x in b.column(0).to_pylist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([np.sum(found, 0).tobytes()], pa.binary())], names=["sums"])
-
-        rows = table.filter("label is null" if call else "label is not null and not checks").select("text", "meta", "label")
-        parts = rows.mapInArrow(count, "sums binary").repartition(16).mapInArrow(add, "sums binary").collect()
-        flat = np.sum([np.frombuffer(bytes(r.sums), float) for r in parts], 0) if parts else np.zeros(sum(x.counts.size for x in models))
-        cut = models[0].counts.size
-        return [flat[:cut].reshape(2, -1), flat[cut:].reshape(2, -1)]
-
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    total[i] = total[i] + np.frombuffer(x, float) if i in total else np.frombuffer(x, float)
+            yield blocks(total)
+
+        rows = table.filter("label is null" if call else f"label is not null and fold < {TRAIN}").select("text", "words", "meta", "label")
+        parts = rows.mapInArrow(count, "block int, sums binary").repartition(32, "block").mapInArrow(add, "block int, sums binary").collect()  # a row for each block
+        sizes = [x.counts.size for x in models]
+        flat = np.zeros(sum(sizes))
+        for r in parts:
+            flat[r.block * BLOCK : r.block * BLOCK + len(r.sums) // 8] = np.frombuffer(bytes(r.sums), float)
+        return [x.reshape(2, -1) for x in np.split(flat, [sizes[0]])]
+
+    places, y = drawn(TRAIN, TUNE)
+    curves, weights = [(np.zeros(0), np.zeros(0))] * 2, np.array([0.0, 1.0, 0.0])
+    last = (np.zeros(0), np.zeros(0))
     usable = len(y) > 0 and 0 < y.sum() < len(y)
-    curves, weights = [(np.zeros(0), np.zeros(0))] * 3, np.zeros(3)
     if usable:
         true = gather(views, False)
         for v, c in zip(views, true):
@@ -249,17 +311,23 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             for v, c, e in zip(views, true, extra):
                 v.counts = c + PSEUDO_WEIGHT * e
         curves = [isotonic(v.score(p), y) for v, p in zip(views, places)]
-        logits = np.column_stack([_logit(_apply(c, v.score(p))) for v, c, p in zip(views, curves, places)])
-        weights = _combine(logits, y)
-        curves.append(isotonic(weights[0] + logits @ weights[1:], y))
-    sent = spark.sparkContext.broadcast((views, curves, weights))
+        both = lambda rows: np.column_stack([_logit(_apply(c, v.score(p))) for v, c, p in zip(views, curves, rows)])
+        rows, y = drawn(TUNE, COMBINE)
+        if 0 < y.sum() < len(y):
+            weights = _combine(both(rows), y)
+        rows, y = drawn(COMBINE, CALIBRATE)
+        if 0 < y.sum() < len(y):
+            last = isotonic(weights[0] + both(rows) @ weights[1:], y)
+    sent = spark.sparkContext.broadcast((views, curves, weights, last))
     kind = docs.select(id_col).dtypes[0][1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, c, w = sent.value
+        v, c, w, end = sent.value
         for b in batches:
-            p = [_apply(curve, x.score(x.read(b.column(i + 1).to_pylist()))) for i, (x, curve) in enumerate(zip(v, c))]
-            both = _apply(c[2], w[0] + w[1] * _logit(p[0]) + w[2] * _logit(p[1]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (*p, both))], names=["id", "p_text", "p_meta", "score"])
+            held = b.column(2).to_pylist()
+            p = [_apply(curve, x.score(x.read(b.column(i).to_pylist(), held))) for x, curve, i in zip(v, c, (1, 3))]
+            both = w[0] + w[1] * _logit(p[0]) + w[2] * _logit(p[1])
+            both = _apply(end, both) if len(end[0]) else 1 / (1 + np.exp(-both))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x) for x in (*p, both)), b.column(4)], names=["id", "p_text", "p_meta", "score", "held_out"])
 
-    return table.select("id", "text", "meta").mapInArrow(score, f"id {kind}, p_text double, p_meta double, score double")
+    return table.select("id", "text", "words", "meta", (F.col("fold") >= CALIBRATE).alias("held_out")).mapInArrow(score, f"id {kind}, p_text double, p_meta double, score double, held_out boolean")
