@@ -79,7 +79,9 @@ def _dense(text: Column) -> Column:
             after = F.array_join(F.slice(chars, i + 2, F.lit(CONTEXT)), "")
             return _finding(i, F.get(chars, i), before, after)
 
-        places = F.filter(F.transform(chars, lambda c, i: F.when(c.rlike(cp.QUICK_FLAGGED), i)), lambda i: i.isNotNull())
+        # printable ASCII is told by two comparisons, without a regular expression
+        flagged = lambda c: ((c < " ") | (c > "~")) & c.rlike(cp.QUICK_FLAGGED)
+        places = F.filter(F.transform(chars, lambda c, i: F.when(flagged(c), i)), lambda i: i.isNotNull())
         return F.transform(places, at)
 
     return _let(F.split(text, ""), walked)
@@ -109,22 +111,24 @@ def count_by_category(text: Column) -> Column:
 
 
 def counts_map(text: Column, categories: tuple[str, ...]) -> Column:
+    """From one pass over the text: the flagged characters are taken out and counted by category."""
     empty = F.create_map().cast("map<string,bigint>")
     if not categories:
         return F.when(text.isNotNull(), empty)
     keys = F.array(*map(F.lit, categories))
-    full = F.map_from_arrays(keys, F.array(*[category_count(text, c) for c in categories]))
+    hits = F.regexp_extract_all(text, F.lit(f"({cp.quick_class(*categories)})"), F.lit(0))
+    count = lambda kinds: F.transform(keys, lambda k: F.size(F.filter(kinds, lambda x: x == k)).cast("long"))
+    full = _let(F.transform(hits, cp.category_of), lambda kinds: F.map_from_arrays(keys, count(kinds)))
     found = text.rlike(cp.quick_class(*categories))
     return F.when(found, F.map_filter(full, lambda _, n: n > 0)).when(text.isNotNull(), empty)
 
 
 def category_totals(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
     """Totals of each category over a corpus, long form: by, category, n.  Texts are counted where they lie, so
-    the shuffle holds at most a row per group, category and task."""
-    order = list(cp.CATEGORIES)
-    wide = df.select(*by, F.col(text).alias("__t")).filter(has_hidden(F.col("__t")))
-    sums = wide.groupBy(*by).agg(*[F.sum(category_count(F.col("__t"), c)).alias(c) for c in order])
-    return sums.unpivot(by, order, "category", "n").filter("n > 0")
+    the shuffle holds at most a row per group, flagged character and task."""
+    hits = df.select(*by, F.col(text).alias("__t")).filter(has_hidden(F.col("__t"))).select(*by, F.explode(hidden_characters(F.col("__t"))).alias("__c"))
+    by_character = hits.groupBy(*by, "__c").agg(F.count("*").alias("__n"))  # 538 rows a group at most
+    return by_character.groupBy(*by, cp.category_of(F.col("__c")).alias("category")).agg(F.sum("__n").alias("n"))
 
 
 def inspection(text: Column) -> Column:

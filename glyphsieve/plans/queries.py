@@ -11,7 +11,7 @@ from ..functions import codepoints as cp
 from ..functions.numbers import round3_sql
 from ..operators import purify, scan, stylometry, validate
 from ..settings import Settings
-from ..sources import files
+from ..sources import files, sinks
 from ..sources.shared import shared_dir
 from ..streaming import rows as streaming
 from . import analyze, samples
@@ -23,6 +23,10 @@ ORACLE_SQL: dict[str, str] = {}
 TEXTS = {"documents": (["doc_id"], "text"), "pages": (["page_id"], "html"), "benchmark": (["item_id"], "text"), "conversations": (["conv_id", "turn"], "text")}
 
 
+#: Without the service's limits, which the SQL has not either; the limits are queries of their own.
+_WHOLE = Settings(max_text_length=10**9, max_upload_size_mb=2000)
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -141,15 +145,21 @@ _OPTIONS = {
     "keep_all": purify.PurifyOptions(False, False, False, "none"),
     "nfc": purify.PurifyOptions(),
     "nfkc": purify.PurifyOptions(form="NFKC"),
+    "nfkc_keep_all": purify.PurifyOptions(False, False, False, "NFKC"),
     "nfc_keep_spaces": purify.PurifyOptions(strip_spaces=False),
 }
 
 
-def _purify_sql(o: purify.PurifyOptions) -> str | None:
-    if o.form == "NFKC":
-        return None  # DuckDB has no NFKC
+#: DuckDB has no NFKC: the compatibility characters that the samples put in, and what they become.
+_COMPATIBLE = {0xA0: 0x20, 0x2003: 0x20, 0x3164: 0x1160}
+
+
+def _purify_sql(o: purify.PurifyOptions) -> str:
     out = f"regexp_replace(text, '{_class(*o.categories)}', '', 'g')".replace("\\x{0}-", "\\x{1}-") if o.categories else "text"
-    pure = f"nfc_normalize({out})" if o.form == "NFC" else out
+    pure = out if o.form == "none" else f"nfc_normalize({out})"
+    if o.form == "NFKC":
+        told = [" || ".join(f"chr({c})" for c in x) for x in (_COMPATIBLE, _COMPATIBLE.values())]
+        pure = f"nfc_normalize(translate({out}, {told[0]}, {told[1]}))"
     removed = {c: _count_sql(c) if c in o.categories else "0::BIGINT" for c in cp.CATEGORIES}
     return f"""WITH {_injected_sql()}, p AS (SELECT *, {pure} AS pure FROM t)
     SELECT doc_id, length(text) AS original_length, length(pure) AS purified_length, length(text) - length({out}) AS removed_count, md5(pure) AS purified,
@@ -245,7 +255,7 @@ _ANALYZED_SQL = f"WITH {_style_sql(_INJECTED_ONLY, 'doc_id')}, z AS (SELECT *, l
 
 @query("analyze_flat", f"{_ANALYZED_SQL} SELECT doc_id, hidden > 0 AS has_hidden_unicode, hidden AS hidden_character_count, composite_score, confidence, length(text) AS character_count, len(regexp_extract_all(text, '{_WORD_SQL}')) AS word_count FROM z")
 def analyze_flat(spark, sf_dir):
-    out = analyze.analyze(_injected(spark, sf_dir))
+    out = analyze.analyze(_injected(spark, sf_dir), settings=_WHOLE)
     return out.select("doc_id", "has_hidden_unicode", "hidden_character_count", "composite_score", "confidence", "character_count", "word_count")
 
 
@@ -256,7 +266,7 @@ def analyze_flat(spark, sf_dir):
 )
 def corpus_profile(spark, sf_dir):
     rows = _documents(spark, sf_dir).select("lang", "source", samples.inject(F.col("text"), F.col("doc_id")).alias("text"))
-    return analyze.corpus_profile(rows, ["lang", "source"]).withColumn("mean_composite", F.round("mean_composite", 6))
+    return analyze.corpus_profile(rows, ["lang", "source"], settings=_WHOLE).withColumn("mean_composite", F.round("mean_composite", 6))
 
 
 # -- files ----------------------------------------------------------------------------------------------------
@@ -273,23 +283,23 @@ def _identity_sql(table: str, key: str, text: str, kind: str, warnings: str) ->
 
 @query("extract_txt", _identity_sql("documents", "doc_id", "text", "txt", "CASE WHEN doc_id % 7 = 0 AND regexp_matches(text, '[\\x{80}-\\x{FF}]') AND NOT regexp_matches(text, '[^\\x{1}-\\x{FF}]') THEN 1 ELSE 0 END"))
 def extract_txt(spark, sf_dir):
-    return _extracted(files.extract(samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt", 7)), "doc_id")
+    return _extracted(files.extract(samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt", 7), _WHOLE), "doc_id")
 
 
 @query("extract_html", _identity_sql("pages", "page_id", "html", "html", "0"))
 def extract_html(spark, sf_dir):
     pages = _load(spark, sf_dir, "pages")
-    return _extracted(files.extract(samples.as_files(pages, "page_id", "html", "HTM")), "page_id")
+    return _extracted(files.extract(samples.as_files(pages, "page_id", "html", "HTM"), _WHOLE), "page_id")
 
 
 @query("extract_docx", _identity_sql("documents", "doc_id", "text", "docx", "0"))
 def extract_docx(spark, sf_dir):
-    return _extracted(files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "docx")), "doc_id")
+    return _extracted(files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "docx"), _WHOLE), "doc_id")
 
 
 @query("extract_pdf", _identity_sql("documents", "doc_id", "text", "pdf", "1"))
 def extract_pdf(spark, sf_dir):
-    return _extracted(files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "pdf")), "doc_id")
+    return _extracted(files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "pdf"), _WHOLE), "doc_id")
 
 
 @query(
@@ -300,7 +310,7 @@ def extract_refused(spark, sf_dir):
     """Documents' bytes under names that promise something else."""
     ext = F.element_at(F.array(*map(F.lit, [".doc", ".zip", ".docx", ".pdf", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
     rows = _documents(spark, sf_dir).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), ext).alias("path"), F.encode("text", "UTF-8").alias("content"))
-    found = files.extract(rows.withColumn("length", F.octet_length("content").cast("long")))
+    found = files.extract(rows.withColumn("length", F.octet_length("content").cast("long")), _WHOLE)
     return found.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("doc_id"), "error_code")
 
 
@@ -320,10 +330,64 @@ def validate_texts(spark, sf_dir):
     return validate.validate(_documents(spark, sf_dir).select("doc_id", text.alias("text")), settings=Settings(max_text_length=_LIMIT)).select("doc_id", "error_code")
 
 
-@query("validate_file_size", f"SELECT doc_id, octet_length(encode(text)) <= {_LIMIT} AS small_enough FROM documents")
+#: So many bytes as the largest upload, in the unit of the setting.
+_SMALL = Settings(max_upload_size_mb=_LIMIT / 1_048_576, max_text_length=10**9)
+
+
+@query("validate_file_size", f"SELECT doc_id, CASE WHEN octet_length(encode(text)) > {_LIMIT} THEN 'TOO_LARGE' END AS error_code, CASE WHEN octet_length(encode(text)) <= {_LIMIT} THEN length(text) END AS character_count FROM documents")
 def validate_file_size(spark, sf_dir):
-    rows = samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt")
-    return rows.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("doc_id"), (F.col("length") <= _LIMIT).alias("small_enough"))
+    found = files.extract(samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt"), _SMALL)
+    return found.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("doc_id"), "error_code", "character_count")
+
+
+@query("validate_extracted_length", f"SELECT doc_id, CASE WHEN length(text) > {_LIMIT} THEN 'TOO_LONG' END AS error_code, length(text) AS character_count, CASE WHEN length(text) <= {_LIMIT} THEN md5(text) END AS text_md5 FROM documents")
+def validate_extracted_length(spark, sf_dir):
+    found = files.extract(samples.as_files(_documents(spark, sf_dir), "doc_id", "text", "txt"), Settings(max_text_length=_LIMIT))
+    return found.select(F.regexp_extract("path", r"in/(\d+)", 1).cast("long").alias("doc_id"), "error_code", "character_count", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query("validate_forms", "SELECT * FROM (VALUES ('none', true), ('NFC', true), ('NFKC', true), ('NFD', false), ('nfc', false), ('', false)) AS t(form, taken)")
+def validate_forms(spark, sf_dir):
+    """Which normalisation forms a purification takes."""
+
+    def taken(form: str) -> bool:
+        try:
+            return bool(purify.PurifyOptions(form=form))
+        except ValueError:
+            return False
+
+    rows = ", ".join(f"('{f}', {str(taken(f)).lower()})" for f in ("none", "NFC", "NFKC", "NFD", "nfc", ""))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(form, taken)")
+
+
+@query("extract_pdf_fonts", "SELECT doc_id, md5(text) AS text_md5, doc_id % 2 = 1 AND NOT regexp_matches(text, '[^\\n\\x{20}-\\x{7E}\\x{A0}-\\x{FF}]') AS lacks_map FROM documents")
+def extract_pdf_fonts(spark, sf_dir):
+    """Every other document, where it can be, in a simple font without a Unicode map."""
+    found = files.extract(samples.as_packed_files(_documents(spark, sf_dir), "doc_id", "text", "pdf", simple_every=2), _WHOLE)
+    number = F.regexp_extract("path", r"in/(-?\d+)\.", 1).cast("long").alias("doc_id")
+    return found.select(number, F.md5(F.col("text").cast("binary")).alias("text_md5"), F.array_contains("warnings", "FONT_WITHOUT_UNICODE_MAP").alias("lacks_map"))
+
+
+@query("sink_results", f"WITH {_injected_sql()} SELECT doc_id, length(text) AS original_length, md5(regexp_replace(text, '{_FLAGGED_SQL}', '', 'g')) AS purified FROM t")
+def sink_results(spark, sf_dir):
+    """Purifications written as JSON lines and read back."""
+    at = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    out = purify.purify(_injected(spark, sf_dir), options=purify.PurifyOptions(form="none"))
+    sinks.write_results(out.select("doc_id", "original_length", "purified_text"), at, "json")
+    back = spark.read.schema("doc_id long, original_length long, purified_text string").json(at)
+    return back.select("doc_id", "original_length", F.md5(F.col("purified_text").cast("binary")).alias("purified"))
+
+
+@query(
+    "sink_texts",
+    f"""WITH {_injected_sql()}, p AS (SELECT regexp_replace(text, '{_FLAGGED_SQL}', '', 'g') AS pure FROM t),
+    l AS (SELECT unnest(string_split(pure, chr(10))) AS line FROM p) SELECT md5(line) AS line, count(*) AS n FROM l GROUP BY ALL""",
+)
+def sink_texts(spark, sf_dir):
+    """Purified texts written as plain text and read back line by line."""
+    at = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    sinks.write_texts(purify.purify(_injected(spark, sf_dir), options=purify.PurifyOptions(form="none")), at)
+    return spark.read.text(at, lineSep="\n").groupBy(F.md5(F.col("value").cast("binary")).alias("line")).agg(F.count("*").alias("n"))
 
 
 @query("health", "SELECT 'ok' AS status, true AS ready")

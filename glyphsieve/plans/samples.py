@@ -109,12 +109,17 @@ def pdf_bytes(pages: list[list[str] | None], unicode_map: bool = True) -> bytes:
     return body + b"trailer << /Size %d /Root %d 0 R >>\n%%%%EOF" % (len(objects) + 1, catalog)
 
 
-def as_packed_files(df: DataFrame, key: str, text: str, ext: str) -> DataFrame:
-    """path, length and content of docx or pdf files, a paragraph or line of text for each line."""
+def as_packed_files(df: DataFrame, key: str, text: str, ext: str, simple_every: int = 0) -> DataFrame:
+    """path, length and content of docx or pdf files, a paragraph or line of text for each line; of pdf files all but
+    every so many have a simple font without a Unicode map, where their text is printable Latin-1."""
+
+    def pdf(k: int, t: str) -> bytes:
+        simple = simple_every and k % simple_every and all(c == "\n" or " " <= c <= "~" or "\xa0" <= c <= "\xff" for c in t)
+        return pdf_bytes([t.split("\n")], not simple)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            made = [docx_bytes(t.split("\n")) if ext == "docx" else pdf_bytes([t.split("\n")]) for t in b["t"]]
+            made = [docx_bytes(t.split("\n")) if ext == "docx" else pdf(k, t) for k, t in zip(b["k"], b["t"])]
             yield pd.DataFrame({"path": [f"in/{k}.{ext}" for k in b["k"]], "length": [len(x) for x in made], "content": made})
 
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(pack, "path string, length bigint, content binary")

@@ -10,13 +10,13 @@ from dataclasses import dataclass, fields
 class Settings:
     # The default limits.
     max_text_length: int = 500_000
-    max_upload_size_mb: int = 15
+    max_upload_size_mb: float = 15
     normalize_form: str = "NFC"
     log_level: str = "INFO"
 
     @property
     def max_upload_bytes(self) -> int:
-        return self.max_upload_size_mb * 1_048_576
+        return int(self.max_upload_size_mb * 1_048_576)
 
     @classmethod
     def load(cls, spark=None) -> Settings:
@@ -26,5 +26,5 @@ class Settings:
             if spark is not None:
                 value = spark.conf.get(f"spark.glyphsieve.{f.name}", value)
             if value is not None:
-                found[f.name] = type(f.default)(value)
+                found[f.name] = float(value) if f.name == "max_upload_size_mb" else type(f.default)(value)
         return cls(**found)

@@ -91,6 +91,51 @@ def test_pdf_warnings():
     assert pdf.pdf_text(pdf_bytes([]))[1] == ["PDF_MAY_LOSE_ZERO_WIDTH_AND_BIDI"]
 
 
+def lzw(data: bytes, early: int) -> bytes:
+    """A plain encoder, to read back."""
+    table, out, w = {bytes([i]): i for i in range(256)}, [(256, 9)], b""
+    following, width = 258, 9
+    for b in data:
+        if w + bytes([b]) in table:
+            w += bytes([b])
+            continue
+        out.append((table[w], width))
+        table[w + bytes([b])], following = following, following + 1
+        width = max(9, (following + early - 1).bit_length())
+        w = bytes([b])
+        if following == 4000:
+            out += [(table[w], width), (256, max(9, (following + early).bit_length()))]
+            table, w, following, width = {bytes([i]): i for i in range(256)}, b"", 258, 9
+    out += [(table[w], width)] * bool(w)
+    out.append((257, max(9, (following + early).bit_length()) if w else width))
+    bits = "".join(f"{c:0{n}b}" for c, n in out)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def filtered(name: bytes, pack, more: bytes = b"") -> bytes:
+    body = pdf_bytes([["some text of a page, some text of a page"]], unicode_map=False)
+    at = body.index(b"BT /F1")
+    shown = body[at : body.index(b" ET", at) + 3]
+    packed = pack(shown)
+    return body.replace(b"<< /Length %d >>\nstream\n%s" % (len(shown), shown), b"<< /Length %d /Filter /%s %s >>\nstream\n%s" % (len(packed), name, more, packed))
+
+
+def test_pdf_stream_filters():
+    want = "some text of a page, some text of a page"
+    runs = lambda d: b"".join(bytes([len(d[i : i + 100]) - 1]) + d[i : i + 100] for i in range(0, len(d), 100)) + b"\x80"
+    assert pdf.pdf_text(filtered(b"LZWDecode", lambda d: lzw(d, 1)))[0] == want
+    assert pdf.pdf_text(filtered(b"LZWDecode", lambda d: lzw(d, 0), b"/DecodeParms << /EarlyChange 0 >>"))[0] == want
+    assert pdf.pdf_text(filtered(b"RunLengthDecode", runs))[0] == want
+    text, warnings = pdf.pdf_text(filtered(b"JBIG2Decode", bytes))
+    assert text == "" and "STREAM_FILTER_NOT_READ" in warnings
+    # the example of the PDF specification
+    assert pdf._lzw(bytes.fromhex("800B6050220C0C8501"), 1) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    assert pdf._run_length(bytes([2, 65, 66, 67, 254, 90, 128, 1])) == b"ABCZZZ"
+    for early in (0, 1):
+        data = bytes(i * i % 251 for i in range(20_000)) + b"a" * 5000
+        assert pdf._lzw(lzw(data, early), early) == data
+
+
 def test_pdf_in_a_job(spark):
     got = extracted(spark, {"a.pdf": pdf_bytes([["one", "two"]])})
     assert got["a.pdf"].text == "one\ntwo" and got["a.pdf"].source_type == "pdf"
