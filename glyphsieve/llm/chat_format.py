@@ -38,21 +38,31 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
     mask has an entry per turn in order, (lead, chars, loss): so many code points of markup, then so many of
     escaped text, and whether that text is trained on.  After the last turn only its end marker follows.
     Defined cases: turns sort by turn, ties by role and text, null turns first; null text or role counts as
-    empty; rows with a null conversation form one conversation; repeated rows are turns of their own; an empty
-    table gives no rows.  Other columns are not read.  A conversation is one string, so it must fit in a row.
+    empty; a row with a null conversation is a conversation of its own, so such rows never meet in one task;
+    repeated rows are turns of their own; an empty table gives no rows.  Other columns are not read.  A conversation
+    is one string, so it must fit in a row.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sorted_ = rows.groupBy(F.col(conv_col).alias("conv_id")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    keyed = rows.select(F.col(conv_col).alias("conv_id"), F.when(F.col(conv_col).isNull(), F.monotonically_increasing_id()).alias("own"), turn.alias("t"))
+    sorted_ = keyed.groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     begins = lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])
+    sorted_ = sorted_.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), begins))
 
-    def piece(t: Column, i: Column) -> Column:
-        open_ = F.concat(F.when(i == 0, F.lit("")).otherwise(F.lit(END + "\n")), F.lit(START), _escape_role(t["role"]), F.lit("\n"))
-        return F.struct(F.when(begins(i), open_).otherwise(F.lit(SEP)).alias("lead"), escape(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss"))
+    def run(start: Column, i: Column) -> Column:
+        """Adjacent turns of one role as one struct: its role, its texts in order."""
+        some = F.slice("turns", start + 1, F.coalesce(F.get("starts", i + 1), F.size("turns")) - start)
+        role = F.get("turns", start)["role"]
+        return F.struct(_escape_role(role).alias("role"), (role == loss_role).alias("loss"), F.transform(some, lambda t: escape(t["text"])).alias("texts"))
 
-    pieces = sorted_.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    formatted = F.concat(F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END + "\n"))
-    mask = F.transform("pieces", lambda p: F.struct(F.length(p["lead"]).cast("long").alias("lead"), F.length(p["text"]).cast("long").alias("chars"), p["loss"].alias("loss")))
-    return pieces.select("conv_id", formatted.alias("formatted"), mask.alias("mask"))
+    runs = sorted_.select("conv_id", F.transform("starts", run).alias("runs"))
+    block = lambda r: F.concat(F.lit(START), r["role"], F.lit("\n"), F.array_join(r["texts"], SEP), F.lit(END + "\n"))
+    formatted = F.array_join(F.transform("runs", block), "")
+
+    def entries(r: Column, i: Column) -> Column:
+        opened = F.when(i == 0, F.lit(0)).otherwise(len(END) + 1) + len(START) + F.length(r["role"]) + 1
+        return F.transform(r["texts"], lambda x, j: F.struct(F.when(j == 0, opened).otherwise(len(SEP)).cast("long").alias("lead"), F.length(x).cast("long").alias("chars"), r["loss"].alias("loss")))
+
+    return runs.select("conv_id", formatted.alias("formatted"), F.flatten(F.transform("runs", entries)).alias("mask"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

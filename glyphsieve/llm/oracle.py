@@ -11,19 +11,19 @@ _QUOTED = ", ".join("({}, '{}', '{}', '{}')".format(i, name, kind, text.replace(
 ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": r"""
         WITH c AS (
-            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
-            UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-        t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM c),
+            SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+            UNION ALL SELECT -1, -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+        t AS (SELECT *, lag(role) OVER (PARTITION BY conv_id, own ORDER BY turn NULLS FIRST, role, text) AS before FROM c),
         p AS (SELECT *, CASE WHEN role IS NOT DISTINCT FROM before THEN length('<|im_sep|>')
                              ELSE length('<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length('<|im_end|>') + 1 END
                         + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM t)
         SELECT conv_id, count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-               length(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               length(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                sum(chars)::BIGINT AS formatted_chars
-        FROM p GROUP BY conv_id""",
+        FROM p GROUP BY conv_id, own""",
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         q AS (SELECT page_id, html, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY html) AS top FROM p)

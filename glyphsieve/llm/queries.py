@@ -23,8 +23,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
-    turns = chat_format.read_back(chat_format.format_conversations(rows.unionByName(more)))
+    more = spark.sql(f"SELECT * FROM VALUES (-1, 0, 'user', '{probe}'), (-1, 1, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
+    more = more.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema])
+    both = chat_format.format_conversations(rows).unionByName(chat_format.format_conversations(more))  # apart, whatever ids the table has
+    turns = chat_format.read_back(both)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
     return turns.select(
@@ -40,8 +42,9 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages")
     manifest = warc.write_pages(pages, warc.archive_folder(spark))
-    out = warc.read_archives(manifest, payloads=False)
-    checked = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", "path", "offset", "error")))
+    out = warc.check_revisits(warc.read_archives(manifest, payloads=False))
+    sound = F.col("error").isNull() & F.col("verified")
+    checked = F.when(sound, F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", "path", "offset", F.coalesce("error", F.lit("no digest")))))
     kind = pages.schema["page_id"].dataType
     return out.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", checked.alias("record_type"), F.col("refers_to").cast(kind).alias("refers_to"))
 

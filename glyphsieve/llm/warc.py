@@ -97,7 +97,8 @@ def read_records(stream) -> Iterator[Record]:
     """The records of a .warc.gz stream in order.
 
     A record that breaks its framing has an error and whatever was read; so has a member that is cut short or
-    damaged, after which nothing more can be framed and the reading ends.
+    damaged, after which nothing more can be framed and the reading ends.  What a member holds beyond its record is
+    unpacked in small pieces and thrown away, so memory is bounded by the record's own length.
     """
     data, offset = stream.read(_CHUNK), 0
     while data:
@@ -107,17 +108,19 @@ def read_records(stream) -> Iterator[Record]:
             while not z.eof:
                 if not data:
                     raise ValueError("a gzip member is cut short")
-                got += z.decompress(data)
-                used, data = used + len(data) - len(z.unused_data), z.unused_data
+                got += z.decompress(data, _CHUNK)
+                left = z.unused_data if z.eof else z.unconsumed_tail
+                used, data = used + len(data) - len(left), left
                 if length is None and (end := got.find(b"\r\n\r\n")) >= 0:
                     out.fields, body = _parse_head(bytes(got[:end])), end + 4
                     length = int(out.fields.get("content-length", "-1"))
                     if length < 0:
                         raise ValueError("no content length")
-                if len(got) > (_MOST_HEADER if length is None else body + length + 4) and out.error is None:
+                if len(got) > (_MOST_HEADER if length is None else body + length + 4):
                     if length is None:
                         raise ValueError("no end of the record's header")
                     out.error = "the member goes on after its record"
+                    del got[body + length :]
                 if not z.eof and not data:
                     data = stream.read(_CHUNK)
         except (ValueError, zlib.error) as why:
@@ -138,6 +141,15 @@ def read_records(stream) -> Iterator[Record]:
         data = data or stream.read(_CHUNK)
 
 
+def _told(digest: str | None) -> bool:
+    return bool(digest) and digest.startswith("sha1:")
+
+
+def verified(r: Record) -> bool:
+    """Were all its bytes held against a digest?  Digests of other kinds than SHA-1 tell nothing here."""
+    return _told(r.fields.get("warc-block-digest"))
+
+
 def _verify(r: Record) -> str | None:
     if (want := r.fields.get("warc-block-digest")) and want.startswith("sha1:") and sha1_32(r.block) != want:
         return "the block differs from its digest"
@@ -200,7 +212,7 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
 
 _OUT = pa.schema(
     [("path", pa.string()), ("offset", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()), ("page_id", pa.string()), ("target_uri", pa.string())]
-    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("error", pa.string()), ("payload", pa.binary())]
+    + [("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.string()), ("error", pa.string()), ("verified", pa.bool_()), ("payload", pa.binary())]
 )
 
 
@@ -218,14 +230,15 @@ def _row(path: str, r: Record, payloads: bool) -> tuple:
         digest = base64.b32decode(digest[5:]).hex() if digest.startswith("sha1:") else None
     except ValueError:
         digest = None
-    return path, r.offset, kind, f.get("warc-record-id"), _page(f.get("warc-record-id")), f.get("warc-target-uri"), size, digest, _page(f.get("warc-refers-to")), r.error, r.payload if payloads and kind != "revisit" else None
+    return path, r.offset, kind, f.get("warc-record-id"), _page(f.get("warc-record-id")), f.get("warc-target-uri"), size, digest, _page(f.get("warc-refers-to")), r.error, verified(r), r.payload if payloads and kind != "revisit" else None
 
 
 def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
     """paths (path string) -> a row for each record, read in sequence, one task or less for each archive.
 
     payload_bytes and payload_digest (lower-case hex) speak of the full payload, for revisits too; error is null
-    for records whose framing and digests hold.  An empty table of paths, or an empty archive, gives no rows.
+    for records whose framing and digests hold, and verified says whether there was a digest to hold.  An empty table
+    of paths, or an empty archive, gives no rows.
     """
     files = paths.select("path").repartition(max(1, min(paths.count(), 100_000)))
 
@@ -244,10 +257,29 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
         if held:
             yield _batch(held)
 
-    kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary"}
+    kinds = {pa.string(): "string", pa.int64(): "bigint", pa.binary(): "binary", pa.bool_(): "boolean"}
     return files.mapInArrow(run, ", ".join(f"{x.name} {kinds[x.type]}" for x in _OUT))
 
 
+def check_revisits(records: DataFrame) -> DataFrame:
+    """records, with an error where a revisit's digest or length is not that of a response that it names.
+
+    The archives are read once, into a table; each kind of revisit is looked up once, however often it occurs.
+    """
+    scratch = Scratch(records.sparkSession, "revisits")
+    records = scratch.write(records, "records")
+    about = ("payload_digest", "payload_bytes")
+    there = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), *about).distinct().withColumn("known", F.lit(True))
+    asked = records.filter("record_type = 'revisit'").select("refers_to", *about).distinct()
+    unknown = asked.join(there, ["refers_to", *about], "left_anti").select(*[F.col(c).alias(f"u_{c}") for c in ("refers_to", *about)])
+    unknown = scratch.write(unknown, "unknown")
+    wrong = (F.col("record_type") == "revisit") & F.col("refers_to").eqNullSafe(F.col("u_refers_to")) & F.col("payload_digest").eqNullSafe(F.col("u_payload_digest")) & F.col("payload_bytes").eqNullSafe(F.col("u_payload_bytes"))
+    if not unknown.head(1):
+        return records
+    told = F.when(F.col("u_payload_digest").isNotNull() | F.col("u_refers_to").isNotNull(), "the revisit differs from the response that it names")
+    return records.join(unknown, wrong, "left").select(*[F.coalesce("error", told).alias(c) if c == "error" else c for c in records.columns])
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _OUT)], schema=_OUT)
 

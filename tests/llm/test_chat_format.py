@@ -40,11 +40,27 @@ def test_nulls_ties_repeats_and_clashing_columns(spark):
     schema = "conv_id long, turn long, role string, text string, turns string, raw string, mask string"
     rows = [(None, 1, None, None, "x", "x", "x"), (None, None, "user", "first", "x", "x", "x"), (2, 0, "user", "b", "", "", ""), (2, 0, "user", "a", "", "", ""), (2, 0, "user", "a", "", "", "")]
     got = back(spark, rows, schema)
-    assert [(t.role, t.text) for t in got[None].turns] == [("user", "first"), ("", "")]
     assert [t.text for t in got[2].turns] == ["a", "a", "b"]
+    df = spark.createDataFrame(rows, schema)
+    alone = [[(t.role, t.text) for t in r.turns] for r in chat_format.read_back(chat_format.format_conversations(df)).filter("conv_id is null").collect()]
+    assert sorted(alone) == [[("", "")], [("user", "first")]]  # rows of no conversation stay apart
     assert back(spark, []) == {}
 
 
+def test_a_very_long_text_and_many_runs(spark):
+    rows = [(1, 0, "user", "x<|" * 1_500_000), (1, 1, "assistant", "y" * 3_000_000)] + [(2, i, "tool", f"part {i}") for i in range(20_000)]
+    got = back(spark, rows)
+    assert [t.text for t in got[1].turns] == [r[3] for r in rows[:2]] and [t.text for t in got[2].turns] == [r[3] for r in rows[2:]]
+    assert got[2].formatted.count("<|im_start|>") == 1
+
+
+def test_query_with_nulls_and_a_conversation_of_the_probes_number(spark, tmp_path):
+    rows = [(-1, 0, "user", "mine"), (None, 0, "user", "a"), (None, None, None, None), (5, None, "assistant", None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.conv_id, r.n_turns, r.loss_chars) for r in op2_chat_format(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(-1, 1, 0), (-1, 2, 34), (None, 1, 0), (None, 1, 0), (5, 1, 0)], key=str)
+
+
 def test_long_conversation(spark):
     rows = [(5, i, ("user", "assistant")[i % 2], f"text {i} " * 20) for i in range(6000)]
     assert [t.text for t in back(spark, rows)[5].turns] == [r[3] for r in rows]

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import tracemalloc
 
 import pytest
 
@@ -51,6 +52,36 @@ def test_damage_is_told(data, error):
     assert got[0].error is None and error in got[1].error
 
 
+def test_a_member_that_goes_on_is_not_held():
+    bomb = rebuilt(b"Content-Length: 4", b"abcd", b"\0" * 300_000_000)
+    tracemalloc.start()
+    got = records(bomb)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert "goes on" in got[0].error and got[0].block == b"abcd" and peak < 20e6
+
+
+def test_records_without_digests_are_not_verified():
+    plain, other = rebuilt(b"Content-Length: 4", b"abcd"), rebuilt(b"Content-Length: 4\r\nWARC-Block-Digest: md5:xyz", b"abcd")
+    got = records(plain + other + warc.record("1", "u", b"payload", None, DATE))
+    assert [r.error for r in got] == [None] * 3 and [warc.verified(r) for r in got] == [False, False, True]
+
+
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    big, other = b"p" * 2000, b"q" * 2000
+    data = warc.record("1", "u", big, None, DATE) + warc.record("2", "u", big, "1", DATE) + warc.record("3", "u", other, "1", DATE) + warc.record("4", "u", big, "9", DATE)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    out = warc.check_revisits(warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/a.warc.gz",)], "path string")))
+    assert [(r.page_id, r.error is None) for r in out.orderBy("offset").collect()] == [("1", True), ("2", True), ("3", False), ("4", False)]
+
+
+def test_a_very_long_page(spark, tmp_path):
+    pages = [(1, "u", "é<p>" * 4_000_000), (2, "u", "é<p>" * 4_000_000), (3, "u", "")]
+    manifest = warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type) for r in warc.read_archives(manifest, payloads=False).collect())
+    assert got == [("1", 20_000_000, "revisit"), ("2", 20_000_000, "response"), ("3", 0, "response")]
+
+
 def test_empty_and_foreign_streams():
     assert records(b"") == []
     assert records(b"not gzip")[0].error
