@@ -5,8 +5,8 @@ agree up to RADIUS // 8 bits in one of eight one-byte blocks at least, so the bl
 radius.  Candidates are verified by the exact weighted (multiset) similarity of their word shingles, as 64-bit hashes.
 
 At the radius that a similarity of 0.8 asks for, blocks alone pass most unrelated items too.  So two exact bounds come
-before them: only windows with as many shingles known from the benchmark as the threshold asks for are fingerprinted,
-and of the items only those are looked at that hold one of the window's rarest shingles, as many of these as an item
+before them: only windows with as many shingles known from items of their size as the threshold asks for are
+fingerprinted, and of the items only those are looked at that hold one of the window's rarest shingles, as many of these as an item
 at the threshold cannot all lack.  Neither leaves anything out.  A document shorter than an item is its own window,
 held to the share that both lengths ask for.
 """
@@ -74,8 +74,12 @@ class Items:
                 self.by_size[n].append(i)
                 self.prints[i] = _simhash(g)
                 held[k].append((i, g))
-        #: by shingle size: known shingles in order; items by shingle (from, item); shingles by item (from, to, shingle, weight)
-        self.known, self.items, self.own, self.filters = {}, {}, {}, {}
+        #: by shingle size: known shingles in order; items by shingle (from, item), and their sizes, each once (from, size);
+        #: shingles by item (from, to, shingle, weight)
+        self.known, self.items, self.sizes, self.own, self.filters = {}, {}, {}, {}, {}
+        size_of = np.zeros(len(texts), np.int64)
+        for n, members in self.by_size.items():
+            size_of[members] = n
         for k, found in held.items():
             item = np.repeat([i for i, _ in found], [len(g) for _, g in found])
             known, gram = np.unique(np.concatenate([g for _, g in found]), return_inverse=True)
@@ -84,6 +88,8 @@ class Items:
             self.own[k] = np.searchsorted(pair[:, 0], ids), np.searchsorted(pair[:, 0], ids, "right"), pair[:, 1].copy(), weight
             order = np.argsort(pair[:, 1], kind="stable")
             self.items[k] = np.searchsorted(pair[order, 1], np.arange(len(known) + 1)), pair[order, 0]
+            pair = np.unique(np.stack([pair[:, 1], size_of[pair[:, 0]]], 1), axis=0)
+            self.sizes[k] = np.searchsorted(pair[:, 0], np.arange(len(known) + 1)), pair[:, 1].copy()
             self.known[k], self.filters[k] = known, np.zeros(1 << _FILTER_BITS, bool)
             self.filters[k][(known >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
@@ -143,14 +149,20 @@ class Items:
             grams = _grams(h, pre, k)
             hit = np.flatnonzero(self.filters[k][(grams >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             at = np.minimum(np.searchsorted(known, grams[hit]), len(known) - 1)
+            gram = at[known[at] == grams[hit]]
             hit = hit[known[at] == grams[hit]]
             text = np.searchsorted(first, hit, "right") - 1
             inside = hit + k <= first[text + 1]
-            hit, text = hit[inside], text[inside]
-            held = np.bincount(text, minlength=len(count))
-            for n, members in self.by_size.items():
-                if min(SHINGLE, n) != k:
-                    continue
+            start, size_at = self.sizes[k]
+            a, b = start[gram[inside]], start[gram[inside] + 1]
+            size_at, where = size_at[_ranges(a, b)], np.repeat(hit[inside], b - a)
+            order = np.argsort(size_at, kind="stable")
+            size_at, where = size_at[order], where[order]
+            edges = np.flatnonzero(np.append(True, size_at[1:] != size_at[:-1])) if len(where) else np.zeros(0, np.int64)
+            for x, y in zip(edges.tolist(), np.append(edges[1:], len(where)).tolist()):
+                n, hit = int(size_at[x]), where[x:y]
+                text = np.searchsorted(first, hit, "right") - 1
+                held = np.bincount(text, minlength=len(count))
                 m = n - k + 1
                 for i in np.flatnonzero((held > 0) & (count >= k) & (count < n) & (held >= self.threshold * (m + count - k + 1) / 2 - 1e-9)).tolist():
                     a0, size = int(first[i]), int(count[i])
