@@ -124,3 +124,13 @@ def test_embedding_bounds_the_distance():
         a, b = (int(x) for x in rng.integers(0, 1 << 63, 2))
         far = sum(abs((a >> 4 * k & 15).bit_count() - (b >> 4 * k & 15).bit_count()) for k in range(16))
         assert far <= (a ^ b).bit_count()
+
+
+def test_long_texts_ties_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(400_000))  # 2.7 MB
+    rows = [(5, long, "x", 1), (3, long, "x", 1), (3, long, "x", 1), (8, "y" * 2_000_000, "x", 1), (None, "y" * 2_000_000, "x", 1), (9, None, "x", 1), (7, "", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id int")
+    got = sorted((r.id or -1, r.component_id) for r in simhash.simhash_components(df).collect())
+    assert got == [(-1, 8), (3, 3), (3, 3), (5, 3), (7, 7), (8, 8), (9, 7)]
+    assert simhash.fingerprints(df).filter("id = 5").first().fp == signed(slow_print(long))
