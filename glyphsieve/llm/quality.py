@@ -249,15 +249,26 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     table = scratch.write(table.withColumn("fold", fold(F.col("id"))), "bins")
     views = View((BINS,) * len(TEXT_FEATURES), WORDS), View(META_BINS)
 
-    def drawn(low: int, high: int) -> tuple[list[tuple], np.ndarray]:
-        """At most FIT_ROWS labelled rows of some folds, by a hash: their features in both views, and labels."""
-        rows = table.filter(F.col("label").isNotNull() & (F.col("fold") >= low) & (F.col("fold") < high)).select("text", "words", "meta", "label", F.xxhash64("id", F.lit(1)).alias("o"))
+    fit = scratch.write(table.filter(F.col("label").isNotNull() & (F.col("fold") >= TRAIN) & (F.col("fold") < CALIBRATE)).select("text", "words", "meta", "label", "fold", F.xxhash64("id", F.lit(1)).alias("o")), "fit")
+
+    def scored(low: int, high: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """At most FIT_ROWS labelled rows of some folds, by a hash: their scores in both views now, and their labels."""
+        rows = fit.filter((F.col("fold") >= low) & (F.col("fold") < high))
         n = rows.count()
         if n > FIT_ROWS:
             rows = rows.filter(F.col("o") < int((2 * FIT_ROWS / n - 1) * 2**63))
-        t = rows.toArrow().sort_by("o").slice(0, FIT_ROWS)
+        sent = spark.sparkContext.broadcast(views)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                held = b.column(1).to_pylist()
+                s = [pa.array(v.score(v.read(b.column(i).to_pylist(), held))) for v, i in zip(sent.value, (0, 2))]
+                yield pa.RecordBatch.from_arrays([*s, b.column(3), b.column(4)], names=["text", "meta", "label", "o"])
+
+        t = rows.select("text", "words", "meta", "label", "o").mapInArrow(run, "text double, meta double, label int, o bigint").toArrow()
+        t = t.sort_by([("o", "ascending"), ("text", "ascending"), ("meta", "ascending")]).slice(0, FIT_ROWS)
         y = t["label"].to_numpy().astype(int) if len(t) else np.zeros(0, int)
-        return [v.read([bytes(x) for x in t[c].to_pylist()], [bytes(x) for x in t["words"].to_pylist()]) for v, c in zip(views, ("text", "meta"))], y
+        return [t[c].to_numpy() if len(t) else np.zeros(0) for c in ("text", "meta")], y
 
     def gather(models, call: bool) -> list[np.ndarray]:
         """Summed counts of both views: of true labels, or of what the other view is sure of."""
@@ -296,28 +307,29 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             flat[r.block * BLOCK : r.block * BLOCK + len(r.sums) // 8] = np.frombuffer(bytes(r.sums), float)
         return [x.reshape(2, -1) for x in np.split(flat, [sizes[0]])]
 
-    places, y = drawn(TRAIN, TUNE)
     curves, weights = [(np.zeros(0), np.zeros(0))] * 2, np.array([0.0, 1.0, 0.0])
     last = (np.zeros(0), np.zeros(0))
-    usable = len(y) > 0 and 0 < y.sum() < len(y)
-    if usable:
+    kinds = {r.label for r in fit.filter(F.col("fold") < TUNE).select("label").distinct().collect()}
+    if len(kinds) == 2:
         true = gather(views, False)
         for v, c in zip(views, true):
             v.counts = c
         for _ in range(rounds):
-            for v, p in zip(views, places):
-                v.set_sure(v.score(p), y)
+            scores, y = scored(TRAIN, TUNE)
+            for v, s in zip(views, scores):
+                v.set_sure(s, y)
             extra = gather(views, True)
             for v, c, e in zip(views, true, extra):
                 v.counts = c + PSEUDO_WEIGHT * e
-        curves = [isotonic(v.score(p), y) for v, p in zip(views, places)]
-        both = lambda rows: np.column_stack([_logit(_apply(c, v.score(p))) for v, c, p in zip(views, curves, rows)])
-        rows, y = drawn(TUNE, COMBINE)
+        scores, y = scored(TRAIN, TUNE)
+        curves = [isotonic(s, y) for s in scores]
+        both = lambda scores: np.column_stack([_logit(_apply(c, s)) for c, s in zip(curves, scores)])
+        scores, y = scored(TUNE, COMBINE)
         if 0 < y.sum() < len(y):
-            weights = _combine(both(rows), y)
-        rows, y = drawn(COMBINE, CALIBRATE)
+            weights = _combine(both(scores), y)
+        scores, y = scored(COMBINE, CALIBRATE)
         if 0 < y.sum() < len(y):
-            last = isotonic(weights[0] + both(rows) @ weights[1:], y)
+            last = isotonic(weights[0] + both(scores) @ weights[1:], y)
     sent = spark.sparkContext.broadcast((views, curves, weights, last))
     kind = docs.select(id_col).dtypes[0][1]
 
