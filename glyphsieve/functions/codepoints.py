@@ -75,21 +75,28 @@ def table() -> list[tuple[int, str, str]]:
     return [(cp, c, unicodedata.name(chr(cp), f"UNNAMED CONTROL (U+{cp:04X})")) for cp, c in rows]
 
 
-def _place(char: Column) -> Column:
+def place_of(char: Column) -> Column:
     """The index of a flagged character in table(), -1 for any other: a byte search in one literal, no join."""
     return F.instr(F.lit("".join(chr(cp) for cp, _, _ in table())), char) - 1
 
 
-def category_of(char: Column) -> Column:
+def category_at(place: Column) -> Column:
     order = list(CATEGORIES)
     kinds = F.lit("".join(str(order.index(c)) for _, c, _ in table()))
-    kind = F.substring(kinds, _place(char) + 1, F.lit(1)).cast("int")
-    return F.when(_place(char) >= 0, F.get(F.array(*map(F.lit, order)), kind))
+    return F.when(place >= 0, F.get(F.array(*map(F.lit, order)), F.substring(kinds, place + 1, F.lit(1)).cast("int")))
 
 
-def name_of(char: Column) -> Column:
+def name_at(place: Column) -> Column:
     names = F.split(F.lit("\n".join(n for _, _, n in table())), "\n")
-    return F.when(_place(char) >= 0, F.get(names, _place(char)))
+    return F.when(place >= 0, F.get(names, place))
+
+
+def category_of(char: Column) -> Column:
+    return category_at(place_of(char))
+
+
+def name_of(char: Column) -> Column:
+    return name_at(place_of(char))
 
 
 def codepoint_of(char: Column) -> Column:

@@ -43,22 +43,25 @@ def hidden_characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({cp.QUICK_FLAGGED})"), F.lit(0))
 
 
-def _finding(position: Column, char: Column, before: Column, after: Column) -> Column:
-    return F.struct(
-        position.cast("long").alias("position"),
-        cp.codepoint_of(char).alias("codepoint"),
-        cp.name_of(char).alias("name"),
-        cp.category_of(char).alias("category"),
-        before.alias("context_before"),
-        after.alias("context_after"),
-    )
-
-
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body with value computed once: inside a lambda a plain expression is computed for every element."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _finding(position: Column, char: Column, before: Column, after: Column) -> Column:
+    def at(place: Column) -> Column:
+        return F.struct(
+            position.cast("long").alias("position"),
+            cp.codepoint_of(char).alias("codepoint"),
+            cp.name_at(place).alias("name"),
+            cp.category_at(place).alias("category"),
+            before.alias("context_before"),
+            after.alias("context_after"),
+        )
+
+    return _let(cp.place_of(char), at)
+
+
 def _sparse(text: Column) -> Column:
     """From the stretches between findings: the lengths up to each give its place."""
 
