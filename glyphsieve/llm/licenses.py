@@ -96,7 +96,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     or empty text has no header; a null path lies in no directory and inherits nothing; of several licence files
     in a directory the one of higher cosine, then smaller path counts; every row is a file of its own, whatever
     its id, and repeated rows each get a row; empty tables give none; null ids are kept; other columns are not
-    read.  A text's windows are held in its row: a few times its size where it consists of anchors only.
+    read.  A text's windows are told by numbers until they prove to hold enough words of their template.
     """
     spark = files.sparkSession
     if sum(len(t.encode()) for _, _, t in templates) > MOST_TEMPLATE_BYTES:
@@ -115,11 +115,12 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     low = lambda c: F.greatest(F.lit(0), (F.pmod(c, F.lit(_SHIFT)) - (1 << 31)).cast("int"))
     number = lambda c: F.shiftright(c, 32).cast("int")
     high = lambda c: F.least(F.size("ws"), ((F.pmod(c, F.lit(_SHIFT)) - (1 << 31)).cast("int") + F.get(size, number(c))))
-    window = lambda c: F.struct(c.alias("code"), low(c).alias("at"), F.slice("ws", low(c) + 1, high(c) - low(c)).alias("words"))
+    inside = lambda c: F.slice("ws", low(c) + 1, high(c) - low(c))
+    window = lambda c: F.struct(c.alias("code"), inside(c).alias("words"))
     table = F.array(*[F.array(*[F.lit(w) for w in sorted(unit)]) for unit in model.units])
     need = F.array(*map(F.lit, model.need))
-    enough = lambda x: F.size(F.array_intersect(x["words"], F.get(table, number(x["code"])))) >= F.get(need, number(x["code"]))
-    found = own.select(F.monotonically_increasing_id().alias("rid"), "id", "path", F.size("ws").alias("size"), F.filter(F.transform("codes", window), enough).alias("windows"))
+    enough = lambda c: F.size(F.array_intersect(inside(c), F.get(table, number(c)))) >= F.get(need, number(c))
+    found = own.select(F.monotonically_increasing_id().alias("rid"), "id", "path", F.size("ws").alias("size"), F.transform(F.filter("codes", enough), window).alias("windows"))
     table_of_files = scratch.write(found, "files")
 
     cut = table_of_files.filter(F.size("windows") > 0).select("rid", F.explode("windows").alias("x"))
@@ -137,8 +138,8 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     best = F.min_by(F.struct("license", "score", "first_word"), F.struct(-F.col("score"), "license", "first_word")).alias("own")
     matched = scratch.write(matched, "matched")
     owned = matched.groupBy("rid").agg(best)
-    inside = matched.filter("whole").join(table_of_files.select("rid", "size"), "rid").select("rid", "size", F.explode(F.sequence("first_word", F.least("end", "size") - 1)).alias("p"))
-    mainly = inside.distinct().groupBy("rid", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= FILE_SHARE * F.col("size")).select("rid", F.lit(True).alias("mainly"))
+    covered = matched.filter("whole").join(table_of_files.select("rid", "size"), "rid").select("rid", "size", F.explode(F.sequence("first_word", F.least("end", "size") - 1)).alias("p"))
+    mainly = covered.distinct().groupBy("rid", "size").agg(F.count("*").alias("n")).filter(F.col("n") >= FILE_SHARE * F.col("size")).select("rid", F.lit(True).alias("mainly"))
     owned = scratch.write(owned.join(mainly, "rid", "left").select("rid", "own", "mainly"), "owned")
 
     folder = lambda c: F.regexp_replace(c, "/?[^/]*$", "")
