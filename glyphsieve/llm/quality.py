@@ -237,7 +237,8 @@ def co_train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     more frequent one, 0 on a tie; null labels and null ids count for nothing; a null text is an empty one, and null
     metadata are a value of their own; without labels of both classes for tuning every probability is 0.5, and
     without them for combination or calibration that step is left out.  Repeated rows each get a row and count as
-    rows, an empty table gives none, and other columns are not read.
+    rows, an empty table gives none, and other columns are not read.  A text is worked on whole, in some 40 bytes of
+    memory for each of its bytes.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")

@@ -101,7 +101,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the document itself included.  Defined cases: a null or empty text and one without words has fingerprint 0
     and links like any other; fewer words than size make one shingle; repeated rows each get a row; a row with
     a null id takes part and gets the least non-null id of its component, or null; an empty table gives no
-    rows.  Other columns, whatever their names, are not read.
+    rows.  Other columns, whatever their names, are not read.  A text is worked on whole, in some 12 bytes of memory
+    for each of its bytes.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.write(fingerprints(docs, id_col, text_col, size), "fps")

@@ -221,7 +221,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Defined cases: a null text has no words (kept is empty), texts shorter than the window lose nothing,
     overlapping repeats of one stretch count as repeats, rows equal in id and text repeat each other and each
     get a row, null ids are ordinary values, an empty table gives no rows.  Other columns are only carried.
-    With row=True a text that loses nothing is kept as it is, spacing and null included.
+    With row=True a text that loses nothing is kept as it is, spacing and null included.  A text is worked on whole,
+    in some 25 bytes of memory for each of its bytes, 100 if its words are single letters.
     """
     if window < 2:
         raise ValueError("window must be 2 words at least")
