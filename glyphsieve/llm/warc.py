@@ -46,7 +46,8 @@ def record(page_id: str | None, uri: str | None, payload: bytes, refers_to: str
     """One gzip member: a response, or a revisit (headers only) of the page refers_to."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    name = lambda x: f"<{_URN}{'' if x is None else quote(x, safe='')}>"
+    about = hashlib.sha1(payload).hexdigest()[:16]  # so that pages which share an id have records of their own
+    name = lambda x: f"<{_URN}{'' if x is None else quote(x, safe='')}:{about}>"
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"),
         ("WARC-Record-ID", name(page_id)),
@@ -218,7 +219,7 @@ _OUT = pa.schema(
 
 def _page(name: str | None) -> str | None:
     inner = (name or "").strip("<>")
-    return unquote(inner.removeprefix(_URN)) or None if inner.startswith(_URN) else None
+    return unquote(inner.removeprefix(_URN).partition(":")[0]) or None if inner.startswith(_URN) else None
 
 
 def _row(path: str, r: Record, payloads: bool) -> tuple:

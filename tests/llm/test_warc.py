@@ -75,6 +75,13 @@ def test_revisits_are_held_against_their_responses(spark, tmp_path):
     assert [(r.page_id, r.error is None) for r in out.orderBy("offset").collect()] == [("1", True), ("2", True), ("3", False), ("4", False)]
 
 
+def test_pages_that_share_an_id_have_records_of_their_own():
+    got = records(warc.record("a:b", "u", b"one", None, DATE) + warc.record("a:b", "u", b"two", None, DATE) + warc.record("c", "u", b"one", "a:b", DATE) + warc.record(None, "u", b"one", None, DATE))
+    names = [r.fields["warc-record-id"] for r in got]
+    assert len(set(names)) == 4 and got[2].fields["warc-refers-to"] == names[0]
+    assert [warc._page(x) for x in names] == ["a:b", "a:b", "c", None]
+
+
 def test_a_very_long_page(spark, tmp_path):
     pages = [(1, "u", "é<p>" * 4_000_000), (2, "u", "é<p>" * 4_000_000), (3, "u", "")]
     manifest = warc.write_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), f"file://{tmp_path}/w")
