@@ -9,7 +9,8 @@ are verified on their whole shingle sets.
 Documents with equal shingle sets are one node.  Buckets of up to FEW nodes are verified pair by pair.  In larger
 ones each node is first held against the bucket's hub, the node that meets most others over all its buckets, which
 for a family of edited copies is the text that they were made from.  Where that leaves a bucket in several groups,
-all its pairs across groups are compared, in pairs of blocks of bounded size, so every candidate is decided.
+the nodes outside its largest group are compared with all of its nodes, in pairs of blocks of bounded size.  So every
+candidate is decided, and pairs within the largest group, which are linked already, are never made.
 """
 
 from __future__ import annotations
@@ -108,19 +109,18 @@ def _verified(similarity: float):
 
 
 def _across(similarity: float):
-    """Links between the groups of a pair of blocks, as few as join all that similar pairs join.
+    """Links between groups, from a block of nodes outside the largest group to a block of all nodes: as few as join
+    all that similar pairs join.
 
-    A pair is compared in the first bucket that both share, so once over all bands.
+    A pair is compared in the first bucket that both share, so in one band.
     """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        node, label, own, i, j = (t[c].to_numpy() for c in ("node", "label", "own", "i", "j"))
-        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        node, label, out = (t[c].to_numpy(zero_copy_only=False) for c in ("node", "label", "out"))
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
         keys = pa.concat_arrays(t["keys"].chunks).flatten().to_numpy().reshape(len(node), -1)
         open_ = label[left][:, None] != label[right][None, :]
-        if i[0] == j[0]:
-            open_ &= np.tri(len(left), k=-1, dtype=bool)
         for band in range(t["band"][0].as_py()):
             open_ &= keys[left, band][:, None] != keys[right, band][None, :]
         a, b = [], []
@@ -206,14 +206,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # what the hubs left open in crowded buckets
     label = F.coalesce("root", "node").alias("label")
     labelled = crowd.join(roots, "node", "left").join(sets.select("node", "size"), "node").select("band", "value", "node", label, "size")
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int")
-    parted = labelled.groupBy("band", "value").agg(blocks.alias("blocks"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
-    parted = scratch.write(parted.select("band", "value", "blocks"), "parted")
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    groups = labelled.groupBy("band", "value", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    most = F.max(F.struct("n", "label", "size")).alias("most")
+    parted = groups.groupBy("band", "value").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), most).filter(F.col("n") > F.col("most.n"))
+    rest_of = blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
+    parted = scratch.write(parted.select("band", "value", F.col("most.label").alias("largest"), blocks(F.col("n"), F.col("size")).alias("blocks"), rest_of.alias("parts")), "parted")
     if parted.head(1):
-        rest = labelled.select("band", "value", "node", "label").join(parted, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        rest = labelled.select("band", "value", "node", "label").join(parted, ["band", "value"])
         rest = rest.join(nodes.select("node", F.concat("bands", F.array("fp")).alias("keys")), "node").join(sets.select("node", "grams"), "node")
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = rest.groupBy("band", "value", "i", "j").applyInArrow(_across(similarity), "a bigint, b bigint")
+        place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        columns = ("band", "value", "node", "label", "keys", "grams")
+        all_ = rest.select(*columns, F.lit(False).alias("out"), place(F.col("blocks")).alias("i"), every(F.col("parts")).alias("j"))
+        out = rest.filter("label <> largest").select(*columns, F.lit(True).alias("out"), every(F.col("blocks")).alias("i"), place(F.col("parts")).alias("j"))
+        more = all_.unionByName(out).groupBy("band", "value", "i", "j").applyInArrow(_across(similarity), "a bigint, b bigint")
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
         roots = scratch.write(connected_components(joined, scratch), "roots")
     scratch.drop(shared, members, crowd, hubs, prints, links, sets, parted)
