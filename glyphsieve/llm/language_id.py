@@ -24,7 +24,7 @@ from .arrowtext import PIECE_BYTES, pieces
 from .rowfilter import keep_rows
 from .storage import Scratch
 
-BUCKETS = 1 << 16
+BUCKETS, BLOCK = 1 << 16, 1 << 10
 SMOOTHING = 0.5
 #: EM ends once no share moves by more; the number of rounds is a safeguard that is not met in practice.
 STILL, MOST_ROUNDS = 1e-4, 2000
@@ -87,17 +87,25 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     rows = docs.select(F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang")).filter("t is not null and lang is not null")
     scratch = Scratch(docs.sparkSession, "languages")
     found = scratch.write(rows.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "counts")
-    if (n := found.select("lang").distinct().count()) > MOST_LANGUAGES:
-        raise ValueError(f"{n} languages in {lang_col}; the bound is {MOST_LANGUAGES}")
+    totals = found.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+    weight = {r["lang"]: r["n"] + SMOOTHING * BUCKETS for r in totals}
 
     def dense(t: pa.Table) -> pa.Table:
-        row = np.full(BUCKETS, SMOOTHING)
-        row[t["bucket"].to_numpy()] += t["n"].to_numpy()
-        return pa.table({"lang": t["lang"].slice(0, 1), "logs": pa.array([np.log(row / row.sum()).astype(np.float32).tobytes()], pa.binary())})
-
-    out = sorted((r["lang"], bytes(r["logs"])) for r in found.groupBy("lang").applyInArrow(dense, "lang string, logs binary").collect())
+        """The log probabilities of a block of buckets; blocks keep the largest language from being one task's work."""
+        lang, block = t["lang"][0].as_py(), t["block"][0].as_py()
+        row = np.full(BLOCK, SMOOTHING)
+        row[t["bucket"].to_numpy() - block * BLOCK] += t["n"].to_numpy()
+        return pa.table({"lang": t["lang"].slice(0, 1), "block": t["block"].slice(0, 1), "logs": pa.array([np.log(row / weight[lang]).astype(np.float32).tobytes()], pa.binary())})
+
+    blocks = found.withColumn("block", F.floor(F.col("bucket") / BLOCK).cast("long")).groupBy("lang", "block").applyInArrow(dense, "lang string, block bigint, logs binary").collect()  # 64 rows of 4 KB a language
+    langs = sorted(weight)
+    logs = np.stack([np.full(BUCKETS, np.log(SMOOTHING / weight[x]), np.float32) for x in langs]) if langs else np.zeros((0, BUCKETS), np.float32)
+    for r in blocks:
+        logs[langs.index(r["lang"]), r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["logs"]), np.float32)
     scratch.drop(found)
-    return [x[0] for x in out], np.frombuffer(b"".join(x[1] for x in out), np.float32).reshape(-1, BUCKETS)
+    return langs, logs
 
 
 class _Words:
