@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.01"
 def test_held_out_accuracy(spark):
     """On labels that no step has seen; held_out says which these are."""
     sf = "/root/testdata/sf0.1"
-    got = {r.doc_id: r for r in op5_quality(spark, sf).collect()}
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    got = {r.id: r for r in quality.co_train(table("documents"), table("labels")).collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     unseen = [(got[r.doc_id].score, r.quality > 0) for r in labels if got[r.doc_id].held_out]
