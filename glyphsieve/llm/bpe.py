@@ -24,10 +24,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import pieces
+from .arrowtext import give_back, pieces
 
 #: Bytes of words, ids and their bookkeeping that a worker keeps; when they are too many, it starts anew.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 48 << 20
 _ENTRY_BYTES = 200
 #: Bytes beyond which a word has a tree of its own.
 LONG_WORD = 256
@@ -299,6 +299,8 @@ def _run(df: DataFrame, path: str, column: str, id_col: str, want: tuple[str, ..
             if "decoded" in want:
                 out.append(pa.array([v.decode(x) for x in ids], pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=["id", *(["n_tokens"] if "ids" in want else []), *want])
+        v.kept, v.kept_bytes = {}, 0  # the worker lives on; the next task begins anew
+        give_back()
 
     fields = {"ids": "n_tokens bigint, ids binary", "decoded": "decoded string"}
     return df.select(F.col(id_col).alias("id"), F.col(column).alias("x")).mapInArrow(run, f"id {kind}, " + ", ".join(fields[w] for w in want))

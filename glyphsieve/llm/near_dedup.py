@@ -77,8 +77,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     votes += np.unpackbits(g[c : min(b, c + (1 << 15))].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
                 fp[some[i]] = int.from_bytes(np.packbits(votes * 2 > b - a).tobytes(), "big")
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in ("id", "k", "l")), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
-            names=["id", "k", "l", "node", "fp", "bands"],
+            [*(part.column(c) for c in ("id", "k", "l")), pa.array(key.view(np.int64)), pa.array(np.diff(first)), pa.array(fp.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+            names=["id", "k", "l", "node", "many", "fp", "bands"],
         )
 
 
@@ -173,9 +173,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "near")
     kind = docs.select(id_col).dtypes[0][1]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).select("id", *_keys(F.col("id"), F.col("t")), "t")
-    sketch = scratch.write(base.mapInArrow(_sketches, f"id {kind}, k bigint, l bigint, node bigint, fp bigint, bands array<bigint>"), "sketch")
+    sketch = scratch.write(base.mapInArrow(_sketches, f"id {kind}, k bigint, l bigint, node bigint, many bigint, fp bigint, bands array<bigint>"), "sketch")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "k", "l")
-    nodes = scratch.write(sketch.groupBy("node").agg(F.min(who).alias("who"), F.first("fp").alias("fp"), F.first("bands").alias("bands")).select("node", "who.id", "who.k", "who.l", "fp", "bands"), "nodes")
+    nodes = scratch.write(sketch.groupBy("node").agg(F.min(who).alias("who"), *[F.first(c).alias(c) for c in ("many", "fp", "bands")]).select("node", "who.id", "who.k", "who.l", "many", "fp", "bands"), "nodes")
 
     # candidates
     buckets = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
@@ -193,12 +193,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     close = near_links(prints.select("fp"), scratch)
     close = close.join(prints.select(F.col("fp").alias("a"), F.col("node").alias("na")), "a").join(prints.select(F.col("fp").alias("b"), F.col("node").alias("nb")), "b")
     links = pairs.unionByName(spokes).unionByName(close.select(F.col("na").alias("a"), F.col("nb").alias("b")))
-    links = scratch.write(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-
-    # verification on whole sets
-    wanted = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "k", "l"), "node")
-    found = base.select("k", "l", "t").join(wanted, ["k", "l"]).select("node", "t")
-    sets = scratch.write(found.mapInArrow(_sets, "node bigint, grams binary").dropDuplicates(["node"]).withColumn("size", F.octet_length("grams")), "sets")
+    links = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    many = lambda side: nodes.select(F.col("node").alias(side), F.col("many").alias(f"m{side}"))
+    able = F.least("ma", "mb") >= similarity * F.greatest("ma", "mb")  # by the numbers of their shingles
+    links = scratch.write(links.join(many("a"), "a").join(many("b"), "b").filter(able).select("a", "b"), "links")
+
+    # verification on whole sets; rows equal in id and text are one already before the texts meet those wanted
+    asked = links.select(F.explode(F.array("a", "b")).alias("node")).unionByName(crowd.select("node")).distinct()
+    wanted = asked.join(nodes.select("node", "k", "l"), "node")
+    first = F.row_number().over(Window.partitionBy("k", "l").orderBy("k"))
+    one = base.select("k", "l", "t", first.alias("r")).filter("r = 1").select("k", "l", "t")
+    found = one.join(wanted, ["k", "l"]).select("node", "t")
+    sets = scratch.write(found.mapInArrow(_sets, "node bigint, grams binary").withColumn("size", F.octet_length("grams")), "sets")
     both = links.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     true = scratch.write(both.select("a", "b", "x", "y").mapInArrow(_verified(similarity), "a bigint, b bigint"), "true")
     roots = scratch.write(connected_components(true, scratch), "roots")

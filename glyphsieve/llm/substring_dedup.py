@@ -28,8 +28,8 @@ from .storage import Scratch
 
 WINDOW = 35
 ROUNDS, ACTIVE, RUNS_AT = 7, 6, (0, 4)
-#: Rows that a task holds back to settle among themselves.
-HELD = 1 << 20
+#: Rows that a task holds back to settle among themselves, and rows that it sends at once.
+HELD, SENT = 1 << 19, 1 << 16
 
 _ONE, _TWO = Powers(np.uint64(0xC2B2AE3D27D4EB4F)), Powers(np.uint64(0x165667B19E3779F9))
 
@@ -83,11 +83,17 @@ def _settle(key: np.ndarray, more: np.ndarray | None) -> tuple[np.ndarray, np.nd
     return np.sort(order[at[size == 1]]), order[at[size > 1]], order[np.repeat(size > 1, size)]
 
 
+def _sliced(columns: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_arrays(columns, names=names)
+    for a in range(0, whole.num_rows, SENT):
+        yield whole.slice(a, SENT)
+
+
 def _symbol_rows(window: int) -> Callable:
-    def flush(held: list, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list, rows: list[list[pa.Array]]) -> Iterator[pa.RecordBatch]:
         """held: (names, row, order in the row, rows with windows that no symbol tells about)."""
-        ids = pa.concat_arrays([r.column(0) for r in rows])
-        keys = np.concatenate([r.column(1).to_numpy() for r in rows])
+        ids = pa.concat_arrays([r[0] for r in rows])
+        keys = np.concatenate([r[1].to_numpy() for r in rows])
         name, row, at = (np.concatenate([h[i] for h in held]) for i in range(3))
         alone, lead, known = _settle(name, None)
         owner, blocks = _cut(at[known], row[known])
@@ -95,7 +101,7 @@ def _symbol_rows(window: int) -> Callable:
         owner, blocks = np.concatenate([owner, silent]), blocks + [b""] * len(silent)
         m, k, s = len(alone), len(lead), len(owner)
         who = np.concatenate([row[alone], np.zeros(k, np.int64), owner])
-        yield pa.RecordBatch.from_arrays(
+        yield from _sliced(
             [
                 pa.array(np.concatenate([name[alone], name[lead], keys[owner].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)]).view(np.int64)),
                 ids.take(pa.array(who)),
@@ -103,7 +109,7 @@ def _symbol_rows(window: int) -> Callable:
                 pa.array(np.concatenate([at[alone], np.full(k + s, -1)]).astype(np.int32)),
                 pa.array([None] * (m + k) + blocks, pa.binary()),
             ],
-            names=["key", "id", "k", "at", "sure"],
+            ["key", "id", "k", "at", "sure"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +122,9 @@ def _symbol_rows(window: int) -> Callable:
             silent = np.unique(np.searchsorted(first, np.flatnonzero(silent), "right") - 1)
             lead = np.searchsorted(p.doc, np.arange(part.num_rows))
             doc = p.doc[useful].astype(np.int64)
-            held.append((p.name[useful], doc + base, np.flatnonzero(useful) - lead[doc], silent + base))
-            rows.append(part.select([0, 1]))
+            held.append((p.name[useful], (doc + base).astype(np.int32), (np.flatnonzero(useful) - lead[doc]).astype(np.int32), silent + base))
+            every = pa.array(np.arange(part.num_rows))
+            rows.append([part.column(i).take(every) for i in (0, 1)])  # copies, so that the texts can go
             n, base = n + len(doc) + part.num_rows, base + part.num_rows
             if n >= HELD:
                 yield from flush(held, rows)
@@ -139,7 +146,7 @@ def _window_rows(window: int) -> Callable:
         owner, blocks = _cut(at[known], rid[known])
         m, k, s = len(alone), len(lead), len(owner)
         some = np.concatenate([alone, lead])
-        yield pa.RecordBatch.from_arrays(
+        yield from _sliced(
             [
                 pa.array(np.concatenate([one[some], owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)]).view(np.int64)),
                 pa.array(np.concatenate([two[some], np.zeros(s, np.int32)])),
@@ -147,7 +154,7 @@ def _window_rows(window: int) -> Callable:
                 pa.array(np.concatenate([at[alone], np.full(k + s, -1)]).astype(np.int32)),
                 pa.array([None] * (m + k) + blocks, pa.binary()),
             ],
-            names=["one", "two", "rid", "at", "sure"],
+            ["one", "two", "rid", "at", "sure"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +177,7 @@ def _window_rows(window: int) -> Callable:
             other = word_hashes(data, starts, ends, 1)
             two = (ranged(prefix(other, _TWO), at, at + window, _TWO) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             doc = np.searchsorted(first, at, "right") - 1
-            held.append((one, two, part.column(0).to_numpy()[doc], at - first[doc]))
+            held.append((one, two, part.column(0).to_numpy()[doc], (at - first[doc]).astype(np.int32)))
             n += len(at)
             if n >= HELD:
                 yield from flush(held)
