@@ -95,3 +95,45 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN own.rid IS NOT NULL THEN 'header' WHEN g IS NOT NULL THEN 'inherited' END AS via, CASE WHEN own.rid IS NULL THEN g.origin END AS origin
         FROM d LEFT JOIN own USING (rid) LEFT JOIN near USING (rid)""",
 }
+
+
+def _framed(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR)) || ':' || {x}::VARCHAR END"
+
+
+def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
+    """Trees of up to 16 ** levels leaves under 16 ** tops groups; DuckDB has no CRC-32, so its bits are worked out."""
+    digits = "flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"
+    leaf = lambda text: " || ".join(map(_framed, ("doc_id", "source", "lang", "n_chars", text)))
+    steps = [
+        f"""d AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS k, sha256({leaf("text")}) AS leaf,
+            CASE WHEN {crc} % 5 = 0 THEN sha256({leaf(f"translate(text, {_LOWER})")}) END AS changed FROM documents)""",
+        "t0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY k) AS n FROM d)",
+        "f0 AS (SELECT r, k, place, n, coalesce(changed, leaf) AS h, '' AS proof FROM t0)",
+    ]
+
+    def tree(t: str, f: str, height: int) -> None:
+        for i in range(height):
+            steps.append(f"{t}r{i} AS (SELECT k, place // 16 AS up, (max(n) + 15) // 16 AS n, list(h ORDER BY place) AS kids FROM {t}{i} WHERE n > 1 GROUP BY ALL)")
+            steps.append(f"{t}{i + 1} AS (SELECT k, up AS place, n, sha256(array_to_string(kids, '')) AS h FROM {t}r{i})")
+            left, right = "array_to_string(kids[1:(place % 16)], '')", "array_to_string(kids[(place % 16) + 2:], '')"
+            steps.append(
+                f"""{f}{i + 1} AS (SELECT r, k, place // 16 AS place, (f.n + 15) // 16 AS n, CASE WHEN f.n > 1 THEN sha256({left} || h || {right}) ELSE h END AS h,
+                CASE WHEN f.n > 1 THEN proof || {left} || {right} ELSE proof END AS proof FROM {f}{i} AS f LEFT JOIN {t}r{i} AS x USING (k) WHERE f.n = 1 OR x.up = f.place // 16)"""
+            )
+
+    tree("t", "f", levels)
+    every = lambda t, n: " UNION ALL ".join(f"SELECT k, h FROM {t}{i} WHERE n = 1" for i in range(n + 1))
+    steps += [
+        f"subs AS ({every('t', levels)})",
+        "s0 AS (SELECT '' AS k, k AS grp, h, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n FROM subs)",
+        f"g0 AS (SELECT r, '' AS k, s0.place, s0.n, f.h, proof FROM f{levels} AS f JOIN s0 ON f.k = s0.grp)",
+    ]
+    tree("s", "g", tops)
+    return f"""WITH {", ".join(steps)}, root AS ({every("s", tops)})
+        SELECT d.doc_id, d.leaf, subs.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, g.h AS folded_root, g.h = root.h AS verified
+        FROM d JOIN subs USING (k) JOIN g{tops} AS g USING (r), root"""
+
+
+ORACLE_SQL["op13_merkle_manifest"] = _merkle_sql()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat_format, decontam, language_id, licenses, quality, simhash, substring_dedup, warc
+from . import ann, bpe, chat_format, decontam, language_id, licenses, merkle, quality, simhash, substring_dedup, warc
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -93,6 +93,17 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proofs of all documents, and whether each still holds where a fifth had its text lower-cased."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    small = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    changed = F.when(chosen, merkle.leaf_of(*map(F.col, fields[:-1]), small))
+    out = merkle.manifest(_table(spark, sf_dir, "documents"), fields=fields, carry={"changed": changed})
+    out = out.withColumn("folded_root", merkle.fold(F.coalesce("changed", "leaf"), F.col("steps")))
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op5_quality": op5_quality,
@@ -104,4 +115,5 @@ QUERIES = {
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
