@@ -137,3 +137,24 @@ def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
 
 
 ORACLE_SQL["op13_merkle_manifest"] = _merkle_sql()
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    near = "list_sum(list_transform(list_zip(v.q, c.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    assign = f"SELECT r, vec_id, v.q, cluster, {near} AS distance FROM v, c{{}} AS c QUALIFY row_number() OVER (PARTITION BY r ORDER BY distance, cluster) = 1"
+    steps = [
+        """v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), embedding) - 1 AS cluster, q FROM v QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({assign.format(i)})")
+        steps.append(f"s{i} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{i}) GROUP BY ALL)")
+        steps.append(f"m{i} AS (SELECT cluster, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS q FROM s{i} GROUP BY ALL)")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.q, c.q) AS q FROM c{i} AS c LEFT JOIN m{i} AS m USING (cluster))")
+    return f"""WITH {", ".join(steps)}, a AS ({assign.format(rounds)})
+        SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+            sha256(array_to_string(c.q, ',')) AS centroid_sha256 FROM a JOIN c{rounds} AS c USING (cluster)"""
+
+
+ORACLE_SQL["op11_centroid_clustering"] = _clusters_sql()
