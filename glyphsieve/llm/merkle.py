@@ -90,13 +90,14 @@ def _tree(nodes: DataFrame, scratch: Scratch) -> Tree:
     return Tree(runs, roots)
 
 
-def _with_siblings(nodes: DataFrame, tree: Tree, above: DataFrame, level: int = 0) -> DataFrame:
+def _with_siblings(nodes: DataFrame, tree: Tree, above: DataFrame, scratch: Scratch, level: int = 0) -> DataFrame:
     """nodes (key, place, n, ...) of a level with steps: the siblings left and right of each on the way up, past its
     tree's root on to what above (key, steps, ...) says of the whole tree, whose other columns come along."""
     alone = nodes.filter("n = 1").join(above, "key")
     if level == len(tree.runs):
         return alone
-    over = _with_siblings(tree.runs[level], tree, above, level + 1).withColumnsRenamed({"place": "up", "kids": "beside"}).drop("n")
+    over = _with_siblings(tree.runs[level], tree, above, scratch, level + 1).withColumnsRenamed({"place": "up", "kids": "beside"}).drop("n")
+    over = scratch.write(over, f"above{level}")
     met = nodes.filter("n > 1").withColumn("up", _up()).join(over, ["key", "up"])
     at = (F.col("place") % FANOUT).cast("int")
     left, right = F.array_join(F.slice("beside", F.lit(1), at), ""), F.array_join(F.slice("beside", at + 2, F.lit(FANOUT)), "")
@@ -122,12 +123,14 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     key = F.when(col(group_col).isNull(), "").otherwise(F.concat(F.lit("="), col(group_col).cast("string")))
     more = carry or {}
     rows = docs.select(col(id_col).alias("id"), key.alias("key"), leaf_of(*map(col, fields)).alias("leaf"), *[c.alias(name) for name, c in more.items()])
+    rows = scratch.write(rows, "hashed")  # the texts are read here and not again
     leaves = scratch.write(_placed(rows, ["id", "leaf", *more], scratch), "leaves")
+    scratch.drop(rows)
     trees = _tree(leaves.select("key", "place", "n", F.col("leaf").alias("h")), scratch)
     subroots = scratch.write(trees.roots.select(F.lit("").alias("key"), F.col("key").alias("group"), F.col("root").alias("subroot")), "subroots")
     tops = scratch.write(_placed(subroots, ["group"], scratch), "tops")
     top = _tree(tops.select("key", "place", "n", F.col("subroot").alias("h")), scratch)
     none = F.array().cast(_STEPS).alias("steps")
-    above = _with_siblings(tops, top, top.roots.select("key", "root", none))
+    above = _with_siblings(tops, top, top.roots.select("key", "root", none), scratch)
     above = scratch.write(above.select(F.col("group").alias("key"), "subroot", "root", "steps"), "above")
-    return _with_siblings(leaves, trees, above).select("id", "leaf", "subroot", "root", "steps", *more)
+    return _with_siblings(leaves, trees, above, scratch).select("id", "leaf", "subroot", "root", "steps", *more)
