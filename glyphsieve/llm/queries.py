@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, balltree, bpe, chat_format, decontam, language_id, licenses, merkle, quality, simhash, substring_dedup, warc
+from . import ann, balltree, bpe, chat_format, decontam, language_id, licenses, merkle, quality, sharding, simhash, substring_dedup, warc
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -98,6 +98,11 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The proofs of all documents, and whether each still holds where a fifth had its text lower-cased."""
     fields = ("doc_id", "source", "lang", "n_chars", "text")
@@ -121,5 +126,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_sharding": op12_sharding,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
