@@ -140,3 +140,23 @@ def inspection(text: Column) -> Column:
     parts = F.split(text, cp.QUICK_FLAGGED, -1)
     shown = F.array_join(F.flatten(F.zip_with(parts, chars, lambda p, c: F.array(p, F.coalesce(c, F.lit(""))))), "")
     return F.when(has_hidden(text), shown).otherwise(text)
+
+
+#: A dimension of up to so many rows is sent to every task; a larger one is joined by its key.
+BROADCAST_ROWS = 1 << 16
+
+
+def described(found: DataFrame, dimension: DataFrame, key: str = "codepoint") -> DataFrame:
+    """Findings with the columns of a dimension by code point; a code point that it lacks has nulls.
+
+    The dimension is counted first, up to BROADCAST_ROWS.  Beyond that, both sides are shuffled by the key, and Spark
+    splits the partitions of code points that make up much of the findings.  Of rows of equal key the least counts, so
+    no finding is doubled; a null key describes nothing.
+    """
+    told = [c for c in dimension.columns if c != key]
+    if clash := set(told) & set(found.columns):
+        raise ValueError(f"both tables have {', '.join(sorted(clash))}")
+    rows = dimension.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*told)).alias("__d"))
+    if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    return found.join(rows, key, "left").select(*found.columns, *[F.col(f"__d.`{c}`").alias(c) for c in told])

@@ -5,8 +5,6 @@ Higher means more varied.  A weak exploratory reading, never evidence of who or
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import codepoints as cp
 from ..functions.numbers import round3
+from ..functions.pairs import pair_counts, pieces
 
 # Words, and the weights, scales and bands of the signals.
 WORD = "[A-Za-z0-9']+"
@@ -62,25 +61,27 @@ def _repeats(items: Column) -> Column:
     return F.aggregate(F.sort_array(items), start, step, lambda s: s["sum"] + weight(s["run"]))
 
 
+def folded(text: Column) -> Column:
+    """Lower-cased, with each run of white space as one space."""
+    return F.regexp_replace(F.lower(text), f"{cp.WS}+", " ")
+
+
 @F.pandas_udf(T.DoubleType())
-def bigram_bits(texts: pd.Series) -> pd.Series:
+def _folded_bits(texts: pd.Series) -> pd.Series:
+    out = np.full(len(texts), np.nan)
+    plain = texts.fillna("").tolist()
+    for i, j in pieces(np.fromiter(map(len, plain), np.int64, len(plain))):
+        row, _, n = pair_counts(plain[i:j], np.arange(j - i))
+        total = np.bincount(row, n, j - i)
+        some = total > 0
+        out[i:j][some] = np.log2(total[some]) - np.bincount(row, n * np.log2(n), j - i)[some] / total[some]
+    return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+
+def bigram_bits(text: Column) -> Column:
     """Shannon entropy of overlapping character pairs, lower-cased and with white space runs as one space; null
     for texts of fewer than two characters."""
-
-    def bits(text: str | None) -> float | None:
-        if text is None:
-            return None
-        clean = _WHITE.sub(" ", text.lower())
-        if len(clean) < 2:
-            return None
-        code = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        n = np.unique(code[:-1] << np.uint64(32) | code[1:], return_counts=True)[1].astype(float)
-        return float(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum())
-
-    return texts.map(bits)
-
-
-_WHITE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in cp.WHITE_SPACE) + "]+")
+    return _folded_bits(folded(text))
 
 
 def band(value: Column, bands, last: str) -> Column:

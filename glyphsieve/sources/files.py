@@ -19,7 +19,7 @@ LATIN, NO_TEXT = "DECODED_AS_LATIN_1", "NO_TEXT_FOUND"
 
 
 def read_files(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Files as rows: path, modificationTime, length, content."""
+    """Files as rows: path, modificationTime, length, content.  Spark lists no file without a byte."""
     return spark.read.format("binaryFile").options(**options).load(path)
 
 

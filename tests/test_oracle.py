@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def _core():
-    from glyphsieve.plans.queries import ORACLE_SQL, QUERIES
+    from glyphsieve.plans.corpus_queries import ORACLE_SQL, QUERIES
 
     return sorted(QUERIES), ORACLE_SQL
 
