@@ -96,20 +96,57 @@ def test_documents_shorter_than_the_item(spark):
     assert {r.doc_id for r in decontam.drop_leaks(d, b).collect()} == {x for x, _ in docs} - {x for x, _ in want}
 
 
-def test_slices_find_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("scan", [1, 8])
+def test_slices_find_and_drop_the_same(spark, monkeypatch, scan):
     docs, items = corpus(7)
+    docs += [(100, None), (101, ""), docs[0], docs[0]]
     whole = run(spark, docs, items)
-    monkeypatch.setattr(decontam, "SLICE_BYTES", 100)
+    d, b = spark.createDataFrame([(*x, "a", 1) for x in docs], "doc_id long, text string, item string, slice int"), spark.createDataFrame(items, "item_id long, text string")
+    kept = sorted(map(repr, decontam.drop_leaks(d, b).collect()))
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 300)
+    monkeypatch.setattr(decontam, "SCAN_SLICES", scan)
+    monkeypatch.setattr(decontam, "SALTS", 3)
     assert run(spark, docs, items) == whole
+    out = decontam.drop_leaks(d, b)
+    assert out.columns == d.columns and sorted(map(repr, out.collect())) == kept and len(kept) < len(docs)
+    assert run(spark, [], items) == {} and decontam.drop_leaks(d.limit(0), b).count() == 0
 
 
-def test_blocks_pass_all_items_within_the_radius():
+def test_many_slices_take_one_scan_of_the_documents(spark, monkeypatch, tmp_path):
+    docs, items = corpus(8)
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(decontam, "SLICE_BYTES", 300)
+    d = spark.read.parquet(str(tmp_path / "docs"))
+    plan = decontam.find_leaks(d, spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("doc_id" in line and "Relation" in line for line in plan.splitlines()) == 1
+
+
+def test_edits_at_the_threshold_are_all_found(spark):
+    """Items with words changed at their end until the similarity is just 0.8: the hardest to find by fingerprint."""
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i, n in enumerate([24, 44, 104] * 100)]
+    docs = []
+    for i, item in items:
+        for side in (0, 1):
+            w = item.split()
+            changed = int((len(w) - 4) * 0.2 + 1e-9)  # shingles that a change of so many words at one end touches
+            span = range(changed) if side else range(len(w) - changed, len(w))
+            for x in span:
+                w[x] = f"n{rng.randrange(10**6)}"
+            docs.append((2 * i + side, " ".join(w)))
+    got = run(spark, docs, items)
+    assert {(d, d // 2) for d, _ in docs} <= got.keys() and len(docs) == 600
+    assert all(v[0] >= 0.8 - 1e-12 for v in got.values()) and min(v[0] for v in got.values()) < 0.81
+
+
+@pytest.mark.parametrize("radius", [7, 23, 31])
+def test_blocks_give_all_items_within_the_radius_and_no_others(radius):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdefgh") * 3 for _ in range(9)) for _ in range(60)]
-    items = decontam.Items(texts, 0.8, 23)
+    items = decontam.Items(texts, 0.8, radius)
     for _ in range(300):
         f = rng.getrandbits(64) if rng.random() < 0.5 else int(items.prints[rng.randrange(60)]) ^ sum(1 << rng.randrange(64) for _ in range(20)) & (1 << 64) - 1
-        assert items.passed(np.arange(60), f).tolist() == [i for i in range(60) if (int(items.prints[i]) ^ f).bit_count() <= 23]
+        assert items.near(9, f).tolist() == [i for i in range(60) if (int(items.prints[i]) ^ f).bit_count() <= radius]
 
 
 def test_items_of_one_template(spark):
