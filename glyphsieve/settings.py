@@ -11,6 +11,7 @@ class Settings:
     # The default limits.
     max_text_length: int = 500_000
     max_upload_size_mb: float = 15
+    max_unpacked_mb: float = 256
     normalize_form: str = "NFC"
     log_level: str = "INFO"
 
@@ -18,6 +19,11 @@ class Settings:
     def max_upload_bytes(self) -> int:
         return int(self.max_upload_size_mb * 1_048_576)
 
+    @property
+    def max_unpacked_bytes(self) -> int:
+        """What the parts of a docx, or a stream of a pdf, may unpack to."""
+        return int(self.max_unpacked_mb * 1_048_576)
+
     @classmethod
     def load(cls, spark=None) -> Settings:
         found = {}
@@ -26,5 +32,5 @@ class Settings:
             if spark is not None:
                 value = spark.conf.get(f"spark.glyphsieve.{f.name}", value)
             if value is not None:
-                found[f.name] = float(value) if f.name == "max_upload_size_mb" else type(f.default)(value)
+                found[f.name] = float(value) if f.name.endswith("_mb") else type(f.default)(value)
         return cls(**found)

@@ -10,14 +10,18 @@ _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # The parts that are read.
 BODY = "word/document.xml"
 PARTS = ("document", "header", "footer", "footnote", "endnote")
-#: Bytes that the parts of one file may unpack to.
-MOST_XML_BYTES = 256 << 20
+#: Bytes that the parts of one file may unpack to, if the settings say nothing else.
+MOST_BYTES = 256 << 20
 
 
 class CorruptFile(ValueError):
     """The content isn't what its name says."""
 
 
+class TooLarge(ValueError):
+    """The content may be sound, but unpacks to more than is allowed."""
+
+
 def wanted(name: str) -> bool:
     return name.startswith("word/") and name.endswith(".xml") and any(p in name for p in PARTS)
 
@@ -33,7 +37,7 @@ def part_text(xml: bytes) -> str:
     return "\n".join(map(paragraph_text, ElementTree.fromstring(xml).iter(f"{_W}p")))
 
 
-def docx_text(content: bytes, most: int = MOST_XML_BYTES) -> str:
+def docx_text(content: bytes, most: int = MOST_BYTES) -> str:
     """The texts of the parts in the archive's order, empty ones left out."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
@@ -41,13 +45,13 @@ def docx_text(content: bytes, most: int = MOST_XML_BYTES) -> str:
             if BODY not in {x.filename for x in parts}:
                 raise CorruptFile("no document body")
             if sum(x.file_size for x in parts) > most:
-                raise CorruptFile("the parts unpack to too much")
+                raise TooLarge(f"the parts unpack to more than {most} bytes")
             texts = []
             for x in parts:
                 with archive.open(x) as f:
                     xml = f.read(most + 1)
                 if len(xml) > most:
-                    raise CorruptFile("a part unpacks to too much")
+                    raise TooLarge(f"a part unpacks to more than {most} bytes")
                 texts.append(part_text(xml))
     except zipfile.BadZipFile as why:
         raise CorruptFile("not a zip archive") from why

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators.validate import TOO_LARGE, TOO_LONG
 from ..settings import Settings
-from .docx import CorruptFile, docx_text
+from .docx import CorruptFile, TooLarge, docx_text
 from .pdf import pdf_text
 
 # The extensions that can be read, and the type each is reported as.
@@ -39,13 +39,15 @@ def decode(content: Column) -> Column:
     return F.coalesce(decode_utf8(content), F.decode(content, "ISO-8859-1"))
 
 
-def _read(kind: str, content: bytes) -> tuple[str | None, list[str], str | None, str | None]:
+def _read(kind: str, content: bytes, most: int) -> tuple[str | None, list[str], str | None, str | None]:
     """(text, warnings, error code, detail)"""
     try:
         if kind == "docx":
-            text = docx_text(content)
+            text = docx_text(content, most)
             return text, [] if text.strip() else [NO_TEXT], None, None
-        return *pdf_text(content), None, None
+        return *pdf_text(content, most), None, None
+    except TooLarge as why:
+        return None, [], TOO_LARGE, str(why)
     except CorruptFile as why:
         return None, [], CORRUPT, str(why)
     except Exception as why:
@@ -55,10 +57,10 @@ def _read(kind: str, content: bytes) -> tuple[str | None, list[str], str | None,
 _PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("error_code", T.StringType()), T.StructField("error_detail", T.StringType())])
 
 
-def _parser():
+def _parser(most: int):
     @F.pandas_udf(_PARSED)
     def parse(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        found = [(None, [], None, None) if c is None else _read(k, bytes(c)) for k, c in zip(kinds, contents)]
+        found = [(None, [], None, None) if c is None else _read(k, bytes(c), most) for k, c in zip(kinds, contents)]
         return pd.DataFrame(found, columns=["text", "warnings", "error_code", "error_detail"])
 
     return parse
@@ -68,7 +70,7 @@ def extract(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """path, length, content -> path, source_type, text, character_count, warnings, error_code, error_detail.
 
     Files are refused before their content is read: TOO_LARGE by length, a filter that the source takes over, and
-    UNSUPPORTED by name.  The others are read once; only the content of docx and pdf files goes to Python.
+    UNSUPPORTED by name.  TOO_LARGE are also docx and pdf files that unpack to more than the settings allow.  The others are read once; only the content of docx and pdf files goes to Python.
     """
     kinds = F.create_map(*[F.lit(x) for pair in SUPPORTED.items() for x in pair])
     ext = extension(F.col("path"))
@@ -80,7 +82,7 @@ def extract(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     refused = files.filter(large).select("path", kind.alias("source_type"), none.alias("text"), empty.alias("warnings"), F.when(kind.isNull(), UNSUPPORTED).otherwise(TOO_LARGE).alias("error_code"), F.when(kind.isNull(), hint).alias("error_detail"))
     rows = files.filter(F.col("length") <= settings.max_upload_bytes).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), "content")
     packed = F.col("source_type").isin("docx", "pdf")
-    rows = rows.withColumn("p", _parser()(F.col("source_type"), F.when(packed, F.col("content"))))
+    rows = rows.withColumn("p", _parser(settings.max_unpacked_bytes)(F.col("source_type"), F.when(packed, F.col("content"))))
     plain = F.col("source_type").isin("txt", "html")
     strict = decode_utf8(F.col("content"))
     read = rows.select(

@@ -13,9 +13,7 @@ import hashlib
 import re
 import zlib
 
-from .docx import CorruptFile
-
-MOST_STREAM_BYTES = 128 << 20
+from .docx import MOST_BYTES, CorruptFile, TooLarge
 
 
 class Name(str):
@@ -156,7 +154,7 @@ def _rc4(key: bytes, data: bytes) -> bytes:
     return bytes(out)
 
 
-def _lzw(data: bytes, early: int) -> bytes:
+def _lzw(data: bytes, early: int, most: int = MOST_BYTES) -> bytes:
     """Codes of 9 to 12 bits, 256 to begin anew, 257 at the end; early: how many codes early they widen."""
     plain = [bytes([i]) for i in range(256)] + [b"", b""]
     table, width, bits, held, before, out = list(plain), 9, 0, 0, b"", bytearray()
@@ -181,20 +179,20 @@ def _lzw(data: bytes, early: int) -> bytes:
                 table.append(before + piece[:1])
             before = piece
             out += piece
-            if len(out) > MOST_STREAM_BYTES:
-                raise CorruptFile("a stream unpacks to too much")
+            if len(out) > most:
+                raise TooLarge(f"a stream unpacks to more than {most} bytes")
             width = min(12, max(9, (len(table) + early).bit_length()))
     return bytes(out)
 
 
-def _run_length(data: bytes) -> bytes:
+def _run_length(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
     while i < len(data) and data[i] != 128:
         n = data[i]
         out += data[i + 1 : i + 2 + n] if n < 128 else data[i + 1 : i + 2] * (257 - n)
         i += 2 + n if n < 128 else 2
-        if len(out) > MOST_STREAM_BYTES:
-            raise CorruptFile("a stream unpacks to too much")
+        if len(out) > most:
+            raise TooLarge(f"a stream unpacks to more than {most} bytes")
     return bytes(out)
 
 
@@ -202,7 +200,8 @@ _PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE64
 
 
 class Pdf:
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, most: int = MOST_BYTES):
+        self.most = most  # bytes that a stream may unpack to
         if b"%PDF-" not in data[:1024]:
             raise CorruptFile("no PDF header")
         self.data, self.objects, self.trailer, self.key = data, {}, {}, None
@@ -320,16 +319,16 @@ class Pdf:
             p = p if isinstance(p, dict) else {}
             if name in ("FlateDecode", "Fl", "LZWDecode", "LZW"):
                 if name in ("LZWDecode", "LZW"):
-                    data = _lzw(data, p.get("EarlyChange", 1))
+                    data = _lzw(data, p.get("EarlyChange", 1), self.most)
                 else:
                     z = zlib.decompressobj()
-                    data = z.decompress(data, MOST_STREAM_BYTES)
-                    if z.unconsumed_tail:
-                        raise CorruptFile("a stream unpacks to too much")
+                    data = z.decompress(data, self.most + 1)
+                    if len(data) > self.most:
+                        raise TooLarge(f"a stream unpacks to more than {self.most} bytes")
                 if p.get("Predictor", 1) >= 10:
                     data = _unpredict(data, p.get("Columns", 1) * ((p.get("Colors", 1) * p.get("BitsPerComponent", 8) + 7) // 8))
             elif name in ("RunLengthDecode", "RL"):
-                data = _run_length(data)
+                data = _run_length(data, self.most)
             elif name in ("ASCIIHexDecode", "AHx"):
                 digits = re.sub(rb"[^0-9A-Fa-f]", b"", data.split(b">")[0])
                 data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
@@ -527,12 +526,13 @@ def _glyph(name: str) -> str:
     return common.get(name) or (str(digits.index(name)) if name in digits else name if len(name) == 1 else "�")
 
 
-def pdf_text(content: bytes) -> tuple[str, list[str]]:
-    """(text, warning codes): the pages' texts joined by line feeds."""
+def pdf_text(content: bytes, most: int = MOST_BYTES) -> tuple[str, list[str]]:
+    """(text, warning codes): the pages' texts joined by line feeds.  A page that can't be read is empty; one whose
+    stream unpacks to more than most bytes is an error of the whole file, so that no text goes without a word."""
     try:
-        pdf = Pdf(content)
+        pdf = Pdf(content, most)
         pages = pdf.pages()
-    except CorruptFile:
+    except (CorruptFile, TooLarge):
         raise
     except Exception as why:
         raise CorruptFile("not a readable PDF") from why
@@ -540,6 +540,8 @@ def pdf_text(content: bytes) -> tuple[str, list[str]]:
     for page in pages:
         try:
             texts.append(pdf.page_text(page))
+        except TooLarge:
+            raise
         except Exception:
             texts.append("")
     empty = sum(not t.strip() for t in texts)

@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 
@@ -55,10 +56,32 @@ def test_docx_parts_and_oddities():
         z.writestr("word/glossary/document.xml", part(p("glossary")))
         z.writestr("word/footer1.xml", part(""))
     assert docx.docx_text(out.getvalue()) == "head\n\ta\nb\t\n\nboxout\nbox\nnote\nglossary"
-    with pytest.raises(docx.CorruptFile):
+    with pytest.raises(docx.TooLarge):
         docx.docx_text(docx_bytes(["x" * 1000]), most=100)
 
 
+def test_what_unpacks_to_too_much_has_a_code_of_its_own(spark):
+    """No page is lost without a word, and a sound file isn't called corrupt."""
+    lines = [f"line {i} of the second page" for i in range(400)]
+    small, large = pdf_bytes([["short"], ["second"]]), pdf_bytes([["short"], lines])
+    at = large.rindex(b"BT /F1")
+    shown = large[at : large.index(b" ET", at) + 3]
+    large = large.replace(b"<< /Length %d >>\nstream\n%s" % (len(shown), shown), b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s" % (len(x := zlib.compress(shown)), x))
+    named = {"a.pdf": small, "b.pdf": large, "c.docx": docx_bytes(["y" * 3000]), "d.docx": docx_bytes(["y"]), "e.pdf": b"garbage", "f.txt": b"z" * 3000}
+    rows = spark.createDataFrame([(n, len(c), bytearray(c)) for n, c in named.items()], "path string, length long, content binary")
+    got = {r.path: r for r in files.extract(rows, Settings(max_unpacked_mb=2000 / 1_048_576)).collect()}
+    assert {k: r.error_code for k, r in got.items()} == {"a.pdf": None, "b.pdf": "TOO_LARGE", "c.docx": "TOO_LARGE", "d.docx": None, "e.pdf": "CORRUPT", "f.txt": None}
+    assert got["b.pdf"].text is None and "2000 bytes" in got["b.pdf"].error_detail and got["a.pdf"].text == "short\nsecond"
+    assert {r.error_code for r in files.extract(rows).collect()} == {None, "CORRUPT"}
+
+
+@pytest.mark.parametrize("unpack", [lambda most: pdf._run_length(b"\x81a" * 9, most), lambda most: pdf._lzw(bytes.fromhex("800B6050220C0C8501"), 1, most)])
+def test_filters_stop_at_the_limit(unpack):
+    unpack(2000)
+    with pytest.raises(docx.TooLarge):
+        unpack(5)
+
+
 def test_bad_files_keep_their_rows(spark):
     empty = io.BytesIO()
     with zipfile.ZipFile(empty, "w") as z:
