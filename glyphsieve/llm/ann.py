@@ -30,7 +30,7 @@ SAMPLE_QUERIES = 96
 TREES = 4
 LEAF_ROWS = 256
 TARGET_RECALL = 0.97
-#: Queries that a cell holds at once; where more are expected, cells are split by query and their vectors repeated.
+#: Queries that a cell holds at once; one that more queries visit is split by query and its vectors repeated.
 CELL_QUERIES = 65_536
 #: Vectors and queries ranked at once, pairs multiplied at once, and rows held before they are cut to the best of each query.
 BLOCK, QUERIES, PAIRS, HELD = 2048, 512, 1 << 15, 400_000
@@ -180,7 +180,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).filter("id is not null and v is not null")
     unique = base.mapInArrow(_unique_rows(k, every), "h1 bigint, h2 bigint, dim bigint, vec binary, ids array<bigint>, asks boolean")
     unique = unique.groupBy("h1", "h2").agg(F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"), F.max("asks").alias("asks"))
-    unique = scratch.write(unique, "unique")
+    unique = held_unique = scratch.write(unique, "unique")
     out_type = "query_id bigint, rank int, vec_id bigint, score double"
     most = unique.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     if most is None:
@@ -264,24 +264,23 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
         for whole in batches:
             for a in range(0, whole.num_rows, 256):
                 b = whole.slice(a, 256)
-                row, cell = [], []
-                for i, q in enumerate(vectors(b)):
-                    seen = 0
+                cells = []
+                for q in vectors(b):
+                    seen, mine = 0, []
                     for t, leaf in f.visits(q):
                         if size[t, leaf]:
-                            row.append(i)
-                            cell.append(t << 32 | leaf)
+                            mine.append(t << 32 | leaf)
                             seen += size[t, leaf]
                             if seen >= most_rows:
                                 break
-                at = pa.array(row, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["cell", "h1", "h2", "vec"])
+                    cells.append(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.list_(pa.int64())), b.column(0), b.column(1), b.column(2)], names=["cells", "h1", "h2", "vec"])
 
-    asks = unique.filter("asks").select("h1", "h2", "vec").mapInArrow(probes, "cell bigint, h1 bigint, h2 bigint, vec binary")
-    slices = -(-asking // CELL_QUERIES)
-    asks = asks.withColumn("part", F.pmod("h2", F.lit(slices)))
+    probed = scratch.write(unique.filter("asks").select("h1", "h2", "vec").mapInArrow(probes, "cells array<bigint>, h1 bigint, h2 bigint, vec binary"), "probed")
+    asks = probed.select(F.explode("cells").alias("cell"), "h1", "h2", "vec")
+    met = asks.groupBy("cell").agg(F.count("*").alias("n"))
     cells = index.select(F.posexplode("leaves").alias("t", "leaf"), "vec", "ids").select(F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("leaf")).alias("cell"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), "vec", "ids")
-    cells = cells.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+    asks, cells = _dealt(asks, cells, {r.cell: r.n for r in met.filter(F.col("n") > CELL_QUERIES).collect()})  # of TREES x SAMPLE_VECTORS / 16 cells at most
     both = asks.select("cell", "part", F.lit(0).alias("kind"), "h1", "h2", "vec", F.lit(None).cast("array<bigint>").alias("ids")).unionByName(cells)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartition(parts, "cell", "part").sortWithinPartitions("cell", "part", "kind")
@@ -349,6 +348,7 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     tops = hits.groupBy("h1", "h2").agg(F.slice(F.sort_array(F.collect_set(entry)), 1, k + 1).alias("tops"))
     flat = F.flatten(F.transform("tops", lambda e: F.transform(e["ids"], lambda i: F.struct(e["s"].alias("s"), i.alias("id")))))
     tops = scratch.write(tops.select("h1", "h2", F.slice(F.array_sort(flat), 1, k + 1).alias("tops")), "tops")
+    scratch.drop(held_unique, index, told, probed)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -362,6 +362,17 @@ def nearest(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k
     return mine.select("query_id", F.posexplode("tops").alias("p", "e")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("e.id").alias("vec_id"), F.negative("e.s").alias("score"))
 
 
+def _dealt(asks: DataFrame, cells: DataFrame, crowded: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Both with part: the queries of a crowded cell are dealt to as many parts as it needs, each with a copy of the
+    cell's vectors; every other cell has one part."""
+    slices = F.lit(1).cast("long")
+    if crowded:
+        parts = F.create_map(*[F.lit(x).cast("long") for c, n in crowded.items() for x in (c, -(-n // CELL_QUERIES))])
+        slices = F.coalesce(F.element_at(parts, F.col("cell")), slices)
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), slices - 1)) if crowded else F.lit(0).cast("long")
+    return asks.withColumn("part", F.pmod(F.col("h2"), slices)), cells.withColumn("part", copies)
+
+
 def _budget(forest: Forest, queries: np.ndarray, truth: list, sizes: np.ndarray, target: float) -> int:
     """The least number of rows to see that finds the target share of the true neighbours, a tenth added."""
     met: list[int] = []

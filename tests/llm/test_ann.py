@@ -83,6 +83,18 @@ def test_cells_are_split_by_queries(spark, monkeypatch):
     assert np.mean([len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) / 5 for q in want]) >= 0.9
 
 
+def test_only_crowded_cells_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CELL_QUERIES", 10)
+    asks = spark.range(60).selectExpr("if(id < 45, 1L, 2L + id % 3) AS cell", "id AS h1", "hash(id) AS h2")
+    cells = spark.createDataFrame([(c, v) for c in (1, 2, 3, 4, 9) for v in range(4)], "cell long, vec int")
+    a, b = ann._dealt(asks, cells, {1: 45})
+    parts = {r.cell: r.n for r in b.groupBy("cell").agg({"part": "count"}).withColumnRenamed("count(part)", "n").collect()}
+    assert parts == {1: 20, 2: 4, 3: 4, 4: 4, 9: 4}  # five parts of the crowded cell, each with all its vectors
+    met = a.join(b, ["cell", "part"]).groupBy("cell", "h1").count().collect()
+    assert len(met) == 60 and {r["count"] for r in met} == {4}
+    assert all(x["part"] == 0 for t in ann._dealt(asks, cells, {}) for x in t.collect())
+
+
 def test_forest_visits_every_leaf_once():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(500, 5))
