@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import codepoints as cp
+from ..functions import phrases
+from ..functions.arrowtext import pieces as text_pieces
 from ..functions.numbers import round3
 from ..functions.pairs import pair_counts, pieces
 from . import stylometry as style
@@ -35,6 +36,15 @@ def _named(df: DataFrame, by: list[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(zip(_keys(by), by)))
 
 
+def group_numbers(batch: pa.RecordBatch, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the group of each row by its first columns, numbered from 0; a row of each group)."""
+    group = np.zeros(batch.num_rows, np.int64)
+    for i in range(keys):  # columns one after the other, so keys of any type and nulls are told apart
+        value = batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        group = pd.factorize(group * (int(value.max(initial=0)) + 1) + value)[0].astype(np.int64)
+    return group, np.unique(group, return_index=True)[1]
+
+
 def _entropy(counts: DataFrame, by: list[str], total: str, distinct: str) -> DataFrame:
     """(keys, item, n) -> keys, total, distinct, entropy_bits; a null item counts nothing and keeps its group."""
     n = F.when(F.col("item").isNotNull(), F.col("n")).otherwise(0).cast("long")
@@ -78,11 +88,7 @@ def _pairs(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
             if not batch.num_rows:
                 continue
             texts = [t or "" for t in batch.column(len(plain)).to_pylist()]
-            group = np.zeros(len(texts), np.int64)
-            for i in range(len(plain)):  # columns one after the other, so keys of any type and nulls are told apart
-                value = pd.factorize(batch.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy())[0]
-                group = pd.factorize(group * (int(value.max()) + 1) + value)[0].astype(np.int64)
-            one = np.unique(group, return_index=True)[1]  # a row of each group, for its keys
+            group, one = group_numbers(batch, len(plain))
             parts = [(np.arange(len(one)), np.full(len(one), -1), np.zeros(len(one), np.int64))]
             parts += [pair_counts(texts[i:j], group[i:j]) for i, j in pieces(np.fromiter(map(len, texts), np.int64, len(texts)))]
             who, pair, n = (np.concatenate(x) for x in zip(*parts))
@@ -108,6 +114,8 @@ def pair_entropy(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
 
 
 _EXACT = "decimal(38,0)"
+#: Bytes of text whose phrases are held at once.
+PHRASE_BYTES = 4 << 20
 
 
 def sentence_moments(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
@@ -139,22 +147,57 @@ def variation(moments: DataFrame) -> DataFrame:
     return out.drop("s1", "s2", "__x").withColumnRenamed("n", "sentences")
 
 
-def phrase_keys(words: Column, size: int = 3) -> Column:
-    """The phrases of an array of words, as two 64-bit hashes under different seeds each: 128 bits stand for a phrase."""
-    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+#: A bucket of phrases holds what so many bytes of the table have of them.
+BUCKET_BYTES = 32 << 20
 
-    def key(_: Column, i: Column) -> Column:
-        phrase = F.array_join(F.slice(words, i + 1, F.lit(size)), " ")
-        return F.struct(F.xxhash64(phrase).alias("a"), F.xxhash64(F.lit(1), phrase).alias("b"))
 
-    return F.transform(starts, key)
+def repetition(texts: DataFrame, by: list[str], buckets: int, size: int = 3) -> DataFrame:
+    """(by, t: lower-cased, ...) -> by, phrases, distinct_phrases, exact but for 96-bit keys of the phrases.
 
+    Pieces of texts are turned into keys, each once a piece and group, and packed by group and bucket of the keys.  A
+    group's phrases are spread over all buckets, so a hot group is that many tasks' work, and what meets by group alone
+    is a count for each bucket.
+    """
+    rows = texts.select(*by, "t")
+    keys = [T.StructField(k, rows.schema[k].dataType) for k in by]
+    sent = T.StructType([*keys, T.StructField("bucket", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("packed", T.BinaryType())])
 
-def repetition(phrases: DataFrame, by: list[str]) -> DataFrame:
-    """(by, k: a phrase's key, null for none) -> by, phrases, distinct_phrases.  Equal phrases of a group meet by group
-    and key, so a hot group is as many tasks' as there are; what then goes by group alone is a count for each task."""
-    once = phrases.groupBy(*by, F.col("k.a").alias("__a"), F.col("k.b").alias("__b")).agg(F.count("k").alias("__n"))
-    return once.groupBy(*by).agg(F.sum("__n").alias("phrases"), F.sum((F.col("__n") > 0).cast("long")).alias("distinct_phrases"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, off in text_pieces(batches, "t", PHRASE_BYTES):
+            group, one = group_numbers(part, len(by))
+            text, a, b = phrases.phrase_keys(data, off, size)
+            owner = group[text]
+            total = np.bincount(owner, minlength=len(one))
+            slot = owner * buckets + (a >> np.uint64(33)).astype(np.int64) % buckets
+            order = np.argsort(slot, kind="stable")
+            slot, a, b = slot[order], a[order], b[order]
+            edges = np.flatnonzero(np.append(True, slot[1:] != slot[:-1])) if len(slot) else np.zeros(0, np.int64)
+            out = [(g, 0, int(n), b"") for g, n in enumerate(total)]  # a row for each group, with or without phrases
+            for i, j in zip(edges.tolist(), np.append(edges[1:], len(slot)).tolist()):
+                some = phrases.distinct(a[i:j], b[i:j])
+                out.append((int(slot[i]) // buckets, int(slot[i]) % buckets, 0, phrases.pack(a[i:j][some], b[i:j][some])))
+            who, bucket, n, packed = zip(*out)
+            at = pa.array(one[list(who)])
+            yield pa.RecordBatch.from_arrays([*[part.column(i).take(at) for i in range(len(by))], pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=sent.names)
+
+    met = T.StructType([*keys, T.StructField("phrases", T.LongType()), T.StructField("distinct_phrases", T.LongType())])
+
+    def counted(found: pd.DataFrame) -> pd.DataFrame:
+        a, b = (np.concatenate(x) for x in zip(*map(phrases.unpack, found["packed"])))
+        out = found.iloc[:1][by].copy()
+        return out.assign(phrases=int(found["n"].sum()), distinct_phrases=len(phrases.distinct(a, b)))
+
+    parts = rows.mapInArrow(run, sent).groupBy(*by, "bucket").applyInPandas(counted, met)
+    return parts.groupBy(*by).agg(F.sum("phrases").alias("phrases"), F.sum("distinct_phrases").alias("distinct_phrases"))
+
+
+def phrase_buckets(df: DataFrame) -> int:
+    """By the size of the table as its source tells it, which costs no pass; a source that can't tell gets four for
+    every shuffle partition."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(16, min(1 << 20, size // BUCKET_BYTES))
 
 
 def scored_repetition(counts: DataFrame, size: int = 3) -> DataFrame:
@@ -168,6 +211,5 @@ def scored_repetition(counts: DataFrame, size: int = 3) -> DataFrame:
 def phrase_repetition(df: DataFrame, by: list[str], text: str = "text", size: int = 3) -> DataFrame:
     """by, phrases, distinct_phrases, phrase_repetition and its band: exact counts of the size-word phrases of all texts
     of a group.  Phrases don't cross from one text to the next; ordered.phrase_repetition has those that do."""
-    rows = _keyed(df, by, __w=style.words(F.col(f"`{text}`")))
-    rows = rows.select(*_keys(by), F.explode_outer(phrase_keys(F.col("__w"), size)).alias("k"))
-    return scored_repetition(repetition(rows, _keys(by)), size).transform(_named, by)
+    rows = _keyed(df, by, t=F.lower(F.col(f"`{text}`")))
+    return scored_repetition(repetition(rows, _keys(by), phrase_buckets(df), size), size).transform(_named, by)

@@ -60,18 +60,20 @@ def phrase_repetition(df: DataFrame, by: list[str], order: list[str], text: str
     """
     keys, places = [f"k{i}" for i in range(len(by))], [f"o{i}" for i in range(len(order))]
     col = lambda c: F.col(f"`{c}`")
-    rows = df.select(*[col(c).alias(k) for c, k in zip(by, keys)], *[col(c).alias(o) for c, o in zip(order, places)], style.words(col(text)).alias("w"))
-    inside = rows.select(*keys, F.explode_outer(groups.phrase_keys(F.col("w"), size)).alias("k"), F.lit(0).alias("x"))
-    counted = rows.groupBy(*keys).agg(F.sum(F.greatest(F.coalesce(F.size("w"), F.lit(0)), F.lit(0)).cast("long")).alias("words"))
-    all_ = inside
+    rows = df.select(*[col(c).alias(k) for c, k in zip(by, keys)], *[col(c).alias(o) for c, o in zip(order, places)], style.words(col(text)).alias("w"), F.lower(col(text)).alias("t"))
+    counts = rows.groupBy(*keys).agg(F.sum(F.greatest(F.coalesce(F.size("w"), F.lit(0)), F.lit(0)).cast("long")).alias("words"))
+    texts = rows.select(*keys, "t", F.lit(0).cast("long").alias("x"))
     if size > 1:
-        border = rows.filter(F.size("w") > 0).select(*keys, *places, F.slice("w", F.lit(1), F.lit(size - 1)).alias("h"), F.slice("w", F.greatest(F.size("w") - (size - 2), F.lit(1)), F.lit(size - 1)).alias("t"))
+        border = rows.filter(F.size("w") > 0).select(*keys, *places, F.slice("w", F.lit(1), F.lit(size - 1)).alias("h"), F.slice("w", F.greatest(F.size("w") - (size - 2), F.lit(1)), F.lit(size - 1)).alias("e"))
         met = following(border, keys, [*places], size - 1)
-        phrases = met.select(*keys, F.explode(crossing(F.col("t"), F.col("after"), size)).alias("p"))
-        over = phrases.select(*keys, F.get(groups.phrase_keys(F.col("p"), size), 0).alias("k"), F.lit(1).alias("x"))
-        all_ = inside.unionByName(over)
-    once = all_.groupBy(*keys, F.col("k.a").alias("a"), F.col("k.b").alias("b")).agg(F.count("k").alias("n"), F.sum("x").alias("x"))
-    sums = once.groupBy(*keys).agg(F.sum("n").alias("phrases"), F.sum("x").alias("crossing_phrases"), F.sum((F.col("n") > 0).cast("long")).alias("distinct_phrases"))
+        over = met.select(*keys, F.explode(crossing(F.col("e"), F.col("after"), size)).alias("p")).select(*keys, F.array_join("p", " ").alias("t"), F.lit(1).cast("long").alias("x"))
+        over = Scratch(df.sparkSession, "crossing").write(over, "over")
+        texts = texts.unionByName(over)
+        counts = counts.unionByName(over.groupBy(*keys).agg(F.lit(0).cast("long").alias("words"), F.sum("x").alias("x")), allowMissingColumns=True)
+        counted = counts.groupBy(*keys).agg(F.sum("words").alias("words"), F.coalesce(F.sum("x"), F.lit(0)).alias("crossing_phrases"))
+    else:
+        counted = counts.withColumn("crossing_phrases", F.lit(0).cast("long"))
+    sums = groups.repetition(texts, keys, groups.phrase_buckets(df), size)
     same = None
     for k in keys:
         one = F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}"))
