@@ -1,5 +1,7 @@
 import math
 import random
+import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -188,3 +190,44 @@ def test_too_many_languages_are_refused(spark, monkeypatch):
     df = spark.createDataFrame([(i, "some text", f"x{i}") for i in range(5)], "doc_id long, text string, lang string")
     with pytest.raises(ValueError, match="more than 3 languages"):
         language_id.train(df)
+
+
+def made_up(languages, seed=1):
+    """Vocabularies of made-up languages, and their models."""
+    rng, vocabularies, logs = random.Random(seed), [], []
+    for _ in range(languages):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyz", 12)
+        vocabularies.append(["".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(1500)])
+        data = " ".join(vocabularies[-1] * 3).encode()
+        counts = np.bincount(language_id.trigrams(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0], minlength=language_id.BUCKETS) + 0.5
+        logs.append(np.log(counts / counts.sum()).astype(np.float32))
+    return vocabularies, np.stack(logs)
+
+
+def test_memory_and_time_do_not_grow_with_the_languages():
+    rng = random.Random(2)
+    for languages in (8, 64):
+        vocabularies, logs = made_up(languages)
+        data = " ".join(rng.choice(vocabularies[j]) for j in (0, 3, 5) for _ in range(120_000)).encode()  # 2 MB in three languages
+        tracemalloc.start()
+        began = time.process_time()
+        shares, known = language_id.shares_of(np.frombuffer(data, np.uint8), np.array([0, len(data)]), logs)
+        took, peak = time.process_time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert np.flatnonzero(shares[0] > 0.01).tolist() == [0, 3, 5] and abs(shares[0, 3] - 1 / 3) < 0.02 and known[0] > 0.9
+        assert peak < 60 * len(data) and took < 10
+
+
+@pytest.mark.parametrize("first", [2, 3, 20])
+def test_the_active_set_finds_what_all_languages_at_once_do(monkeypatch, first):
+    """However few languages EM begins with, the mixture is that of all of them."""
+    vocabularies, logs = made_up(20, 7)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(vocabularies[j]) for j in rng.sample(range(20), k) for _ in range(60)).encode() for k in (1, 2, 3, 5, 9, 14, 1, 2)]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    monkeypatch.setattr(language_id, "FIRST_LANGUAGES", 20)
+    want, _ = language_id.shares_of(data, off, logs)
+    monkeypatch.setattr(language_id, "FIRST_LANGUAGES", first)
+    monkeypatch.setattr(language_id, "CELLS", 997)  # and in blocks of any size
+    got, _ = language_id.shares_of(data, off, logs)
+    assert np.abs(got - want).max() < 0.02 and ((got > 0.02).sum(1) == (want > 0.02).sum(1)).all()
