@@ -29,7 +29,8 @@ ARCHIVE_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CHUNK = 1 << 18
 _URN = "urn:x-page:"
-_MOST_HEADER = 1 << 20
+#: A header longer than this is taken for a damaged one; addresses may be long.
+MOST_HEADER = 1 << 26
 
 
 def sha1_32(data: bytes) -> str:
@@ -109,15 +110,16 @@ def read_records(stream) -> Iterator[Record]:
             while not z.eof:
                 if not data:
                     raise ValueError("a gzip member is cut short")
+                seen = max(0, len(got) - 3)
                 got += z.decompress(data, _CHUNK)
                 left = z.unused_data if z.eof else z.unconsumed_tail
                 used, data = used + len(data) - len(left), left
-                if length is None and (end := got.find(b"\r\n\r\n")) >= 0:
+                if length is None and (end := got.find(b"\r\n\r\n", seen)) >= 0:
                     out.fields, body = _parse_head(bytes(got[:end])), end + 4
                     length = int(out.fields.get("content-length", "-1"))
                     if length < 0:
                         raise ValueError("no content length")
-                if len(got) > (_MOST_HEADER if length is None else body + length + 4):
+                if len(got) > (MOST_HEADER if length is None else body + length + 4):
                     if length is None:
                         raise ValueError("no end of the record's header")
                     out.error = "the member goes on after its record"
@@ -159,8 +161,14 @@ def _verify(r: Record) -> str | None:
     return None
 
 
+#: Names that Hadoop has for stores, and those that Arrow has for them.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gs": "gs"}
+
+
 def _open(path: str):
-    return pyarrow.fs.FileSystem.from_uri(path)
+    """(file system, path in it) of a location as Spark writes it."""
+    scheme, colon, rest = path.partition("://")
+    return pyarrow.fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
 def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", level: int = 6) -> DataFrame:
@@ -170,7 +178,12 @@ def write_pages(pages: DataFrame, folder: str, id_col: str = "page_id", uri_col:
     revisits of it; null html is an empty payload.  A row with a null id is never the largest (if all are null,
     all are responses); rows that share the largest id are responses each; a null url gets a urn.  An archive's
     name holds a fresh uuid for each attempt, and only archives in the manifest count, so a repeated or lost
-    task leaves no record twice.  folder is any location that pyarrow.fs and all executors can reach.
+    task leaves no record twice.  Repeated rows are records of their own; rows of equal id below the largest each are
+    revisits; an empty table gives an empty manifest; other columns are not read, whatever their names.  A page is
+    written whole, as one record of one task, in some four times its bytes of memory.
+
+    folder is any location that pyarrow.fs and all executors can reach: local paths, file, s3 (s3a too), gs, abfs, and
+    hdfs where libhdfs is installed.  Credentials of such a store are Arrow's, from the environment, not Spark's.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     slim = pages.select(F.col(id_col).alias("id"), F.col(uri_col).cast("string").alias("uri"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
@@ -239,8 +252,10 @@ def read_archives(paths: DataFrame, payloads: bool = True) -> DataFrame:
 
     payload_bytes and payload_digest (lower-case hex) speak of the full payload, for revisits too; error is null
     for records whose framing and digests hold, and verified says whether there was a digest to hold.  An empty table
-    of paths, or an empty archive, gives no rows.
+    of paths, or an empty archive, gives no rows, nor does a null path; a path given twice gives its records twice.
+    A record is held whole, with its header of up to MOST_HEADER bytes.  Columns other than path are not read.
     """
+    paths = paths.filter("path is not null")
     files = paths.select("path").repartition(max(1, min(paths.count(), 100_000)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

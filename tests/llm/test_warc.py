@@ -89,6 +89,39 @@ def test_a_very_long_page(spark, tmp_path):
     assert got == [("1", 20_000_000, "revisit"), ("2", 20_000_000, "response"), ("3", 0, "response")]
 
 
+def test_a_very_long_address(spark, tmp_path):
+    """Three megabytes of address, between records of common size and next to columns of clashing names."""
+    url = "http://x/" + "a%20b" * 600_000
+    rows = [(1, "http://y", "one", "p", 1), (2, url, "two", "q", 2), (3, "http://z", "three" * 400, None, 3), (4, None, "three" * 400, "r", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string, n int").coalesce(1)
+    got = {r.page_id: r for r in warc.read_archives(warc.write_pages(pages, f"file://{tmp_path}/a")).collect()}
+    assert {r.error for r in got.values()} == {None} and got["2"].target_uri == url and [got[str(i)].payload_bytes for i in range(1, 5)] == [3, 3, 2000, 2000]
+    assert got["3"].record_type == "revisit" and got["3"].refers_to == "4"
+
+
+def test_a_header_without_an_end_is_told(monkeypatch):
+    monkeypatch.setattr(warc, "MOST_HEADER", 1 << 20)
+    assert "no end" in records(gzip.compress(b"WARC/1.1\r\nX: " + b"y" * (3 << 20)))[0].error
+
+
+def test_locations_as_spark_names_them(monkeypatch):
+    seen = []
+
+    class Fake:
+        from_uri = staticmethod(lambda uri: seen.append(uri) or (None, ""))
+
+    monkeypatch.setattr(warc.pyarrow.fs, "FileSystem", Fake)
+    for path in ("s3a://bucket/a", "s3n://b/c", "s3://b/c", "file:///x/y", "/x/y", "hdfs://n/z", "gs://b/c"):
+        warc._open(path)
+    assert seen == ["s3://bucket/a", "s3://b/c", "s3://b/c", "file:///x/y", "/x/y", "hdfs://n/z", "gs://b/c"]
+
+
+def test_null_and_repeated_paths(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    path = warc.write_pages(pages, str(tmp_path)).first().path
+    assert warc.read_archives(spark.createDataFrame([(path,), (None,), (path,)], "path string")).count() == 2
+
+
 def test_empty_and_foreign_streams():
     assert records(b"") == []
     assert records(b"not gzip")[0].error
