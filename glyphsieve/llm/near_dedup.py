@@ -6,7 +6,7 @@ counts tells them from unrelated texts.  So a document has, besides its own fing
 two documents share its fingerprint with probability similarity^ROWS.  Sharing any makes a candidate; candidates
 are verified on their whole shingle sets.
 
-Documents with equal shingle sets are one node.  Buckets of up to FEW nodes are verified pair by pair.  In larger
+Documents with equal shingle sets, by 128 bits, are one node.  Buckets of up to FEW nodes are verified pair by pair.  In larger
 ones each node is first held against the bucket's hub, the node that meets most others over all its buckets, which
 for a family of edited copies is the text that they were made from.  Where that leaves a bucket in several groups,
 the nodes outside its largest group are compared with all of its nodes, in pairs of blocks of bounded size.  So every
@@ -33,6 +33,8 @@ BANDS, ROWS, FEW = 16, 3, 8
 BLOCK, BLOCK_BYTES, COLUMNS = 256, 8 << 20, 2048
 _POWERS = Powers(np.uint64(0xA0761D6478BD642F))
 _SALTS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+#: A shingle set is told by two sums over its hashes, 128 bits.
+_SET_SALTS = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -64,10 +66,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, first = shingles(data, off)
         n = part.num_rows
         some = np.flatnonzero(np.diff(first))
-        fp, key, bands = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros((n, BANDS), np.uint64)
+        fp, keys, bands = np.zeros(n, np.uint64), np.zeros((2, n), np.uint64), np.zeros((n, BANDS), np.uint64)
         if len(some):
             at = first[some]
-            key[some] = mix(np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), at) + np.diff(first)[some].astype(np.uint64))
+            for key, salt in zip(keys, _SET_SALTS):
+                key[some] = mix(np.add.reduceat(mix(g ^ salt), at) + np.diff(first)[some].astype(np.uint64))
             low = np.stack([np.minimum.reduceat(mix(g * s), at) for s in _SALTS], 1).reshape(-1, BANDS, ROWS)
             x, y, z = low[:, :, 0], low[:, :, 1], low[:, :, 2]
             bands[some] = x & y | y & z | x & z  # the majority of three, bit by bit
@@ -77,8 +80,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     votes += np.unpackbits(g[c : min(b, c + (1 << 15))].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.uint32)
                 fp[some[i]] = int.from_bytes(np.packbits(votes * 2 > b - a).tobytes(), "big")
         yield pa.RecordBatch.from_arrays(
-            [*(part.column(c) for c in ("id", "k", "l")), pa.array(key.view(np.int64)), pa.array(np.diff(first)), pa.array(fp.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
-            names=["id", "k", "l", "node", "many", "fp", "bands"],
+            [*(part.column(c) for c in ("id", "k", "l")), *(pa.array(key.view(np.int64)) for key in keys), pa.array(np.diff(first)), pa.array(fp.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))],
+            names=["id", "k", "l", "s1", "s2", "many", "fp", "bands"],
         )
 
 
@@ -165,7 +168,7 @@ def _keys(id_: Column, t: Column) -> tuple[Column, Column]:
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, k, l, root, keeper.
 
-    root names the group; keeper is true for its document of least id (null ids last, then by k), one per group
+    root numbers the group within this run; keeper is true for its document of least id (null ids last, then by k), one per group
     unless rows are equal in id and text.  k and l are hashes of id and text.  Null and empty texts and those without
     words form one group.  An empty table gives no rows.  Other columns are not read.  A text is worked on whole, in
     some 20 bytes of memory for each of its bytes.
@@ -173,9 +176,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "near")
     kind = docs.select(id_col).dtypes[0][1]
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).select("id", *_keys(F.col("id"), F.col("t")), "t")
-    sketch = scratch.write(base.mapInArrow(_sketches, f"id {kind}, k bigint, l bigint, node bigint, many bigint, fp bigint, bands array<bigint>"), "sketch")
+    sketch = scratch.write(base.mapInArrow(_sketches, f"id {kind}, k bigint, l bigint, s1 bigint, s2 bigint, many bigint, fp bigint, bands array<bigint>"), "sketch")
     who = F.struct(F.col("id").isNull().alias("none"), "id", "k", "l")
-    nodes = scratch.write(sketch.groupBy("node").agg(F.min(who).alias("who"), *[F.first(c).alias(c) for c in ("many", "fp", "bands")]).select("node", "who.id", "who.k", "who.l", "many", "fp", "bands"), "nodes")
+    nodes = sketch.groupBy("s1", "s2").agg(F.min(who).alias("who"), *[F.first(c).alias(c) for c in ("many", "fp", "bands")])
+    # a number for each node, its own once it is written
+    nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "who.id", "who.k", "who.l", "many", "fp", "bands"), "nodes")
 
     # candidates
     buckets = nodes.select("node", F.posexplode(F.concat("bands", F.array("fp"))).alias("band", "value"))
@@ -231,10 +236,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         roots = scratch.write(connected_components(joined, scratch), "roots")
     scratch.drop(shared, members, crowd, hubs, prints, links, sets, parted)
 
-    rooted = scratch.write(nodes.join(roots, "node", "left").select("node", "id", "k", "l", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = scratch.write(nodes.join(roots, "node", "left").select("s1", "s2", "id", "k", "l", F.coalesce("root", "node").alias("root")), "rooted")
     best = scratch.write(rooted.groupBy("root").agg(F.min(who).alias("w")).select(F.col("root").alias("broot"), F.col("w.k").alias("bk"), F.col("w.l").alias("bl")), "best")
-    named = scratch.write(rooted.join(best, F.col("root") == F.col("broot")).select(F.col("node").alias("n2"), "root", "bk", "bl"), "named")
-    out = sketch.select("id", "k", "l", "node").join(named, F.col("node") == F.col("n2"))
+    named = scratch.write(rooted.join(best, F.col("root") == F.col("broot")).select("s1", "s2", "root", "bk", "bl"), "named")
+    out = sketch.select("id", "k", "l", "s1", "s2").join(named, ["s1", "s2"])
     out = out.select("id", "k", "l", "root", ((F.col("k") == F.col("bk")) & (F.col("l") == F.col("bl"))).alias("keeper"))
     scratch.drop(nodes, roots, rooted, best)
     return out

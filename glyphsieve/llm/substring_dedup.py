@@ -8,8 +8,9 @@
    its own key, so that neither a colliding word nor a pattern of words makes different windows equal.
 3. The words of the repeated windows go.
 
-Before each exchange a task settles what it can see itself: material that repeats within the task is known to
-repeat and sends one row, however often it occurs.  So a hot passage sends one row per task, not per document.
+Before each exchange a task settles what it can see itself: material that repeats within HELD rows of it is known to
+repeat and sends one row of these, however often it occurs.  So a hot passage sends a row for every HELD rows, not for
+every document, and these few meet in one task.
 """
 
 from __future__ import annotations
@@ -257,7 +258,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", window: int = WINDOW) -> DataFrame:
     """docs without their repeated windows: texts that lose words become the others joined by one space, texts
-    that lose none stay as they are, and a text that loses every word goes with its row."""
+    that lose none stay as they are, and a text that loses every word goes with its row.
+
+    Defined cases: null, empty and wordless texts stay; repeated rows repeat each other, so their windows go from all
+    of them; null ids are ordinary values; chars_col, if there is one, is made to fit the new text (null for a null
+    text); an empty table gives no rows; all columns come back, whatever their names.  Memory for long texts as in
+    dedup_substrings."""
     out = dedup_substrings(docs, id_col, text_col, window, row=True)
     out = out.filter("n_removed < n_words or n_words = 0")
     column = lambda c: F.col("row").getField(c)
