@@ -63,16 +63,26 @@ def _finding(position: Column, char: Column, before: Column, after: Column) -> C
 
 
 def _sparse(text: Column) -> Column:
-    """From the stretches between findings: the lengths up to each give its place."""
-
-    def placed(between: Column) -> Column:
-        def at(char: Column, i: Column) -> Column:
-            place = F.aggregate(F.slice(between, F.lit(1), i + 1), i, lambda s, n: s + n)
-            return _let(place, lambda p: _finding(p, char, F.substring(text, F.greatest(p - CONTEXT, F.lit(0)) + 1, F.least(p, F.lit(CONTEXT))), F.substring(text, p + 2, F.lit(CONTEXT))))
-
-        return F.transform(hidden_characters(text), at)
-
-    return _let(F.transform(F.split(text, cp.QUICK_FLAGGED, -1), F.length), placed)
+    """From the stretches between findings: their lengths, added up once, place each finding, and their ends, woven with
+    the flagged characters, hold its context, so no finding looks at the text from its beginning again."""
+    none = F.array().cast("array<int>")
+    add = lambda a, n: F.concat(a, F.array(F.when(F.size(a) > 0, F.get(a, F.size(a) - 1) + 1 + n).otherwise(n)))
+
+    def placed(between: Column, chars: Column) -> Column:
+        def woven(end: Callable[[Column, Column], Column]) -> Column:
+            return F.flatten(F.zip_with(between, chars, lambda s, c: F.array(end(s, F.lit(CONTEXT)), F.coalesce(c, F.lit("")))))
+
+        def at(places: Column, befores: Column, afters: Column) -> Column:
+            # finding i is item 2 * i + 2 of the woven ones; the CONTEXT findings and stretches beside it reach far enough
+            first = lambda i: F.greatest(2 * i + 1 - 2 * CONTEXT, F.lit(1))
+            before = lambda i: F.right(F.array_join(F.slice(befores, first(i), 2 * i + 2 - first(i)), ""), F.lit(CONTEXT))
+            after = lambda i: F.left(F.array_join(F.slice(afters, 2 * i + 3, F.lit(2 * CONTEXT + 1)), ""), F.lit(CONTEXT))
+            return F.transform(chars, lambda c, i: _finding(F.get(places, i), c, before(i), after(i)))
+
+        places = F.aggregate(F.transform(between, F.length), none, add)
+        return _let(places, lambda p: _let(woven(F.right), lambda b: _let(woven(F.left), lambda a: at(p, b, a))))
+
+    return _let(F.split(text, cp.QUICK_FLAGGED, -1), lambda between: _let(hidden_characters(text), lambda chars: placed(between, chars)))
 
 
 def _dense(text: Column) -> Column:
