@@ -197,7 +197,7 @@ def phrase_buckets(df: DataFrame) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(1 << 20, size // BUCKET_BYTES))
+    return max(16, min(1 << 24, size // BUCKET_BYTES))
 
 
 def scored_repetition(counts: DataFrame, size: int = 3) -> DataFrame:
