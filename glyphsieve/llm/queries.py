@@ -62,7 +62,7 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.co_train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return out.select(F.col("id").alias("doc_id"), "p_text", "p_meta", "score", (F.col("score") >= 0.5).alias("keep"))
+    return out.select(F.col("id").alias("doc_id"), "p_text", "p_meta", "score", (F.col("score") >= 0.5).alias("keep"), F.when(F.col("held_out"), "held out").otherwise("open to the fit").alias("label_use"))
 
 
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

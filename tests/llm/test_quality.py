@@ -9,13 +9,12 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_held_out_accuracy(spark):
-    """On labels that no step has seen; held_out says which these are."""
+    """On labels that no step has seen; label_use says which these are."""
     sf = "/root/testdata/sf0.1"
-    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
-    got = {r.id: r for r in quality.co_train(table("documents"), table("labels")).collect()}
+    got = {r.doc_id: r for r in op5_quality(spark, sf).collect()}
     labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
-    unseen = [(got[r.doc_id].score, r.quality > 0) for r in labels if got[r.doc_id].held_out]
+    unseen = [(got[r.doc_id].score, r.quality > 0) for r in labels if got[r.doc_id].label_use == "held out"]
     assert 250 < len(unseen) < 0.15 * len(labels)
     assert sum((s >= 0.5) == y for s, y in unseen) >= 0.95 * len(unseen)
     assert all(0 <= x <= 1 for g in got.values() for x in (g.p_text, g.p_meta, g.score))
