@@ -47,11 +47,11 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
 
 
-def distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Places of one of each of the keys."""
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # two phrases of one a
-        by = np.lexsort((b, a))
-        order, a, b = order[by], a[by], b[by]
-    return order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]]
+def distinct(a: np.ndarray, b: np.ndarray, owner: np.ndarray | None = None) -> np.ndarray:
+    """Places of one of each of the keys, of each owner if there are any."""
+    order = np.argsort(a, kind="stable") if owner is None else np.lexsort((a, owner))
+    a, b, owner = a[order], b[order], a[order] if owner is None else owner[order]
+    if ((a[1:] == a[:-1]) & (owner[1:] == owner[:-1]) & (b[1:] != b[:-1])).any():  # two phrases of one a
+        by = np.lexsort((b, a, owner))
+        order, a, b, owner = order[by], a[by], b[by], owner[by]
+    return order[np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (owner[1:] != owner[:-1]))[: len(a)]]

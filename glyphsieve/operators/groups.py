@@ -147,6 +147,8 @@ def variation(moments: DataFrame) -> DataFrame:
     return out.drop("s1", "s2", "__x").withColumnRenamed("n", "sentences")
 
 
+#: Bytes of packed phrases that are sorted at once, if no bucket of a group is larger.
+HELD_BYTES = 32 << 20
 #: A bucket of phrases holds what so many bytes of the table have of them.
 BUCKET_BYTES = 32 << 20
 
@@ -182,22 +184,53 @@ def repetition(texts: DataFrame, by: list[str], buckets: int, size: int = 3) ->
 
     met = T.StructType([*keys, T.StructField("phrases", T.LongType()), T.StructField("distinct_phrases", T.LongType())])
 
-    def counted(found: pd.DataFrame) -> pd.DataFrame:
-        a, b = (np.concatenate(x) for x in zip(*map(phrases.unpack, found["packed"])))
-        out = found.iloc[:1][by].copy()
-        return out.assign(phrases=int(found["n"].sum()), distinct_phrases=len(phrases.distinct(a, b)))
-
-    parts = rows.mapInArrow(run, sent).groupBy(*by, "bucket").applyInPandas(counted, met)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come in order of group and bucket: all but the last, which may go on, are settled as soon as they fill up."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) > HELD_BYTES:
+                table = pa.Table.from_batches(held)
+                open_ = int(_starts(table, len(by) + 1)[-1])
+                held = table.slice(open_).combine_chunks().to_batches()
+                if open_:
+                    yield settled(table.slice(0, open_))
+        if held and (table := pa.Table.from_batches(held)).num_rows:
+            yield settled(table)
+
+    def settled(table: pa.Table) -> pa.RecordBatch:
+        first = _starts(table, len(by) + 1)
+        packed = [phrases.unpack(x.as_py()) for x in table["packed"]]
+        owner = np.repeat(np.repeat(np.arange(len(first)), np.diff(np.append(first, table.num_rows))), [len(a) for a, _ in packed])
+        a, b = (np.concatenate(x) for x in zip(*packed))
+        n = np.bincount(owner[phrases.distinct(a, b, owner)], minlength=len(first))
+        keys = [table[k].combine_chunks().take(pa.array(first)) for k in by]
+        keys = [k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in keys]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(np.add.reduceat(table["n"].to_numpy(), first)), pa.array(n)], names=met.names)
+
+    parts = rows.mapInArrow(run, sent)
+    parts = parts.repartition(*by, "bucket").sortWithinPartitions(*by, "bucket").mapInArrow(counted, met)
     return parts.groupBy(*by).agg(F.sum("phrases").alias("phrases"), F.sum("distinct_phrases").alias("distinct_phrases"))
 
 
+def _starts(table: pa.Table, keys: int) -> np.ndarray:
+    """The rows at which the first columns change."""
+    new = np.zeros(table.num_rows, bool)
+    new[0] = True
+    for i in range(keys):
+        value = table.column(i).combine_chunks().dictionary_encode(null_encoding="encode")
+        code = (pa.concat_arrays([c.indices for c in value.chunks]) if isinstance(value, pa.ChunkedArray) else value.indices).to_numpy()
+        new[1:] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
 def phrase_buckets(df: DataFrame) -> int:
     """By the size of the table as its source tells it, which costs no pass; a source that can't tell gets four for
     every shuffle partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= 1 << 60:
         return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, min(1 << 24, size // BUCKET_BYTES))
+    return max(4, min(1 << 24, size // BUCKET_BYTES))
 
 
 def scored_repetition(counts: DataFrame, size: int = 3) -> DataFrame:

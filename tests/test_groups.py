@@ -6,9 +6,11 @@ import statistics
 from collections import Counter
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glyphsieve.functions import phrases
 from glyphsieve.operators import groups, stylometry
 
 WORD, WHITE = re.compile("[a-z0-9']+"), re.compile(r"\s+")
@@ -151,3 +153,22 @@ def test_bits_by_row_stay_apart(spark):
     got = [r.b for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(1).sortWithinPartitions("i").select(stylometry.bigram_bits(F.col("t")).alias("b")).collect()]
     want = [None if t is None or len(t) < 2 else bits(Counter(t.lower()[i : i + 2] for i in range(len(t) - 1))) for t in texts]
     assert [x is None for x in got] == [x is None for x in want] and all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got, want) if b is not None)
+
+
+@pytest.mark.parametrize("held", [1, 300, 1 << 25])
+def test_many_groups_and_buckets_settle_as_they_come(spark, monkeypatch, held):
+    monkeypatch.setattr(groups, "HELD_BYTES", held)
+    monkeypatch.setattr(groups, "PHRASE_BYTES", 200)
+    rows = [(i % 37 if i % 5 else None, f"a b c d{i % 3} e f g h{i % 4}") for i in range(400)]
+    got = {r.g: (r.phrases, r.distinct_phrases) for r in groups.phrase_repetition(spark.createDataFrame(rows, "g int, text string").repartition(3), ["g"], size=2).collect()}
+    want = {}
+    for g, t in rows:
+        w = t.split()
+        want.setdefault(g, []).extend(zip(w, w[1:]))
+    assert got == {g: (len(p), len(set(p))) for g, p in want.items()}
+
+
+def test_keys_that_agree_in_part_are_told_apart():
+    a, b, owner = np.array([5, 5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1, 1], np.uint32), np.array([0, 0, 0, 1, 1])
+    assert len(phrases.distinct(a, b)) == 3 and sorted(phrases.distinct(a, b, owner)) == [0, 1, 3, 4]
+    assert len(phrases.distinct(a[:0], b[:0])) == 0
