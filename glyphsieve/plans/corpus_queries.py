@@ -174,6 +174,16 @@ def stream_admission(spark, sf_dir):
     return newest.select(F.col("client").alias("user_id"), F.unix_seconds("window_start").alias("window_start"), "x.*")
 
 
+@query("stream_admission_totals", f"WITH {_WINDOWED_SQL} {_TOTALS_SQL} FROM r GROUP BY user_id, window_start")
+def stream_admission_totals(spark, sf_dir):
+    """Totals alone over the same stream, from Spark's own state."""
+    at = Scratch(spark, "admission").root
+    rows = admission_stream.totals(_stream(spark, sf_dir, "events"), rate=_RATE, late="31 days")
+    batches.run(rows, lambda b: b, {"totals": F.lit(True)}, at, f"{at}/state", "update").awaitTermination()
+    newest = batches.read(spark, at, "totals").groupBy("client", "window_start").agg(F.max(F.struct("requests", "admitted", "refused")).alias("x"))
+    return newest.select(F.col("client").alias("user_id"), F.unix_seconds("window_start").alias("window_start"), "x.*")
+
+
 # -- streams and counters -------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,9 @@
 """Admission over a stream of requests: keyed state in event time, agreeing with operators.admission.
 
-The state of a client and window is a count and the first limit requests so far, by time and id: bounded, whatever
-arrives, and the same in whatever order it arrives.  A window's state is dropped once the watermark has passed its end.
+totals() counts in Spark's own state.  admissions() also knows the last request that a full window took: its state of a
+client and window is a count and the first limit requests so far, by time and id, kept by Python at some milliseconds for
+each client and window of a batch.  Both are bounded, whatever arrives, and the same in whatever order it arrives; a
+window's state is dropped once the watermark has passed its end.
 """
 
 from __future__ import annotations
@@ -19,6 +21,16 @@ from ..operators.admission import Rate
 _STATE = "requests long, ts array<long>, ids array<long>"
 
 
+def totals(stream: DataFrame, client: str = "user_id", ts: str = "ts", rate: Rate = Rate(), late: str = "1 hour") -> DataFrame:
+    """client, window_start, requests, admitted, refused, for update or append mode: operators.admission.totals so far.
+    Requests behind the watermark (late after the newest) are dropped, as are those from before 1970, where Spark's
+    watermark begins, and those without client or ts."""
+    rows = stream.select(F.col(f"`{client}`").alias("client"), F.col(f"`{ts}`").cast("timestamp").alias("ts")).filter("client IS NOT NULL AND ts IS NOT NULL")
+    counts = rows.withWatermark("ts", late).groupBy("client", F.window("ts", f"{rate.seconds} seconds").alias("w")).agg(F.count("*").alias("requests"))
+    admitted = F.least("requests", F.lit(rate.limit).cast("long"))
+    return counts.select("client", F.col("w.start").alias("window_start"), "requests", admitted.alias("admitted"), (F.col("requests") - admitted).alias("refused"))
+
+
 def admissions(stream: DataFrame, client: str = "user_id", ts: str = "ts", id_col: str = "event_id", rate: Rate = Rate(), late: str = "1 hour") -> DataFrame:
     """client, window_start, requests, admitted, refused, last_ts, last_id, in update mode: a row whenever a batch brought
     requests of a client and window, with the totals so far; last_... is the last request that a full window took.

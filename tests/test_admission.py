@@ -103,6 +103,19 @@ def test_stream_and_batch_agree_in_any_order_of_arrival(spark, tmp_path):
     assert {k: v[:3] for k, v in newest.items()} == want and {k: v[3] for k, v in newest.items() if v[3] is not None} == last
 
 
+@pytest.mark.parametrize("seconds_", [7, 60, 3600])
+def test_totals_of_a_stream_agree_too(spark, tmp_path, seconds_):
+    rate, rows = Rate(4, seconds_), [*requests(400, 9, 300, 6), (900, None, T0), (901, 3, None)]
+    folder(spark, tmp_path, rows, 3)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    batches.run(stream_admission.totals(stream, rate=rate, late="1 hour"), lambda b: b, {"all": F.lit(True)}, f"{tmp_path}/out", f"{tmp_path}/state", "update").awaitTermination()
+    newest = {}
+    for r in batches.read(spark, f"{tmp_path}/out", "all").collect():
+        key = (r.client, seconds(r.window_start))
+        newest[key] = max(newest.get(key, (0,)), (r.requests, r.admitted, r.refused))
+    assert newest == {(r.client, seconds(r.window_start)): (r.requests, r.admitted, r.refused) for r in admission.totals(table(spark, rows), rate=rate).collect()}
+
+
 def test_closed_windows_leave_the_state(spark, tmp_path):
     rate = Rate(2, 10)
     (tmp_path / "in").mkdir()
