@@ -132,3 +132,20 @@ def test_closed_windows_leave_the_state(spark, tmp_path):
     table(spark, [(99, 0, T0)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     batches.run(stream_admission.admissions(stream, rate=rate, late="5 seconds"), lambda b: b, {"all": F.lit(True)}, f"{tmp_path}/out", f"{tmp_path}/state", "update").awaitTermination()
     assert batches.read(spark, f"{tmp_path}/out", "all").filter("window_start < '2024-01-01 00:01:00' AND requests > 2").count() == 0
+
+
+def test_state_rows_are_slots_and_not_clients(spark, tmp_path):
+    rate, rows = Rate(2, 60), requests(900, 400, 100, 8)
+    folder(spark, tmp_path, rows, 3)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("user", F.concat(F.lit("u"), "user_id"))
+    out = stream_admission.admissions(stream, client="user", rate=rate)
+    run = batches.run(out, lambda b: b, {"all": F.lit(True)}, f"{tmp_path}/out", f"{tmp_path}/state", "update")
+    run.awaitTermination()
+    assert run.lastProgress.stateOperators[0].numRowsTotal <= 2 * stream_admission.SLOTS
+    newest = {}
+    for r in batches.read(spark, f"{tmp_path}/out", "all").collect():
+        key = (r.client, seconds(r.window_start))
+        newest[key] = max(newest.get(key, (0,)), (r.requests, r.admitted, r.refused, r.last_id or -1))
+    last = {(f"u{r.client}", r.window): r["last"].id for r in admission.last_admitted(table(spark, rows), rate=rate).collect()}
+    want = {(f"u{r.client}", seconds(r.window_start)): (r.requests, r.admitted, r.refused) for r in admission.totals(table(spark, rows), rate=rate).collect()}
+    assert newest == {k: (*v, last.get(k, -1)) for k, v in want.items()}
