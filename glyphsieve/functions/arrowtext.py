@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text handled at once; one longer text is a piece of its own.
@@ -61,6 +62,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
     give_back()
 
 
+def runs(sizes: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most limit bytes in all, or one larger row."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + limit, "right")))
+        yield i, j
+        i = j
+
+
+def byte_sizes(col: pa.Array) -> np.ndarray:
+    """The bytes of each value of a string or binary column, 0 for null."""
+    return pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): byte ranges of all words; text i has the words first[i]..first[i+1]."""
     if not len(data):

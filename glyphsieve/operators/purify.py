@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import codepoints as cp
+from ..functions.arrowtext import byte_sizes, give_back, runs
 from .scan import counts_map
 
 FORMS = ("none", "NFC", "NFKC")
@@ -38,10 +41,22 @@ def strip(text: Column, options: PurifyOptions = PurifyOptions()) -> Column:
     return F.regexp_replace(text, cp.quick_class(*options.categories), "")
 
 
-def _normaliser(form: str):
-    @F.pandas_udf(T.StringType())
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize(form, t))
+#: Bytes of text that are held as strings at once; one longer text is a piece of its own.
+PIECE_BYTES = 1 << 20
+
+
+def normalised(texts: pa.Array, form: str) -> Iterator[pa.Array]:
+    """A batch of texts in that form, a bounded piece of it at a time."""
+    for i, j in runs(byte_sizes(texts), PIECE_BYTES):
+        yield pa.array((t if t is None or t.isascii() else unicodedata.normalize(form, t) for t in texts[i:j].to_pylist()), pa.string())
+
+
+def _normaliser(form: str) -> Callable[..., Column]:
+    @F.arrow_udf(T.StringType())
+    def normal(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from normalised(texts, form)
+        give_back()
 
     return normal
 

@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from glyphsieve.functions.codepoints import CATEGORIES
+from glyphsieve.operators import purify as purify_module
 from glyphsieve.operators.purify import PurifyOptions, purify
 
 from . import model
@@ -61,3 +62,12 @@ def test_null_and_bad_form(spark):
     assert r.purified_text is None and r.removed_count is None and r.removed_by_category is None and r.original_length is None
     with pytest.raises(ValueError):
         PurifyOptions(form="NFD")
+
+
+def test_batches_are_normalised_in_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(purify_module, "PIECE_BYTES", 100)
+    texts = [f"ﬁ{i}" * 5 for i in range(40)] + [None, "", "ﬁ" * 200]
+    got = list(purify_module.normalised(pa.array(texts), "NFKC"))
+    assert max(map(len, got)) <= 6 and [x for part in got for x in part.to_pylist()] == [t and t.replace("ﬁ", "fi") for t in texts]
