@@ -8,10 +8,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrowtext import byte_sizes, give_back, runs
+
 #: (way, where, code points) by the remainder of the id modulo RULES.
 RULES = 12
 _RULES = {
@@ -117,9 +119,12 @@ def as_packed_files(df: DataFrame, key: str, text: str, ext: str, simple_every:
         simple = simple_every and k % simple_every and all(c == "\n" or " " <= c <= "~" or "\xa0" <= c <= "\xff" for c in t)
         return pdf_bytes([t.split("\n")], not simple)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [docx_bytes(t.split("\n")) if ext == "docx" else pdf(k, t) for k, t in zip(b["k"], b["t"])]
-            yield pd.DataFrame({"path": [f"in/{k}.{ext}" for k in b["k"]], "length": [len(x) for x in made], "content": made})
+            for i, j in runs(byte_sizes(b.column("t"))):
+                keys = b.column("k")[i:j].to_pylist()
+                made = [docx_bytes(t.split("\n")) if ext == "docx" else pdf(k, t) for k, t in zip(keys, b.column("t")[i:j].to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([f"in/{k}.{ext}" for k in keys]), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], names=["path", "length", "content"])
+        give_back()
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(pack, "path string, length bigint, content binary")
+    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(pack, "path string, length bigint, content binary")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+from typing import Iterator, Tuple
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.arrowtext import byte_sizes, give_back, runs
 from ..operators.validate import TOO_LARGE, TOO_LONG
 from ..settings import Settings
 from .docx import CorruptFile, TooLarge, docx_text
@@ -57,20 +61,34 @@ def _read(kind: str, content: bytes, most: int) -> tuple[str | None, list[str],
 _PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("warnings", T.ArrayType(T.StringType())), T.StructField("error_code", T.StringType()), T.StructField("error_detail", T.StringType())])
 
 
-def _parser(most: int):
-    @F.pandas_udf(_PARSED)
-    def parse(kinds: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        found = [(None, [], None, None) if c is None else _read(k, bytes(c), most) for k, c in zip(kinds, contents)]
-        return pd.DataFrame(found, columns=["text", "warnings", "error_code", "error_detail"])
+_ARROW = pa.struct([("text", pa.string()), ("warnings", pa.list_(pa.string())), ("error_code", pa.string()), ("error_detail", pa.string())])
+#: Bytes of files whose texts are held before they are handed on; one larger file is a piece of its own.
+PIECE_BYTES = 4 << 20
+
+
+def parsed(kinds: pa.Array, contents: pa.Array, most: int) -> Iterator[pa.Array]:
+    """What is read of a batch of files, a bounded piece of it at a time, file by file."""
+    for i, j in runs(byte_sizes(contents), PIECE_BYTES):
+        found = ((None, [], None, None) if not c.is_valid else _read(k.as_py(), c.as_py(), most) for k, c in zip(kinds[i:j], contents[i:j]))
+        yield pa.array([dict(zip(_PARSED.names, x)) for x in found], _ARROW)
+
+
+def _parser(most: int) -> Callable[..., Column]:
+    @F.arrow_udf(_PARSED)
+    def parse(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for kinds, contents in batches:
+            yield from parsed(kinds, contents, most)
+        give_back()
 
     return parse
 
 
-def extract(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def extract(files: DataFrame, settings: Settings = Settings(), held: bool = False) -> DataFrame:
     """path, length, content -> path, source_type, text, character_count, warnings, error_code, error_detail.
 
     Files are refused before their content is read: TOO_LARGE by length, a filter that the source takes over, and
     UNSUPPORTED by name.  TOO_LARGE are also docx and pdf files that unpack to more than the settings allow.  The others are read once; only the content of docx and pdf files goes to Python.
+    held: the rows hold their content already, as those of a table do, and it is not to be made twice: one pass.
     """
     kinds = F.create_map(*[F.lit(x) for pair in SUPPORTED.items() for x in pair])
     ext = extension(F.col("path"))
@@ -80,7 +98,10 @@ def extract(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     none = F.lit(None).cast("string")
 
     refused = files.filter(large).select("path", kind.alias("source_type"), none.alias("text"), empty.alias("warnings"), F.when(kind.isNull(), UNSUPPORTED).otherwise(TOO_LARGE).alias("error_code"), F.when(kind.isNull(), hint).alias("error_detail"))
-    rows = files.filter(F.col("length") <= settings.max_upload_bytes).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), "content")
+    if held:
+        rows = files.filter(F.col("length").isNotNull()).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), F.when(~large, F.col("content")).alias("content"), large.alias("large"))
+    else:
+        rows = files.filter(F.col("length") <= settings.max_upload_bytes).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), "content", F.lit(False).alias("large"))
     packed = F.col("source_type").isin("docx", "pdf")
     rows = rows.withColumn("p", _parser(settings.max_unpacked_bytes)(F.col("source_type"), F.when(packed, F.col("content"))))
     plain = F.col("source_type").isin("txt", "html")
@@ -89,11 +110,11 @@ def extract(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "path",
         "source_type",
         F.when(plain, decode(F.col("content"))).otherwise(F.col("p.text")).alias("text"),
-        F.when(plain & strict.isNull(), F.array(F.lit(LATIN))).otherwise(F.coalesce("p.warnings", empty)).alias("warnings"),
-        F.when(F.col("source_type").isNull(), UNSUPPORTED).otherwise(F.col("p.error_code")).alias("error_code"),
+        F.when(plain & strict.isNull() & ~F.col("large"), F.array(F.lit(LATIN))).otherwise(F.coalesce("p.warnings", empty)).alias("warnings"),
+        F.when(F.col("source_type").isNull(), UNSUPPORTED).when(F.col("large"), TOO_LARGE).otherwise(F.col("p.error_code")).alias("error_code"),
         F.coalesce("hint", "p.error_detail").alias("error_detail"),
     )
-    out = read.unionByName(refused)
+    out = read if held else read.unionByName(refused)
     long_ = F.length("text") > settings.max_text_length
     return out.select(
         "path",

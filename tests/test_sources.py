@@ -169,3 +169,36 @@ def test_names_from_disk(spark, tmp_path):
     (tmp_path / "x.html").write_bytes("<b>a\u200b\xa0</b>".encode())
     rows = analyze.extract_and_analyze(spark, str(tmp_path)).collect()
     assert sorted((r.source_type, r.hidden_character_count) for r in rows) == [("html", 2), ("txt", 2)]
+
+
+@pytest.mark.parametrize("kind", ["pdf", "docx"])
+def test_batches_of_files_are_worked_on_in_bounded_pieces(kind, monkeypatch):
+    import pyarrow as pa
+
+    made = [pdf_bytes([["some line " * 40]]) if kind == "pdf" else docx_bytes(["some line " * 40])] * 50
+    monkeypatch.setattr(files, "PIECE_BYTES", 3 * len(made[0]))
+    got = list(files.parsed(pa.array([kind] * 51), pa.array([*made, None], pa.binary()), 1 << 20))
+    assert max(map(len, got)) <= 4 and sum(map(len, got)) == 51
+    assert [x["text"] for part in got for x in part.to_pylist()] == ["some line " * 40] * 50 + [None]
+
+
+def test_files_that_rows_hold_are_made_once_and_give_the_same(spark):
+    made, one = spark.sparkContext.accumulator(0), b"x" * 2_000_000
+    rows = [("a.txt", 5, b"plain"), ("b.pdf", 9, pdf_bytes([["x"]])), ("big.txt", 2_000_000, one), ("big.pdf", 2_000_000, one), ("big.doc", 2_000_000, one), ("latin.txt", 1, b"\xe9"), ("none.txt", None, b"x"), ("a.doc", 1, b"x")]
+
+    def count(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "path string, length long, content binary").mapInPandas(count, "path string, length long, content binary")
+    told = lambda held: sorted(map(str, files.extract(df, Settings(max_upload_size_mb=1), held=held).collect()))
+    want, before = told(False), made.value
+    assert told(True) == want and len(want) == 7
+    assert made.value - before == len(rows)
+
+
+def test_heads_of_objects_however_far_apart():
+    for gap in (b" ", b"\n" * 3000):
+        assert pdf._head(b"x 12" + gap + b"7" + gap, len(b"x 12" + gap + b"7" + gap)) == (12, 7)
+    assert pdf._head(b"9" * 100 + b" 0 ", 103) == (int("9" * 100), 0) and pdf._head(b"endobj ", 7) is None
