@@ -67,3 +67,17 @@ def test_rounding_is_pythons(spark, many):
 def test_words_differ_from_counted_words(spark):
     r = spark.createDataFrame([("\u212a \u0130x",)], "t string").select(F.size(stylometry.words(F.col("t"))), stylometry.word_count(F.col("t"))).first()
     assert tuple(r) == (3, 1)
+
+
+def test_words_phrases_and_pairs_take_one_bounded_pass(spark, monkeypatch):
+    import pyarrow as pa
+
+    from glyphsieve.operators import stylometry as style
+
+    df = spark.createDataFrame([("a b c " * 9,)], "text string")
+    plan = style.stylometry(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp_extract_all(lower" not in plan and "sort_array" not in plan
+    monkeypatch.setattr(style, "PIECE_BYTES", 200)
+    got = list(style._pieces(iter([pa.array(["a b c " * 9, None, "x" * 500] * 20)])))
+    assert max(map(len, got)) <= 5 and sum(map(len, got)) == 60
+    assert [x["triples"] for part in got for x in part.to_pylist()] == [3, 0, 0] * 20
