@@ -117,7 +117,7 @@ _SOME = "position % 2 = 0"
 def replay_ledger(spark, sf_dir):
     """A stored ledger of half of the findings, taken out again by position."""
     docs = _injected(spark, sf_dir)
-    ledger = Scratch(spark, "ledger").write(scan.ledger(docs, ["doc_id"]).filter(_SOME).select("doc_id", "position", "codepoint", "category"), "findings")
+    ledger = Scratch(spark, "ledger").write(scan.ledger(docs, ["doc_id"], context=False).filter(_SOME).select("doc_id", "position", "codepoint", "category"), "findings")
     out = replay.replay(docs, ledger, ["doc_id"], options=_KEEP_BIDI)
     zero = F.coalesce(F.element_at("removed_by_category", F.lit("zero_width")), F.lit(0).cast("long")).alias("removed_zero_width")
     return out.select("doc_id", "original_length", "purified_length", "removed_count", "stale_count", zero, F.md5(F.col("purified_text").cast("binary")).alias("purified"))
@@ -132,7 +132,7 @@ def replay_ledger(spark, sf_dir):
 def scan_dimension(spark, sf_dir):
     """Findings under the names of a supplied table, which lacks a third of the code points."""
     names = cp.dimension(spark).filter(F.conv(F.substring("codepoint", 3, 8), 16, 10).cast("long") % 3 != 0).select("codepoint", F.col("name").alias("label"))
-    found = scan.ledger(_injected(spark, sf_dir), ["doc_id"]).select("doc_id", "position", "codepoint")
+    found = scan.ledger(_injected(spark, sf_dir), ["doc_id"], context=False).select("doc_id", "position", "codepoint")
     return scan.described(found, names)
 
 

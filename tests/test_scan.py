@@ -77,3 +77,15 @@ def test_counts_ledger_and_inspection(spark):
     assert {r.category: r.n for r in scan.category_totals(df, []).collect()} == {"zero_width": 3, "unicode_space": 1}
     shown = [r[0] for r in df.select("id", scan.inspection(F.col("text")).alias("s")).orderBy("id").select("s").collect()]
     assert shown == ["a⟦U+200B⟧b⟦U+200B⟧⟦U+00A0⟧", "none", None, "\U0001f600⟦U+200B⟧"]
+
+
+def test_ledger_looks_up_only_what_is_asked_for(spark):
+    rows = [(1, "a​b"), (2, "‮x" * 100), (3, None), (4, "plain"), (5, "\xa0" * 64), (6, "\xa0" * 65)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    by_row = df.select("id", scan.F.inline(scan.findings(scan.F.col("text"))))
+    told = lambda d: sorted(map(str, d.collect()))
+    assert told(scan.ledger(df, ["id"])) == told(by_row) and scan.ledger(df, ["id"]).columns == by_row.columns
+    assert told(scan.ledger(df, ["id"], context=False)) == told(by_row.drop("context_before", "context_after"))
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert "ZERO WIDTH" not in plan(scan.ledger(df, ["id"]).select("id", "position", "context_after"))
+    assert "array_join" not in plan(scan.ledger(df, ["id"], context=False).select("id", "position"))
