@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import phrases
+from ..functions.arrowtext import give_back
 from ..functions.arrowtext import pieces as text_pieces
 from ..functions.numbers import round3
 from ..functions.pairs import pair_counts, pieces
@@ -148,7 +149,7 @@ def variation(moments: DataFrame) -> DataFrame:
 
 
 #: Bytes of packed phrases that are sorted at once, if no bucket of a group is larger.
-HELD_BYTES = 32 << 20
+HELD_BYTES = 8 << 20
 #: A bucket of phrases holds what so many bytes of the table have of them.
 BUCKET_BYTES = 32 << 20
 
@@ -197,6 +198,7 @@ def repetition(texts: DataFrame, by: list[str], buckets: int, size: int = 3) ->
                     yield settled(table.slice(0, open_))
         if held and (table := pa.Table.from_batches(held)).num_rows:
             yield settled(table)
+        give_back()
 
     def settled(table: pa.Table) -> pa.RecordBatch:
         first = _starts(table, len(by) + 1)
