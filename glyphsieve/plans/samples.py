@@ -5,15 +5,13 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrowtext import byte_sizes, give_back, runs
-
 #: (way, where, code points) by the remainder of the id modulo RULES.
 RULES = 12
 _RULES = {
@@ -111,20 +109,24 @@ def pdf_bytes(pages: list[list[str] | None], unicode_map: bool = True) -> bytes:
     return body + b"trailer << /Size %d /Root %d 0 R >>\n%%%%EOF" % (len(objects) + 1, catalog)
 
 
-def as_packed_files(df: DataFrame, key: str, text: str, ext: str, simple_every: int = 0) -> DataFrame:
-    """path, length and content of docx or pdf files, a paragraph or line of text for each line; of pdf files all but
-    every so many have a simple font without a Unicode map, where their text is printable Latin-1."""
+def packer(ext: str, simple_every: int = 0) -> Callable[[pa.Array, pa.Array], pa.Array]:
+    """What makes the content of docx or pdf files of keys and texts, null for null: a paragraph or line of text for
+    each line; of pdf files all but every so many have a simple font without a Unicode map, where their text is
+    printable Latin-1."""
 
-    def pdf(k: int, t: str) -> bytes:
+    def one(k: int, t: str) -> bytes:
+        if ext == "docx":
+            return docx_bytes(t.split("\n"))
         simple = simple_every and k % simple_every and all(c == "\n" or " " <= c <= "~" or "\xa0" <= c <= "\xff" for c in t)
         return pdf_bytes([t.split("\n")], not simple)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j in runs(byte_sizes(b.column("t"))):
-                keys = b.column("k")[i:j].to_pylist()
-                made = [docx_bytes(t.split("\n")) if ext == "docx" else pdf(k, t) for k, t in zip(keys, b.column("t")[i:j].to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array([f"in/{k}.{ext}" for k in keys]), pa.array(map(len, made), pa.int64()), pa.array(made, pa.binary())], names=["path", "length", "content"])
-        give_back()
+    def make(keys: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else one(k, t) for k, t in zip(keys.to_pylist(), texts.to_pylist())], pa.binary())
+
+    return make
+
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(pack, "path string, length bigint, content binary")
+def as_packed_files(df: DataFrame, key: str, text: str, ext: str) -> DataFrame:
+    """The paths of docx or pdf files, with the key and text that a packer makes them of."""
+    path = F.concat(F.lit("in/"), F.col(key).cast("string"), F.lit(f".{ext}"))
+    return df.select(path.alias("path"), F.col(key).alias("k"), F.col(text).alias("t"))

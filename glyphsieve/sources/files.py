@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Iterator, Tuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +50,12 @@ def _read(kind: str, content: bytes, most: int) -> tuple[str | None, list[str],
         if kind == "docx":
             text = docx_text(content, most)
             return text, [] if text.strip() else [NO_TEXT], None, None
-        return *pdf_text(content, most), None, None
+        if kind == "pdf":
+            return *pdf_text(content, most), None, None
+        try:
+            return content.decode(), [], None, None
+        except UnicodeDecodeError:
+            return content.decode("latin-1"), [LATIN], None, None
     except TooLarge as why:
         return None, [], TOO_LARGE, str(why)
     except CorruptFile as why:
@@ -62,33 +68,61 @@ _PARSED = T.StructType([T.StructField("text", T.StringType()), T.StructField("wa
 
 
 _ARROW = pa.struct([("text", pa.string()), ("warnings", pa.list_(pa.string())), ("error_code", pa.string()), ("error_detail", pa.string())])
+#: Makes contents, null for no file, of columns.
+Make = Callable[..., pa.Array]
 #: Bytes of files whose texts are held before they are handed on; one larger file is a piece of its own.
 PIECE_BYTES = 4 << 20
 
 
-def parsed(kinds: pa.Array, contents: pa.Array, most: int) -> Iterator[pa.Array]:
-    """What is read of a batch of files, a bounded piece of it at a time, file by file."""
+def parsed(kinds: pa.Array, contents: pa.Array, most: int, upload: int | None = None) -> Iterator[pa.Array]:
+    """What is read of a batch of files, a bounded piece of it at a time, file by file; upload: the most bytes of a file."""
+
+    def one(kind: str, content: bytes) -> tuple:
+        return (None, [], TOO_LARGE, None) if upload is not None and len(content) > upload else _read(kind, content, most)
+
     for i, j in runs(byte_sizes(contents), PIECE_BYTES):
-        found = ((None, [], None, None) if not c.is_valid else _read(k.as_py(), c.as_py(), most) for k, c in zip(kinds[i:j], contents[i:j]))
+        found = ((None, [], None, None) if not c.is_valid else one(k.as_py(), c.as_py()) for k, c in zip(kinds[i:j], contents[i:j]))
         yield pa.array([dict(zip(_PARSED.names, x)) for x in found], _ARROW)
 
 
+def made(kinds: pa.Array, columns: list[pa.Array], make: Make, most: int, upload: int) -> Iterator[pa.Array]:
+    """What is read of files that are made of a batch's columns, as few at a time as make up a piece."""
+    sizes = np.zeros(len(kinds), np.int64)
+    for c in columns:
+        if str(c.type).removeprefix("large_") in ("string", "binary"):
+            sizes += byte_sizes(c)
+    for i, j in runs(sizes):
+        yield from parsed(kinds[i:j], make(*(c[i:j] for c in columns)), most, upload)
+
+
 def _parser(most: int) -> Callable[..., Column]:
     @F.arrow_udf(_PARSED)
     def parse(batches: Iterator[Tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for kinds, contents in batches:
             yield from parsed(kinds, contents, most)
-        give_back()
+            give_back()
 
     return parse
 
 
-def extract(files: DataFrame, settings: Settings = Settings(), held: bool = False) -> DataFrame:
+def _maker(make: Make, most: int, upload: int) -> Callable[..., Column]:
+    @F.arrow_udf(_PARSED)
+    def read(batches: Iterator[Tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for kinds, *columns in batches:
+            yield from made(kinds, columns, make, most, upload)
+            give_back()
+
+    return read
+
+
+def extract(files: DataFrame, settings: Settings = Settings(), held: bool = False, make: Make | None = None) -> DataFrame:
     """path, length, content -> path, source_type, text, character_count, warnings, error_code, error_detail.
 
     Files are refused before their content is read: TOO_LARGE by length, a filter that the source takes over, and
     UNSUPPORTED by name.  TOO_LARGE are also docx and pdf files that unpack to more than the settings allow.  The others are read once; only the content of docx and pdf files goes to Python.
     held: the rows hold their content already, as those of a table do, and it is not to be made twice: one pass.
+    make: makes the content of the columns beside path, which stand for length and content, in the pass that reads it
+    and a bounded piece at a time: no content is handed to Spark and back, and one Python worker does both.
     """
     kinds = F.create_map(*[F.lit(x) for pair in SUPPORTED.items() for x in pair])
     ext = extension(F.col("path"))
@@ -97,24 +131,34 @@ def extract(files: DataFrame, settings: Settings = Settings(), held: bool = Fals
     kind = F.element_at(kinds, ext)
     none = F.lit(None).cast("string")
 
-    refused = files.filter(large).select("path", kind.alias("source_type"), none.alias("text"), empty.alias("warnings"), F.when(kind.isNull(), UNSUPPORTED).otherwise(TOO_LARGE).alias("error_code"), F.when(kind.isNull(), hint).alias("error_detail"))
-    if held:
-        rows = files.filter(F.col("length").isNotNull()).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), F.when(~large, F.col("content")).alias("content"), large.alias("large"))
+    if make:
+        own = [c for c in files.columns if c != "path"]
+        rows = files.select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), *[F.when(kind.isNotNull(), F.col(c)).alias(c) for c in own])
+        rows = rows.withColumn("p", _maker(make, settings.max_unpacked_bytes, settings.max_upload_bytes)("source_type", *own))
+        text, warnings, code = F.col("p.text"), F.coalesce("p.warnings", empty), F.col("p.error_code")
     else:
-        rows = files.filter(F.col("length") <= settings.max_upload_bytes).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), "content", F.lit(False).alias("large"))
-    packed = F.col("source_type").isin("docx", "pdf")
-    rows = rows.withColumn("p", _parser(settings.max_unpacked_bytes)(F.col("source_type"), F.when(packed, F.col("content"))))
-    plain = F.col("source_type").isin("txt", "html")
-    strict = decode_utf8(F.col("content"))
-    read = rows.select(
+        if held:
+            rows = files.filter(F.col("length").isNotNull()).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), F.when(~large, F.col("content")).alias("content"), large.alias("large"))
+        else:
+            rows = files.filter(F.col("length") <= settings.max_upload_bytes).select("path", kind.alias("source_type"), F.when(kind.isNull(), hint).alias("hint"), "content", F.lit(False).alias("large"))
+        packed = F.col("source_type").isin("docx", "pdf")
+        rows = rows.withColumn("p", _parser(settings.max_unpacked_bytes)(F.col("source_type"), F.when(packed, F.col("content"))))
+        plain = F.col("source_type").isin("txt", "html")
+        strict = decode_utf8(F.col("content"))
+        text = F.when(plain, decode(F.col("content"))).otherwise(F.col("p.text"))
+        warnings = F.when(plain & strict.isNull() & ~F.col("large"), F.array(F.lit(LATIN))).otherwise(F.coalesce("p.warnings", empty))
+        code = F.when(F.col("large"), TOO_LARGE).otherwise(F.col("p.error_code"))
+    out = rows.select(
         "path",
         "source_type",
-        F.when(plain, decode(F.col("content"))).otherwise(F.col("p.text")).alias("text"),
-        F.when(plain & strict.isNull() & ~F.col("large"), F.array(F.lit(LATIN))).otherwise(F.coalesce("p.warnings", empty)).alias("warnings"),
-        F.when(F.col("source_type").isNull(), UNSUPPORTED).when(F.col("large"), TOO_LARGE).otherwise(F.col("p.error_code")).alias("error_code"),
+        text.alias("text"),
+        warnings.alias("warnings"),
+        F.when(F.col("source_type").isNull(), UNSUPPORTED).otherwise(code).alias("error_code"),
         F.coalesce("hint", "p.error_detail").alias("error_detail"),
     )
-    out = read if held else read.unionByName(refused)
+    if not held and not make:
+        refused = files.filter(large).select("path", kind.alias("source_type"), none.alias("text"), empty.alias("warnings"), F.when(kind.isNull(), UNSUPPORTED).otherwise(TOO_LARGE).alias("error_code"), F.when(kind.isNull(), hint).alias("error_detail"))
+        out = out.unionByName(refused)
     long_ = F.length("text") > settings.max_text_length
     return out.select(
         "path",

@@ -202,3 +202,41 @@ def test_heads_of_objects_however_far_apart():
     for gap in (b" ", b"\n" * 3000):
         assert pdf._head(b"x 12" + gap + b"7" + gap, len(b"x 12" + gap + b"7" + gap)) == (12, 7)
     assert pdf._head(b"9" * 100 + b" 0 ", 103) == (int("9" * 100), 0) and pdf._head(b"endobj ", 7) is None
+
+
+@pytest.mark.parametrize("kind", ["pdf", "docx"])
+def test_files_are_made_and_read_a_piece_at_a_time(kind):
+    import pyarrow as pa
+    from glyphsieve.functions.arrowtext import PIECE_BYTES
+    from glyphsieve.plans import samples
+
+    texts, held = ["some line " * 10_000 + str(i) for i in range(30)] + [None], []
+    make = samples.packer(kind)
+
+    def counted(keys, some):
+        held.append(sum(len(t or "") for t in some.to_pylist()))
+        return make(keys, some)
+
+    got = list(files.made(pa.array([kind] * 31), [pa.array(range(31)), pa.array(texts)], counted, 1 << 24, 1 << 24))
+    assert [x["text"] for part in got for x in part.to_pylist()] == texts
+    assert max(held) <= PIECE_BYTES and len(held) > 2
+
+
+def test_files_made_in_the_pass_that_reads_them_give_the_same(spark):
+    import pyarrow as pa
+
+    rows = [("a.txt", b"plain"), ("b.pdf", pdf_bytes([["x"]])), ("c.docx", docx_bytes(["y", "z"])), ("d.docx", b"no"), ("big.pdf", b"x" * 2_000_000), ("big.txt", b"x" * 2_000_000), ("latin.HTM", b"\xe9"), ("a.doc", b"x"), ("none", b"x"), ("empty.txt", b"")]
+    df, settings = spark.createDataFrame(rows, "path string, raw binary"), Settings(max_upload_size_mb=1)
+    want = files.extract(df.selectExpr("path", "length(raw)::bigint AS length", "raw AS content"), settings).collect()
+    got = files.extract(df, settings, make=lambda raw: raw).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == len(rows)
+    gone = files.extract(spark.createDataFrame([("e.pdf", None)], "path string, raw binary"), settings, make=lambda raw: pa.array(raw)).first()
+    assert gone.text is None and gone.error_code is None and gone.warnings == []
+
+
+@pytest.mark.parametrize("name", ["extract_pdf", "extract_pdf_fonts"])
+def test_no_content_goes_between_python_workers(spark, name):
+    from glyphsieve.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
