@@ -234,7 +234,7 @@ def test_files_made_in_the_pass_that_reads_them_give_the_same(spark):
     assert gone.text is None and gone.error_code is None and gone.warnings == []
 
 
-@pytest.mark.parametrize("name", ["extract_pdf", "extract_pdf_fonts"])
+@pytest.mark.parametrize("name", ["extract_pdf", "extract_docx", "extract_pdf_fonts"])
 def test_no_content_goes_between_python_workers(spark, name):
     from glyphsieve.plans.queries import QUERIES
 
