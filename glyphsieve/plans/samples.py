@@ -27,6 +27,8 @@ _RULES = {
     9: ("behind", "o", (0x200B, 0x0301)),
     10: ("start", None, (0x1F600, 0x200D, 0x1F600)),
 }
+#: Paragraphs of a document that are written at once.
+PARAGRAPHS = 1000
 
 
 def inject(text: Column, key: Column) -> Column:
@@ -70,11 +72,14 @@ def as_files(df: DataFrame, key: str, text: str, ext: str, latin_every: int = 0)
 def docx_bytes(paragraphs: list[str], more: dict[str, str] | None = None) -> bytes:
     """A minimal document; more: further parts by name, as XML."""
     space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
-        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {space}><w:body>{body}</w:body></w:document>')
+        with z.open("word/document.xml", "w") as f:
+            f.write(f'<?xml version="1.0" encoding="UTF-8"?><w:document {space}><w:body>'.encode())
+            for i in range(0, len(paragraphs), PARAGRAPHS):
+                f.write("".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs[i : i + PARAGRAPHS]).encode())
+            f.write(b"</w:body></w:document>")
         for name, xml in (more or {}).items():
             z.writestr(name, xml)
     return out.getvalue()

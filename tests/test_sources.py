@@ -60,6 +60,42 @@ def test_docx_parts_and_oddities():
         docx.docx_text(docx_bytes(["x" * 1000]), most=100)
 
 
+def test_docx_of_many_short_paragraphs_takes_little_more_than_its_text():
+    import tracemalloc
+
+    lines = ["", "ab", "c & d"] * 20_000
+
+    def peak(work):
+        tracemalloc.start()
+        try:
+            return work(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    content, making = peak(lambda: docx_bytes(lines))
+    text, reading = peak(lambda: docx.docx_text(content))
+    assert text == "\n".join(lines)
+    assert making < 2e6 and reading < 2e6  # as one string and as a tree of elements: 10 and 52 MB
+
+
+def test_docx_parts_are_parsed_alike_in_any_pieces(monkeypatch):
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    inside = f"<w:p><w:r>{p('in' + p('most') + 'lost')}<w:t>o<!-- x -->u<w:x>no</w:x>no</w:t>no{p('2nd')}<w:t>&amp;é<![CDATA[<]]></w:t></w:r></w:p>"
+    content = docx_bytes(["漢\u200b", ""], {"word/header1.xml": f"<w:x {W}>{inside}<w:t>no</w:t>{p('')}{p('end')}</w:x>"})
+    for n in (1, 7, 1 << 16):
+        monkeypatch.setattr(docx, "PIECE_BYTES", n)
+        assert docx.docx_text(content) == "漢\u200b\n\ninmostou2nd&é<\ninmost\nmost\n2nd\n\nend"
+
+
+def test_a_damaged_archive_is_corrupt_even_if_its_xml_breaks_first(monkeypatch):
+    monkeypatch.setattr(docx, "PIECE_BYTES", 10)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:x {W}>" + "<w:p/>" * 50 + "</w:x>")
+    with pytest.raises(docx.CorruptFile):
+        docx.docx_text(out.getvalue().replace(b"<w:p/>", b"<w:p<>", 1))
+
+
 def test_what_unpacks_to_too_much_has_a_code_of_its_own(spark):
     """No page is lost without a word, and a sound file isn't called corrupt."""
     lines = [f"line {i} of the second page" for i in range(400)]
