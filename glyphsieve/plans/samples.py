@@ -4,6 +4,7 @@ put some in, by the row's id, with one rule stated for both engines."""
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.docx import UNFIT
+
 #: (way, where, code points) by the remainder of the id modulo RULES.
 RULES = 12
 _RULES = {
@@ -29,6 +32,9 @@ _RULES = {
 }
 #: Paragraphs of a document that are written at once.
 PARAGRAPHS = 1000
+#: What does not stay as it is in XML: a carriage return is read as a line feed, and code points that XML can't hold break it.
+_AS_ELSE = {"\r": "&#13;"} | {c: f'</w:t><w:sym w:char="{code}"/><w:t xml:space="preserve">' for code, c in UNFIT.items()}
+_ELSE = re.compile("[" + "".join(map(re.escape, _AS_ELSE)) + "]")
 
 
 def inject(text: Column, key: Column) -> Column:
@@ -75,10 +81,11 @@ def docx_bytes(paragraphs: list[str], more: dict[str, str] | None = None) -> byt
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
-        with z.open("word/document.xml", "w") as f:
+        with z.open("word/document.xml", "w", force_zip64=True) as f:
             f.write(f'<?xml version="1.0" encoding="UTF-8"?><w:document {space}><w:body>'.encode())
             for i in range(0, len(paragraphs), PARAGRAPHS):
-                f.write("".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs[i : i + PARAGRAPHS]).encode())
+                said = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(p)}</w:t></w:r></w:p>' for p in paragraphs[i : i + PARAGRAPHS])
+                f.write(_ELSE.sub(lambda m: _AS_ELSE[m[0]], said).encode())
             f.write(b"</w:body></w:document>")
         for name, xml in (more or {}).items():
             z.writestr(name, xml)
@@ -132,6 +139,6 @@ def packer(ext: str, simple_every: int = 0) -> Callable[[pa.Array, pa.Array], pa
 
 
 def as_packed_files(df: DataFrame, key: str, text: str, ext: str) -> DataFrame:
-    """The paths of docx or pdf files, with the key and text that a packer makes them of."""
-    path = F.concat(F.lit("in/"), F.col(key).cast("string"), F.lit(f".{ext}"))
+    """The paths of docx or pdf files, without a number for a null key, with the key and text that a packer makes them of."""
+    path = F.concat(F.lit("in/"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f".{ext}"))
     return df.select(path.alias("path"), F.col(key).alias("k"), F.col(text).alias("t"))

@@ -60,6 +60,8 @@ def _read(kind: str, content: bytes, most: int) -> tuple[str | None, list[str],
         return None, [], TOO_LARGE, str(why)
     except CorruptFile as why:
         return None, [], CORRUPT, str(why)
+    except MemoryError:  # a fault of the machine, not of the file: the task is tried again
+        raise
     except Exception as why:
         return None, [], INTERNAL, type(why).__name__
 

@@ -276,3 +276,52 @@ def test_no_content_goes_between_python_workers(spark, name):
 
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "MapInArrow" not in plan
+
+
+UNUSUAL = ["plain", "", " ", "\n\n", "\xa0\x1c", "a\rb\r\nc\r", "".join(map(chr, range(32))), "\ufffe\uffff", "\U0001f600", "a\U0001f600\U0001f600\nb\U0010ffff", "_x0001_ <&#13;]]>", "\u200b", None]
+
+
+def against_sql(spark, name, folder, rows):
+    """Rows of a query over documents of such ids and texts, and of its SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    mine = entry.queries()[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(mine.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    return sorted(map(repr, map(tuple, mine.collect()))), sorted(map(repr, want))
+
+
+def test_extract_docx_of_unusual_texts_is_as_its_sql(spark, tmp_path):
+    rows = [(i - 6, t) for i, t in enumerate(UNUSUAL)] + [(None, "x"), (None, ""), (None, None), (3, "twice"), (3, "twice")]
+    mine, want = against_sql(spark, "extract_docx", tmp_path, rows)
+    assert mine == want
+
+
+def test_docx_holds_what_xml_does_not():
+    text = "".join(chr(c) for c in (*range(0x300), 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600)) + "\r\r\n\x00"
+    assert docx.docx_text(docx_bytes(text.split("\n"))) == text
+    font = f'<w:x {W}><w:p><w:r><w:t>a</w:t><w:sym w:font="Symbol" w:char="F0B7"/><w:sym/><w:sym w:char="fffe"/><w:t>b</w:t></w:r></w:p></w:x>'
+    assert docx.docx_text(docx_bytes([], {"word/footer1.xml": font})) == "a\ufffeb"
+
+
+def test_the_queries_do_not_take_the_services_limit_on_what_is_unpacked():
+    from glyphsieve.plans.queries import _WHOLE
+
+    text = "\n" * 5_000_000  # its XML is larger than 256 MB
+    content = docx_bytes(text.split("\n"))
+    assert docx.docx_text(content, _WHOLE.max_unpacked_bytes) == text
+    assert files._read("docx", content, Settings().max_unpacked_bytes)[2] == "TOO_LARGE"
+
+
+@pytest.mark.parametrize("kind", ["docx", "pdf"])
+def test_a_lack_of_memory_is_no_fault_of_the_file(kind, monkeypatch):
+    def none_left(*_):
+        raise MemoryError
+
+    monkeypatch.setattr(files, f"{kind}_text", none_left)
+    with pytest.raises(MemoryError):
+        files._read(kind, b"x", 1)
