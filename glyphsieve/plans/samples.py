@@ -123,13 +123,13 @@ def pdf_bytes(pages: list[list[str] | None], unicode_map: bool = True) -> bytes:
 
 def packer(ext: str, simple_every: int = 0) -> Callable[[pa.Array, pa.Array], pa.Array]:
     """What makes the content of docx or pdf files of keys and texts, null for null: a paragraph or line of text for
-    each line; of pdf files all but every so many have a simple font without a Unicode map, where their text is
-    printable Latin-1."""
+    each line; of pdf files those of positive or null keys, all but every so many, have a simple font without a Unicode map,
+    where their text is printable Latin-1."""
 
-    def one(k: int, t: str) -> bytes:
+    def one(k: int | None, t: str) -> bytes:
         if ext == "docx":
             return docx_bytes(t.split("\n"))
-        simple = simple_every and k % simple_every and all(c == "\n" or " " <= c <= "~" or "\xa0" <= c <= "\xff" for c in t)
+        simple = simple_every and (k is None or k > 0 and k % simple_every) and all(c == "\n" or " " <= c <= "~" or "\xa0" <= c <= "\xff" for c in t)
         return pdf_bytes([t.split("\n")], not simple)
 
     def make(keys: pa.Array, texts: pa.Array) -> pa.Array:

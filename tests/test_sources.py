@@ -325,3 +325,29 @@ def test_a_lack_of_memory_is_no_fault_of_the_file(kind, monkeypatch):
     monkeypatch.setattr(files, f"{kind}_text", none_left)
     with pytest.raises(MemoryError):
         files._read(kind, b"x", 1)
+
+
+@pytest.mark.parametrize("name", ["extract_pdf", "extract_pdf_fonts"])
+def test_extract_pdf_of_unusual_texts_is_as_its_sql(spark, tmp_path, name):
+    rows = [(i - 6, t) for i, t in enumerate(UNUSUAL * 2)] + [(None, "x"), (None, "漢"), (None, ""), (None, None), (3, "twice"), (3, "twice")]
+    mine, want = against_sql(spark, name, tmp_path, rows)
+    assert mine == want
+
+
+def test_pdf_characters_that_codes_give_in_halves():
+    for text in ("\U0001f600", "a\U0001f600\U0010ffff漢\n\U00010000"):
+        assert pdf.pdf_text(pdf_bytes([text.split("\n")]))[0] == text
+    whole = pdf_bytes([["a\U0001f600b"]])
+    assert b"<0061d83dde000062> Tj" in whole
+    assert pdf.pdf_text(whole.replace(b"<0061d83dde000062> Tj", b"<0061d83d> Tj <de000062> Tj"))[0] == "a\U0001f600b"
+    assert pdf.pdf_text(whole.replace(b"d83dde00", b"de00d83d"))[0] == "a\ufffd\ufffdb"
+    assert pdf.pdf_text(whole.replace(b"d83dde00", b"d83d0063"))[0] == "a\ufffdcb"
+
+
+def test_a_page_is_not_taken_for_empty_for_lack_of_memory(monkeypatch):
+    def none_left(*_):
+        raise MemoryError
+
+    monkeypatch.setattr(pdf.Pdf, "page_text", none_left)
+    with pytest.raises(MemoryError):
+        files._read("pdf", pdf_bytes([["x"]]), 1 << 20)
